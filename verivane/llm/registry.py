@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verivane.llm import url_filter, license_scan
+from verivane.llm import audio, html_extract, license_scan, pii, url_filter
 
-MODULES = [url_filter, license_scan]
+MODULES = [html_extract, url_filter, audio, license_scan, pii]
 
 
 def queries() -> dict:
