@@ -56,15 +56,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^i and R^-i modulo 2^64 for i < 2^bits."""
-    n = 1 << bits
+_SPAN = 1 << 16
+_SLICE = 1 << 22  #: bytes hashed at a time
+
+
+@lru_cache(maxsize=1)
+def _powers() -> np.ndarray:
+    """R^i modulo 2^64."""
     with np.errstate(over="ignore"):
-        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-        np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _R, np.uint64)], out=up)
-        np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, pow(_R, -1, 1 << 64), np.uint64)], out=down)
-    return up, down
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(_SPAN - 1, _R, np.uint64)])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -83,21 +83,34 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 data; polynomial sums modulo 2^64, scrambled."""
+    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 data; long data is worked on in slices that end between words."""
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
+    if len(raw) <= _SLICE:
+        return _hashes(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + _SLICE)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            ahead = np.flatnonzero(_SPACE[raw[end : end + _SLICE]])
+            end += int(ahead[0]) if len(ahead) else min(_SLICE, len(raw) - end)
+        out.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
     starts, ends = word_spans(raw)
-    return span_hashes(raw, starts, ends)
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(max(16, int(len(raw)).bit_length()))
+    if not len(starts):
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.empty(len(raw) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        raw = raw[starts[0] : ends[-1]]
+        ends, starts = ends - starts[0], starts - starts[0]
+        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
+        value = (raw.astype(np.uint64) + np.uint64(1)) * _powers()[place & (_SPAN - 1)]
+        if len(place) > _SPAN and (far := place >> 16).any():  # words longer than the table
+            value *= mix64(far.astype(np.uint64)) | np.uint64(1)
+        value *= ~_SPACE[raw]
+        return mix64(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
