@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a side is broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """With a broadcast hint where it is small; df: a written table of keys, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession
@@ -54,10 +64,12 @@ _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII characters but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 _SPAN = 1 << 16
-_SLICE = 1 << 22  #: bytes hashed at a time
+_SLICE = 1 << 20  #: bytes hashed at a time
 
 
 @lru_cache(maxsize=1)
@@ -75,42 +87,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are not ASCII white space."""
-    inside = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+def word_spans(raw: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that don't part words: ASCII white space, if no others are given."""
+    inside = np.zeros(len(raw) + 2, bool)
+    np.logical_not(space[raw], out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` of UTF-8 data; long data is worked on in slices that end between words."""
-    raw = np.frombuffer(data, np.uint8)
-    if len(raw) <= _SLICE:
-        return _hashes(raw)
-    out, at = [], 0
+def slices(raw: np.ndarray, space: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
+    """Pieces of a bounded size that end between words; a word longer than that stays whole."""
+    at = 0
     while at < len(raw):
         end = min(len(raw), at + _SLICE)
-        while end < len(raw) and not _SPACE[raw[end]]:
-            ahead = np.flatnonzero(_SPACE[raw[end : end + _SLICE]])
+        while end < len(raw) and not space[raw[end]]:
+            ahead = np.flatnonzero(space[raw[end : end + _SLICE]])
             end += int(ahead[0]) if len(ahead) else min(_SLICE, len(raw) - end)
-        out.append(_hashes(raw[at:end]))
+        yield raw[at:end]
         at = end
-    return np.concatenate(out)
 
 
-def _hashes(raw: np.ndarray) -> np.ndarray:
-    starts, ends = word_spans(raw)
+def word_hashes(data: bytes, space: np.ndarray = _SPACE) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 data, `[^\\x20\\x09-\\x0D]+` if no other separators are given."""
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) <= _SLICE:
+        return span_hashes(raw, *word_spans(raw, space))
+    return np.concatenate([span_hashes(x, *word_spans(x, space)) for x in slices(raw, space)])
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes; spans in order, apart from each other."""
     if not len(starts):
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        raw = raw[starts[0] : ends[-1]]
-        ends, starts = ends - starts[0], starts - starts[0]
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
-        value = (raw.astype(np.uint64) + np.uint64(1)) * _powers()[place & (_SPAN - 1)]
+        n = ends - starts
+        first = np.cumsum(n) - n
+        place = np.arange(int(first[-1] + n[-1])) - np.repeat(first, n)
+        value = (raw[place + np.repeat(starts, n)].astype(np.uint64) + np.uint64(1)) * _powers()[place & (_SPAN - 1)]
         if len(place) > _SPAN and (far := place >> 16).any():  # words longer than the table
             value *= mix64(far.astype(np.uint64)) | np.uint64(1)
-        value *= ~_SPACE[raw]
-        return mix64(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+        return mix64(np.add.reduceat(value, first) + n.astype(np.uint64))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -128,5 +144,5 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(width):
-            out = mix64(out * np.uint64(_R) + words[i : i + n])
-    return out
+            out += words[i : i + n] * np.uint64(pow(_R, i + 1, 1 << 64))
+    return mix64(out)

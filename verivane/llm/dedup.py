@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import discard, materialize, mix64, run_hashes, shingles, table, word_hashes
+from verivane.llm.common import discard, materialize, mix64, shingles, small_side, table, word_hashes
 
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
 PERCENT = 80
 BLOCK = 512  #: classes of a bucket in a block
-BROADCAST_ROWS = 2_000_000  #: keys (8 bytes each) up to which a side is broadcast; beyond, the join shuffles
 
 
 def super_minhash(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -128,11 +127,6 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal long")
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """With a broadcast hint where it is small; df: a table, so that counting is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked, by their full sets."""
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "h"), "c").select("c", "h"), "needed")
