@@ -1,0 +1 @@
+"""Landed payloads, stored tables, and series derived from the given tables."""
