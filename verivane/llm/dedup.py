@@ -8,10 +8,12 @@
    all 32 bands of 4 with a probability of 4e-8.
 4. Stars: each class is paired with the first class of each of its buckets; the most similar one by signature is verified on
    full sets. That is one pair a class, however large a bucket is.
-5. Remaining links: in buckets that still hold several components, members of different components whose lengths allow it and
-   whose signatures come near enough (five standard deviations) are verified as well. Large buckets are dealt out in blocks
-   for that. So no link between components is lost, and no group is expanded into all its pairs.
-6. Components: minimum labels and pointer jumping, each round a table in the shared folder.
+5. Partners, for some rounds: in buckets that still hold several components, each class is paired with the most similar member
+   of another component that it hasn't been paired with. Again that is one pair a class and round. Large buckets are dealt out
+   in blocks for it.
+6. The rest: what is still in different components of a bucket, and whose lengths and signatures allow a link (within five standard
+   deviations), is verified pair by pair. So no link between components is lost, and no group is expanded into all its pairs.
+7. Components: minimum labels and pointer jumping, each round a table in the shared folder.
 
 Null and empty texts and those without words have no shingles, stay and are linked with nothing. Repeated rows are
 copies of each other. Rows without doc_id take part; a component's id is its smallest doc_id, null only if none has one.
@@ -32,6 +34,7 @@ REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
 PERCENT = 80
 BLOCK = 512  #: classes of a bucket in a block
+ROUNDS = 4
 
 
 def super_minhash(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -90,7 +93,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """key, c: the buckets of each class."""
+    """key, band, c: the buckets of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,9 +103,11 @@ def buckets(classes: DataFrame) -> DataFrame:
             key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), sig.shape[:2])
             for i in range(ROWS):
                 key = mix64(key ^ sig[:, :, i] + np.uint64(i << 16))
-            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "c"])
+            c = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int8), b.num_rows)
+            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), pa.array(band), pa.array(c)], names=["key", "band", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "key long, c long")
+    return classes.select("c", "sig").mapInArrow(run, "key long, band byte, c long")
 
 
 def least_equal(percent: int) -> int:
@@ -165,47 +170,93 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
 
 
-def remaining(in_buckets: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of one bucket and different components that lengths and signatures allow."""
+class Group:
+    """The rows of two blocks of a bucket: band, block, c, component, size, classes paired before, signature."""
+
+    def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
+        self.i, self.j, self.percent, self.least = i, j, percent, least_equal(percent)
+        self.band = rows[0][0]
+        self.own, self.c, self.l, self.n = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        self.tested = [set(r[5]) if r[5] else () for r in rows]
+        self.sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(-1, REGISTERS)
+
+    def likely(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places x, y and equal registers of pairs across the blocks, of different components, that may be linked."""
+        xs, ys = np.flatnonzero(self.own == self.i), np.flatnonzero(self.own == self.j)
+        for part in np.array_split(xs, -(-len(xs) // 64) or 1):
+            x, y = part[:, None], ys[None, :]
+            allowed = (self.l[x] != self.l[y]) & (self.percent * np.maximum(self.n[x], self.n[y]) <= 100 * np.minimum(self.n[x], self.n[y]))
+            if self.i == self.j:
+                allowed &= self.c[x] < self.c[y]
+            at, to = np.nonzero(allowed)
+            at, to = part[at], ys[to]
+            for cut in range(0, len(at), 1 << 15):
+                a, b = at[cut : cut + (1 << 15)], to[cut : cut + (1 << 15)]
+                equal = (self.sig[a] == self.sig[b]).sum(1)
+                keep = equal >= self.least
+                yield a[keep], b[keep], equal[keep]
+
+    def best(self) -> list[tuple[int, int, int]]:
+        """The most similar partner of each that has any."""
+        most, partner = np.zeros(len(self.c), np.int64), np.zeros(len(self.c), np.int64)
+        pair = lambda place, c: mix64(mix64(c.astype(np.uint64)) + place.astype(np.uint64))
+        done = [(k, c) for k, t in enumerate(self.tested) for c in t]
+        tested = pair(*(np.array(x, np.int64) for x in zip(*done))) if done else np.empty(0, np.uint64)
+        for x, y, equal in self.likely():
+            for a, b in ((x, y), (y, x)):
+                new = ~np.isin(pair(a, self.c[b]), tested)
+                place, c, e = a[new], self.c[b[new]], equal[new]
+                order = np.lexsort((c, -e, place))
+                order = order[np.concatenate([[True], np.diff(place[order]) != 0])] if len(order) else order
+                better = order[e[order] > most[place[order]]]
+                most[place[better]], partner[place[better]] = e[better], c[better]
+        return [(int(self.c[k]), int(partner[k]), int(most[k])) for k in np.flatnonzero(most)]
+
+    def every(self) -> list[tuple[int, int, int]]:
+        """All pairs whose first common band this is."""
+        out = []
+        for x, y, equal in self.likely():
+            first = (self.sig[x] == self.sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.band
+            out += zip(self.c[x[first]].tolist(), self.c[y[first]].tolist(), equal[first].tolist())
+        return out
+
+
+def candidates(in_buckets: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, best: bool) -> DataFrame:
+    """a, b, equal: pairs of a bucket and of different components that may be linked; each one's best, or every one."""
     labelled = in_buckets.join(labels, "c", "left").withColumn("l", F.coalesce("l", "c"))
     open_keys = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_keys, "key").join(classes.select("c", "n", "sig"), "c")
+    about = classes.select("c", "n", "sig").join(tested.groupBy(F.col("a").alias("c")).agg(F.collect_set("b").alias("tested")), "c", "left")  # a few of each class
+    rows = labelled.join(open_keys, "key").join(about, "c")
     # A pair meets in the block of its two numbers; each row goes to as many blocks as its bucket has.
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "l", "n", "sig")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "c", "l", "n", "tested", "sig")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least = least_equal(percent)
-
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j = group[0][:3]
-        own, c, l, n = (np.array([g[k] for g in group]) for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(g[7] for g in group), "<u2").reshape(-1, REGISTERS)
-        for x in np.flatnonzero(own == i):
-            y = np.flatnonzero((own == j) & (l != l[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((own != own[x]) | (c > c[x])))
-            for z in y[(sig[y] == sig[x]).sum(1) >= least]:
-                yield (int(c[x]), int(c[z])) if c[x] > c[z] else (int(c[z]), int(c[x]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        out: list[tuple[int, int]] = []
+        at, group, out = None, [], []
+
+        def finish() -> None:
+            if len(group) > 1:
+                g = Group(at[1], at[2], group, percent)
+                out.extend(g.best() if best else g.every())
 
         def batch() -> pa.RecordBatch:
-            a, b = zip(*out) if out else ((), ())
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], names=["a", "b", "equal"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs(group) if len(group) > 1 else ()
-                    group = []
-                group.append(row)
+                if row[:3] != at:
+                    finish()
+                    at, group = row[:3], []
+                group.append(row[3:])
             if len(out) > 10_000:
                 yield batch()
                 out = []
-        out += pairs(group) if len(group) > 1 else ()
+        finish()
         yield batch()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, equal long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -218,12 +269,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     shared = materialize(all_buckets.join(centres, "key"), "buckets")
     stars = shared.where("c <> b").select(F.col("c").alias("a"), "b").distinct()
     best = estimated(stars, classes, percent).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-    links = materialize(verified(materialize(best, "stars"), classes, docs, width, percent), "links")
-    labels = components(links)
-    more = materialize(remaining(shared.select("key", "c"), classes, labels, percent), "remaining")
-    more = materialize(verified(more, classes, docs, width, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    tested = materialize(best, "stars")
+    links = materialize(verified(tested, classes, docs, width, percent), "links")
+    open_buckets, left = shared.select("key", "band", "c"), True
+    for _ in range(ROUNDS):
+        labels = components(links)
+        found = materialize(candidates(open_buckets, classes, labels, tested, percent, best=True), "partners")
+        left = not found.isEmpty()
+        if not left:
+            break
+        open_buckets = materialize(open_buckets.join(found.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi"), "buckets")
+        chosen = materialize(found.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")), "chosen")
+        new = materialize(verified(chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, docs, width, percent), "links")
+        tested = tested.unionByName(chosen)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+    if left:
+        labels = components(links)
+        rest = materialize(candidates(open_buckets, classes, labels, tested, percent, best=False).select("a", "b"), "rest")
+        more = materialize(verified(rest, classes, docs, width, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     ids = every.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("d")).join(labels, "c", "left").withColumn("l", F.coalesce("l", "c"))
     ids = materialize(ids, "class-ids")
     smallest = ids.groupBy("l").agg(F.min("d").alias("component_id"))
