@@ -1,0 +1,93 @@
+import hashlib
+import io
+import wave
+import zlib
+
+import numpy as np
+import pyarrow as pa
+
+from tests.llm.conftest import ODD
+from verivane.llm import audio as a
+
+
+def test_wave_round_trip():
+    for n in (0, 1, 2, 191, 192, 1000):
+        data = bytes(i * 7 % 256 for i in range(n))
+        media = a.store(data)
+        assert a.load(media) == (data, a.RATE)
+        with wave.open(io.BytesIO(media)) as w:
+            assert (w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(n)) == (1, 1, a.RATE, data)
+
+
+def direct(samples):
+    """Resampling and log-mel frames by plain sums."""
+    x = (samples.astype(float) - 128) / 128
+    m = len(x) * a.UP // a.DOWN
+    y = np.zeros(m)
+    cut = a.UP / a.DOWN
+    for j in range(m):
+        t = j * a.DOWN / a.UP
+        lo = j // a.UP * a.DOWN - a.DOWN  # the block of output j and its neighbours
+        for i in range(max(0, lo), min(len(x), lo + 3 * a.DOWN)):
+            if abs(i - t) < a.TAPS:
+                y[j] += x[i] * cut * np.sinc(cut * (i - t)) * (0.5 + 0.5 * np.cos(np.pi * (i - t) / a.TAPS))
+    frames = max(1, -(-max(0, m - a.FRAME) // a.HOP) + 1)
+    y = np.r_[y, np.zeros((frames - 1) * a.HOP + a.FRAME - m)]
+    _, hann, mels = a._filters()
+    out = []
+    for k in range(frames):
+        f = y[k * a.HOP : k * a.HOP + a.FRAME] * hann
+        dft = np.array([(f * np.exp(-2j * np.pi * b * np.arange(a.FRAME) / a.FRAME)).sum() for b in range(a.FRAME // 2 + 1)])
+        out.append(np.maximum(10 * np.log10((abs(dft) ** 2) @ mels / a.FRAME + 1e-10), a.FLOOR))
+    return np.array(out)
+
+
+def test_features_equal_direct_sums(monkeypatch):
+    samples = np.frombuffer(a.text_payload("Some text, that is long enough for frames. " * 20)[0], np.uint8)
+    want = direct(samples)
+    assert np.allclose(a.log_mel(samples), want, atol=0.05)
+    monkeypatch.setattr(a, "BLOCK", 192)
+    assert np.allclose(a.log_mel(samples), want, atol=0.05)
+
+
+def test_resampling_keeps_a_tone():
+    t = np.arange(8000) / a.RATE
+    y = np.concatenate(list(a.resampled((128 + 100 * np.sin(2 * np.pi * 500 * t)).astype(np.uint8))))
+    spectrum = abs(np.fft.rfft(y[:4000]))
+    assert len(y) == 5000 and spectrum[1:].argmax() + 1 == 400  # 500 Hz at 5000 samples a second
+
+
+def test_hysteresis():
+    mel = np.full((9, a.MELS), -50.0, np.float32)
+    for k, level in enumerate((0, -8, -10, -20, -8, -2, -9, -30, -3)):
+        mel[k] = level
+    assert a.segments(mel).tolist() == [[0, 3], [5, 7], [8, 9]]  # -8 goes on after 0, but begins nothing
+
+
+def test_tensors_and_spans():
+    mel = np.arange(70 * a.MELS, dtype=np.float32).reshape(70, a.MELS)
+    t = a.from_arrow(a.as_arrow(mel))
+    assert t.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [a.SPAN, a.MELS]) and t.num_rows == 3
+    back = t["tensor"].combine_chunks().to_numpy_ndarray()
+    assert (back.reshape(-1, a.MELS)[:70] == mel).all() and (back.reshape(-1, a.MELS)[70:] == a.FLOOR).all()
+    assert t["start_s"].to_pylist()[1] == t["end_s"].to_pylist()[0] and t["end_s"].to_pylist()[-1] < t["start_s"].to_pylist()[-1] + 1
+
+
+def test_rows(docs):
+    out = a.describe(docs(ODD)).collect()
+    assert len(out) == len(ODD)
+    for r in out:
+        texts = [t for i, t in ODD if i == r["doc_id"]]
+        data = (texts[0] or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-16:]), len(payload) + 44, hashlib.sha256(a.store(payload)).hexdigest())
+    assert len({r["feature"] for r in out if r["doc_id"] == 3}) == 1
+    assert a.describe(docs([])).collect() == []
+
+
+def test_features_of_media(docs):
+    media = a.text_media(docs([(1, "Some words. " * 100), (2, None)]))
+    rows = {r["doc_id"]: r for r in a.audio_features(media.withColumn("frames", media["doc_id"])).collect()}
+    assert rows[1]["frames"] == len(a.log_mel(np.frombuffer(a.text_payload("Some words. " * 100)[0], np.uint8)))
+    assert a.from_arrow(bytes(rows[2]["tensors"])).num_rows == 1 and all(x < y for x, y in rows[1]["segments"])

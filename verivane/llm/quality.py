@@ -25,6 +25,7 @@ from verivane.llm.common import NOT_ALNUM, mix64, run_hashes, table, word_hashes
 
 LABELLED, POOL, ROUNDS, GROWTH = 8000, 8000, 3, 400
 BAG, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
+OWN_ROWS = 200  #: labelled rows for each unit of the views' penalty
 FOLD = 4  #: one labelled document in so many calibrates
 
 
@@ -96,18 +97,17 @@ def needed(docs: DataFrame) -> list:
 class Logistic:
     """Regularised logistic regression on standardised features, by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0, steps: int = 12):
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12):
         x = x.astype(np.float64)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))].clip(-10, 10)
-        weight = np.ones(len(y)) if weight is None else weight
         self.w = np.zeros(z.shape[1])
         ridge = np.full(z.shape[1], penalty)
         ridge[-1] = 1e-3
         for _ in range(steps):
             p = 1 / (1 + np.exp(-(z @ self.w).clip(-30, 30)))
-            h = z.T @ (z * (weight * (p * (1 - p) + 1e-4))[:, None]) + np.diag(ridge)
-            step = np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge * self.w)
+            h = z.T @ (z * (p * (1 - p) + 1e-4)[:, None]) + np.diag(ridge)
+            step = np.linalg.solve(h, z.T @ (y - p) - ridge * self.w)
             self.w += step
             if np.abs(step).max() < 1e-4:
                 break
@@ -131,7 +131,7 @@ class CoTrained:
         share = quality[own].mean()
         self.history = []
         for k in range(rounds + 1):
-            self.views = [Logistic(x[v][rows[v]], labels[v]) for v in (0, 1)]
+            self.views = [Logistic(x[v][rows[v]], labels[v], max(1.0, len(own) / OWN_ROWS)) for v in (0, 1)]
             self.history.append(len(pool))
             if k == rounds or not len(pool):
                 break
@@ -203,7 +203,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that the classifier rejects."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    extra = [c.alias(f"__view_{i}") for i, c in enumerate(needed(docs))]
+    own = "view" + "_" * max(map(len, docs.columns))  # no column's name
+    extra = [c.alias(f"{own}{i}") for i, c in enumerate(needed(docs))]
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
