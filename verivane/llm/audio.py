@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from verivane.llm.common import table
+from verivane.llm.common import small, table
 
 RATE, UP, DOWN = 8000, 5, 8  #: samples a second, as stored; resampled to RATE * UP / DOWN
 TAPS = 8  #: input samples on either side that the filter sees
@@ -229,7 +229,7 @@ def describe(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [row(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small_side, table, word_hashes
+from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small, small_side, table, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 22, 8
@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     def scan(block: list[tuple[int, bytes]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(block)
-            for b in batches:
+            for b in small(batches):
                 rows = [(d, h, *m) for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()) for m in index.matches(t)]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 

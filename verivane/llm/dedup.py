@@ -6,14 +6,12 @@
    steps are taken for all elements at once.
 3. BANDS bands of ROWS registers each: classes that agree in a band share a bucket. A pair at the threshold 0.8 misses
    all 32 bands of 4 with a probability of 4e-8.
-4. Stars: each class is paired with the first class of each of its buckets; the most similar one by signature is verified on
-   full sets. That is one pair a class, however large a bucket is.
-5. Partners, for some rounds: in buckets that still hold several components, each class is paired with the most similar member
-   of another component that it hasn't been paired with. Again that is one pair a class and round. Large buckets are dealt out
-   in blocks for it.
-6. The rest: what is still in different components of a bucket, and whose lengths and signatures allow a link (within five standard
-   deviations), is verified pair by pair. So no link between components is lost, and no group is expanded into all its pairs.
-7. Components: minimum labels and pointer jumping, each round a table in the shared folder.
+4. Families: classes of a bucket are likely linked if their lengths allow it and their signatures come near enough (within
+   five standard deviations). Of the likely pairs a spanning forest of each bucket is enough to connect families.
+5. Verification: the texts of a family meet, and likely pairs are compared on full sets, the most similar first; pairs that the
+   links found so far connect are skipped. So at most as many links are returned as there are rows, and no component is missed.
+   Large buckets and families are dealt out in pairs of blocks of bounded size: rows go to as many places as there are blocks.
+6. Components: minimum labels and pointer jumping, each round a table in the shared folder.
 
 Null and empty texts and those without words have no shingles, stay and are linked with nothing. Repeated rows are
 copies of each other. Rows without doc_id take part; a component's id is its smallest doc_id, null only if none has one.
@@ -28,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import discard, materialize, mix64, shingles, small_side, table, word_hashes
+from verivane.llm.common import discard, materialize, mix64, shingles, small, small_side, table, word_hashes
 
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
 PERCENT = 80
-BLOCK = 512  #: classes of a bucket in a block
-ROUNDS = 4
+BLOCK = 512  #: classes in a block
+BLOCK_SHINGLES = 1 << 19  #: and their shingles
 
 
 def super_minhash(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -84,7 +82,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, h (hash of the text), n (size of its set), c (class: hash of its set, null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [(len(s), set_hash(s), sketch(s).tobytes()) if len(s) else (0, None, None) for s in text_sets(b.column(2), width)]
             n, c, sig = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "h", "n", "c", "sig"])
@@ -93,7 +91,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """key, band, c: the buckets of each class."""
+    """key, c: the buckets of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,10 +102,9 @@ def buckets(classes: DataFrame) -> DataFrame:
             for i in range(ROWS):
                 key = mix64(key ^ sig[:, :, i] + np.uint64(i << 16))
             c = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int8), b.num_rows)
-            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), pa.array(band), pa.array(c)], names=["key", "band", "c"])
+            yield pa.record_batch([pa.array(key.reshape(-1).astype(np.int64)), pa.array(c)], names=["key", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "key long, band byte, c long")
+    return classes.select("c", "sig").mapInArrow(run, "key long, c long")
 
 
 def least_equal(percent: int) -> int:
@@ -116,43 +113,124 @@ def least_equal(percent: int) -> int:
     return int(REGISTERS * p - 5 * (REGISTERS * p * (1 - p)) ** 0.5)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, equal: those of the pairs whose lengths and signatures allow the threshold."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+class Forest:
+    """Union-find over the places of a group."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether that connected anything."""
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def likely(xs: np.ndarray, ys: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x < y (of xs and ys, or ys and xs) and equal registers of likely pairs, in pieces."""
     least = least_equal(percent)
+    for part in np.array_split(xs, -(-len(xs) // 32) or 1):
+        x, y = part[:, None], ys[None, :]
+        allowed = (percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & ((x < y) if xs is ys else (x != y))
+        at, to = np.nonzero(allowed)
+        at, to = part[at], ys[to]
+        equal = (sig[at] == sig[to]).sum(1)
+        keep = equal >= least
+        yield at[keep], to[keep], equal[keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 3))
-            equal = (x == y).sum(1)
-            keep = pa.array(equal >= least)
-            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(equal[equal >= least], pa.int64())], names=["a", "b", "equal"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal long")
+def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose first `width` columns are equal."""
+    group: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+            if group and row[:width] != group[0][:width]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
 
+def sides(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a group's two blocks; the same array twice if it is one. Rows: group, i, j, own, ..."""
+    own = np.array([r[3] for r in group])
+    xs = np.flatnonzero(own == group[0][1])
+    return xs, xs if group[0][1] == group[0][2] else np.flatnonzero(own == group[0][2])
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by their full sets."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "h"), "c").select("c", "h"), "needed")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(small_side(needed.select("h")), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    texts = needed.join(texts, "h").select("c", "text")
-    side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"t{x}"))
+
+def dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """rows with own (its block) and i, j (where its block meets each other one); blocks: key and number of blocks."""
+    out = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def pair_table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 2)], names=["a", "b"])
+
+
+def family_links(in_buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest of each bucket's likely pairs."""
+    sizes = in_buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = dealt(in_buckets, "key", sizes).join(classes.select("c", "n", "sig"), "c").select("key", "i", "j", "own", "c", "n", "sig")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
-            linked = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_sets(batch.column(2), width), batch.column(3).cast(pa.binary())):
-                if last[0] != b:  # the star's centre comes many times in a row
-                    last = b, shingles(word_hashes(y.as_py().lower()), width)
-                common = len(np.intersect1d(x, last[1], assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(last[1]) - common):
-                    linked.append((a, b))
-            a, b = zip(*linked) if linked else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        out: set[tuple[int, int]] = set()
+        for group in groups(batches, 3):
+            if len(group) > 1:
+                xs, ys = sides(group)
+                n, sig = np.array([r[5] for r in group]), np.frombuffer(b"".join(r[6] for r in group), "<u2").reshape(-1, REGISTERS)
+                forest = Forest(len(group))
+                for x, y, _ in likely(xs, ys, n, sig, percent):
+                    out.update((min(group[p][4], group[q][4]), max(group[p][4], group[q][4])) for p, q in zip(x.tolist(), y.tolist()) if forest.join(p, q))
+            if len(out) > 100_000:
+                yield pair_table(list(out))
+                out = set()
+        yield pair_table(list(out))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified_links(families: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links, confirmed on full sets, that connect all that is linked within each family. families: c, l (family)."""
+    members = materialize(families.join(classes, "c").select("c", "l", "h", "n", "sig"), "members")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(small_side(members.select("h")), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    sizes = members.groupBy("l").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = dealt(members.join(texts, "h"), "l", sizes).select("l", "i", "j", "own", "c", "n", "sig", "text")
+    rows = rows.repartition("l", "i", "j").sortWithinPartitions("l", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in groups(small(batches), 3):
+            xs, ys = sides(group)
+            n, sig = np.array([r[5] for r in group]), np.frombuffer(b"".join(r[6] for r in group), "<u2").reshape(-1, REGISTERS)
+            found = [np.concatenate(x) for x in zip(*likely(xs, ys, n, sig, percent))] if len(xs) and len(ys) else [np.empty(0, np.int64)] * 3
+            sets: dict[int, np.ndarray] = {}
+            forest = Forest(len(group))
+            order = np.argsort(-found[2], kind="stable")
+            for p, q in zip(found[0][order].tolist(), found[1][order].tolist()):
+                if forest.find(p) == forest.find(q):
+                    continue
+                for k in (p, q):
+                    if k not in sets:
+                        sets[k] = shingles(word_hashes(group[k][7].encode("utf-8", "surrogatepass").lower()), width)
+                a, b = sets[p], sets[q]
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    forest.join(p, q)
+                    out.append((group[p][4], group[q][4]))
+            if len(out) > 10_000:
+                yield pair_table(out)
+                out = []
+        yield pair_table(out)
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -170,127 +248,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
 
 
-class Group:
-    """The rows of two blocks of a bucket: band, block, c, component, size, classes paired before, signature."""
-
-    def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
-        self.i, self.j, self.percent, self.least = i, j, percent, least_equal(percent)
-        self.band = rows[0][0]
-        self.own, self.c, self.l, self.n = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-        self.tested = [set(r[5]) if r[5] else () for r in rows]
-        self.sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(-1, REGISTERS)
-
-    def likely(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places x, y and equal registers of pairs across the blocks, of different components, that may be linked."""
-        xs, ys = np.flatnonzero(self.own == self.i), np.flatnonzero(self.own == self.j)
-        for part in np.array_split(xs, -(-len(xs) // 64) or 1):
-            x, y = part[:, None], ys[None, :]
-            allowed = (self.l[x] != self.l[y]) & (self.percent * np.maximum(self.n[x], self.n[y]) <= 100 * np.minimum(self.n[x], self.n[y]))
-            if self.i == self.j:
-                allowed &= self.c[x] < self.c[y]
-            at, to = np.nonzero(allowed)
-            at, to = part[at], ys[to]
-            for cut in range(0, len(at), 1 << 15):
-                a, b = at[cut : cut + (1 << 15)], to[cut : cut + (1 << 15)]
-                equal = (self.sig[a] == self.sig[b]).sum(1)
-                keep = equal >= self.least
-                yield a[keep], b[keep], equal[keep]
-
-    def best(self) -> list[tuple[int, int, int]]:
-        """The most similar partner of each that has any."""
-        most, partner = np.zeros(len(self.c), np.int64), np.zeros(len(self.c), np.int64)
-        pair = lambda place, c: mix64(mix64(c.astype(np.uint64)) + place.astype(np.uint64))
-        done = [(k, c) for k, t in enumerate(self.tested) for c in t]
-        tested = pair(*(np.array(x, np.int64) for x in zip(*done))) if done else np.empty(0, np.uint64)
-        for x, y, equal in self.likely():
-            for a, b in ((x, y), (y, x)):
-                new = ~np.isin(pair(a, self.c[b]), tested)
-                place, c, e = a[new], self.c[b[new]], equal[new]
-                order = np.lexsort((c, -e, place))
-                order = order[np.concatenate([[True], np.diff(place[order]) != 0])] if len(order) else order
-                better = order[e[order] > most[place[order]]]
-                most[place[better]], partner[place[better]] = e[better], c[better]
-        return [(int(self.c[k]), int(partner[k]), int(most[k])) for k in np.flatnonzero(most)]
-
-    def every(self) -> list[tuple[int, int, int]]:
-        """All pairs whose first common band this is."""
-        out = []
-        for x, y, equal in self.likely():
-            first = (self.sig[x] == self.sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.band
-            out += zip(self.c[x[first]].tolist(), self.c[y[first]].tolist(), equal[first].tolist())
-        return out
-
-
-def candidates(in_buckets: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, best: bool) -> DataFrame:
-    """a, b, equal: pairs of a bucket and of different components that may be linked; each one's best, or every one."""
-    labelled = in_buckets.join(labels, "c", "left").withColumn("l", F.coalesce("l", "c"))
-    open_keys = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    about = classes.select("c", "n", "sig").join(tested.groupBy(F.col("a").alias("c")).agg(F.collect_set("b").alias("tested")), "c", "left")  # a few of each class
-    rows = labelled.join(open_keys, "key").join(about, "c")
-    # A pair meets in the block of its two numbers; each row goes to as many blocks as its bucket has.
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "c", "l", "n", "tested", "sig")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, [], []
-
-        def finish() -> None:
-            if len(group) > 1:
-                g = Group(at[1], at[2], group, percent)
-                out.extend(g.best() if best else g.every())
-
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], names=["a", "b", "equal"])
-
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if row[:3] != at:
-                    finish()
-                    at, group = row[:3], []
-                group.append(row[3:])
-            if len(out) > 10_000:
-                yield batch()
-                out = []
-        finish()
-        yield batch()
-
-    return dealt.mapInArrow(run, "a long, b long, equal long")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, h, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     every = materialize(sketches(docs, width), "sketches")
     classes = materialize(every.where("c is not null").select("c", "h", "n", "sig").dropDuplicates(["c"]), "classes")
-    all_buckets = buckets(classes)
-    centres = all_buckets.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
-    shared = materialize(all_buckets.join(centres, "key"), "buckets")
-    stars = shared.where("c <> b").select(F.col("c").alias("a"), "b").distinct()
-    best = estimated(stars, classes, percent).groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-    tested = materialize(best, "stars")
-    links = materialize(verified(tested, classes, docs, width, percent), "links")
-    open_buckets, left = shared.select("key", "band", "c"), True
-    for _ in range(ROUNDS):
-        labels = components(links)
-        found = materialize(candidates(open_buckets, classes, labels, tested, percent, best=True), "partners")
-        left = not found.isEmpty()
-        if not left:
-            break
-        open_buckets = materialize(open_buckets.join(found.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi"), "buckets")
-        chosen = materialize(found.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")), "chosen")
-        new = materialize(verified(chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, docs, width, percent), "links")
-        tested = tested.unionByName(chosen)
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-    if left:
-        labels = components(links)
-        rest = materialize(candidates(open_buckets, classes, labels, tested, percent, best=False).select("a", "b"), "rest")
-        more = materialize(verified(rest, classes, docs, width, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    shared = buckets(classes)
+    several = shared.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    shared = materialize(shared.join(several, "key"), "buckets")
+    families = components(family_links(shared, classes, percent))
+    labels = components(verified_links(families, classes, docs, width, percent))
     ids = every.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("d")).join(labels, "c", "left").withColumn("l", F.coalesce("l", "c"))
     ids = materialize(ids, "class-ids")
     smallest = ids.groupBy("l").agg(F.min("d").alias("component_id"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import materialize, table
+from verivane.llm.common import materialize, small, table
 
 CAPACITY = 2048
 PART, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 3, 4
@@ -54,13 +54,17 @@ def encoder(name: str = TOKENIZER):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    slow.encode_special_tokens = True
+    @lru_cache(1)
+    def slow() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(public_tokenizers.path(f"{name}.tiktoken")).read_bytes().splitlines())}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        found = slow.encode(text, add_special_tokens=False).ids if _OTHER.search(text) else fast.encode_ordinary(text)
+        found = slow().encode(text, add_special_tokens=False).ids if _OTHER.search(text) else fast.encode_ordinary(text)
         return np.array([*found, 0], "<u4")
 
     return ids
@@ -78,7 +82,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(tokenizer)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = ids(text or "")

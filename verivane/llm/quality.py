@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import NOT_ALNUM, mix64, run_hashes, table, word_hashes, word_spans
+from verivane.llm.common import NOT_ALNUM, mix64, run_hashes, small, table, word_hashes, word_spans
 
 LABELLED, POOL, ROUNDS, GROWTH = 8000, 8000, 3, 400
 BAG, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
@@ -78,17 +78,19 @@ def metadata_view(source: str | None, lang: str | None, n_chars: int | None) ->
     return out
 
 
-def views(batch: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-    rows = zip(batch["text"], batch["source"], batch["lang"], batch["n_chars"])
-    both = [(content_view(t or b""), metadata_view(s, l, len(t or b"") if n is None else n)) for t, s, l, n in rows]
+NEEDED = {"text": pa.binary(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
+
+
+def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of each row; columns of the metadata may be missing."""
+    columns = [batch.column(c).cast(kind).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c, kind in NEEDED.items()]
+    both = [(content_view(t or b""), metadata_view(s, l, len(t or b"") if n is None else n)) for t, s, l, n in zip(*columns)]
     a, b = zip(*both) if both else ((), ())
     return np.array(a, np.float32).reshape(-1, CONTENT), np.array(b, np.float32).reshape(-1, METADATA)
 
 
-def needed(docs: DataFrame) -> list:
-    """text as bytes and the metadata that docs has."""
-    has = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
-    return [F.col("text").cast("binary").alias("text"), has("source", "string"), has("lang", "string"), has("n_chars", "long")]
+def needed(docs: DataFrame) -> list[str]:
+    return [c for c in NEEDED if c in docs.columns]
 
 
 # ---- learning --------------------------------------------------------------------------------------
@@ -167,12 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     chosen = first(ids.where("quality is not null"), LABELLED).unionByName(first(ids.where("quality is null"), POOL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, m = views({k: b.column(i + 2).to_pylist() for i, k in enumerate(("text", "source", "lang", "n_chars"))})
+        for b in small(batches):
+            a, m = views(b)
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["d", "quality", "a", "m"])
 
     # At most LABELLED + POOL ids are broadcast; each id's rows are features of a fixed size.
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), *needed(docs)).join(F.broadcast(chosen), "d").select("d", "quality", "text", "source", "lang", "n_chars")
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), *needed(docs)).join(F.broadcast(chosen), "d").select("d", "quality", *needed(docs))
     sample = own.mapInArrow(run, "d long, quality int, a binary, m binary").groupBy("d").agg(F.min(F.struct("quality", "a", "m")).alias("r")).select("d", "r.*").toArrow()
     order = np.argsort(mix64(sample.column("d").to_numpy().view(np.uint64)))
     quality = np.array([-1 if q is None else q for q in sample.column("quality").to_pylist()])[order]
@@ -182,10 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     return CoTrained(stack("a", CONTENT), stack("m", METADATA), quality)
 
 
-def _scored(model, columns: dict[str, list], n: int) -> tuple[np.ndarray, ...]:
+def _scored(model, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     if model.value is None:
-        return (np.full(n, 0.5),) * 3
-    return model.value.scores(*views(columns))
+        return (np.full(batch.num_rows, 0.5),) * 3
+    return model.value.scores(*views(batch))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -193,8 +195,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, m, both = _scored(model, {k: b.column(i + 1).to_pylist() for i, k in enumerate(("text", "source", "lang", "n_chars"))}, b.num_rows)
+        for b in small(batches):
+            a, m, both = _scored(model, b)
             yield pa.record_batch([b.column(0), pa.array(a), pa.array(m), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "text_score", "metadata_score", "score", "keep"])
 
     return docs.select(F.col("doc_id").cast("long"), *needed(docs)).mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, keep boolean")
@@ -203,16 +205,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that the classifier rejects."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    own = "view" + "_" * max(map(len, docs.columns))  # no column's name
-    extra = [c.alias(f"{own}{i}") for i, c in enumerate(needed(docs))]
-    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = _scored(model, {k: b.column(width + i).to_pylist() for i, k in enumerate(("text", "source", "lang", "n_chars"))}, b.num_rows)[2]
-            yield b.select(range(width)).filter(pa.array(both >= threshold))
+        for b in small(batches):
+            yield b.filter(pa.array(_scored(model, b)[2] >= threshold))
 
-    return docs.select("*", *extra).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
