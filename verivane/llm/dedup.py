@@ -130,6 +130,12 @@ class Forest:
         self.parent[max(x, y)] = min(x, y)
         return x != y
 
+    def grow(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs that connect something."""
+        roots = np.array([self.find(k) for k in range(len(self.parent))])
+        apart = roots[x] != roots[y]
+        return [(p, q) for p, q in zip(x[apart].tolist(), y[apart].tolist()) if self.join(p, q)]
+
 
 def likely(xs: np.ndarray, ys: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places x < y (of xs and ys, or ys and xs) and equal registers of likely pairs, in pieces."""
@@ -187,8 +193,12 @@ def family_links(in_buckets: DataFrame, classes: DataFrame, percent: int) -> Dat
                 xs, ys = sides(group)
                 n, sig = np.array([r[5] for r in group]), np.frombuffer(b"".join(r[6] for r in group), "<u2").reshape(-1, REGISTERS)
                 forest = Forest(len(group))
+                if xs is not ys:  # what each block's own group connects
+                    for own in (xs, ys):
+                        for x, y, _ in likely(own, own, n, sig, percent):
+                            forest.grow(x, y)
                 for x, y, _ in likely(xs, ys, n, sig, percent):
-                    out.update((min(group[p][4], group[q][4]), max(group[p][4], group[q][4])) for p, q in zip(x.tolist(), y.tolist()) if forest.join(p, q))
+                    out.update((min(group[p][4], group[q][4]), max(group[p][4], group[q][4])) for p, q in forest.grow(x, y))
             if len(out) > 100_000:
                 yield pair_table(list(out))
                 out = set()
