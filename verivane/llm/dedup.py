@@ -198,7 +198,15 @@ def family_links(in_buckets: DataFrame, classes: DataFrame, percent: int) -> Dat
                         for x, y, _ in likely(own, own, n, sig, percent):
                             forest.grow(x, y)
                 for x, y, _ in likely(xs, ys, n, sig, percent):
-                    out.update((min(group[p][4], group[q][4]), max(group[p][4], group[q][4])) for p, q in forest.grow(x, y))
+                    new = forest.grow(x, y)
+                    if xs is not ys:
+                        out.update((min(group[p][4], group[q][4]), max(group[p][4], group[q][4])) for p, q in new)
+                if xs is ys:  # each to the smallest it is connected with: buckets that share members share edges
+                    first: dict[int, int] = {}
+                    for k in sorted(range(len(group)), key=lambda k: group[k][4]):
+                        centre = first.setdefault(forest.find(k), group[k][4])
+                        if centre != group[k][4]:
+                            out.add((centre, group[k][4]))
             if len(out) > 100_000:
                 yield pair_table(list(out))
                 out = set()
