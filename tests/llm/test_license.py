@@ -43,3 +43,12 @@ def test_every_pair_at_the_threshold(docs):
         want = {label for label, t in l.TEMPLATES if len(own & set(t.split())) >= math.ceil(l.THRESHOLD * len(set(t.split())) - 1e-9)}
         want |= {label for p, label in l.PHRASES if re.search(rf"\b{p}\b", line)}
         assert got[i] == want, line
+
+
+def test_notices_wrapped_over_lines(docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    narrow = "\r\n".join(l.TEMPLATES[5][1].split())
+    apart = ["\n".join(x + " zebra" * 40 for x in l.TEMPLATES[5][1].split()), "released by all\n" + "zebra " * 9 + "\nunder the license"]
+    got = [(r["labels"], r["score"]) for r in sorted(l.scan(docs([mit, bsd, f"{'zebra ' * 50}\n{narrow}\nzebra", *apart])).collect(), key=lambda r: r["doc_id"])]
+    assert got == [("mit", 1.0), ("bsd", 1.0), ("bsd", 1.0), ("", 0.0), ("", 0.0)]

@@ -1,6 +1,6 @@
 """License scan: exact containment join of text blocks with license templates. DataFrame operations only.
 
-A block is a line. Its token set and each template's are ordered by how many blocks of the whole corpus hold a
+A block is a line, or a run of words that line ends don't break (below). A line's token set and each template's are ordered by how many blocks of the whole corpus hold a
 token, rarest first. A block B holds a template T if |B & T| >= a, a = ceil(THRESHOLD * |T|). Then
 - length: |B & V| >= a, with V all templates' tokens (tokens outside V can't match and count for nothing),
 - prefix: B's first |B & V| - a + 1 tokens and T's first |T| - a + 1 share one,
@@ -8,6 +8,9 @@ token, rarest first. A block B holds a template T if |B & T| >= a, a = ceil(THRE
 are necessary, so that no pair is lost; survivors are verified on the full sets. Templates are a parameter of a
 few short texts: only they are broadcast.
 
+Notices are often wrapped: a text of several lines also holds T if ceil(words of T / THRESHOLD) words in a row do, wherever
+its lines end. Only texts whose whole token set holds T are looked through. Inside one line such a run adds nothing to the line.
+
 Null texts count as empty. Repeated rows get equal results. Documents without a match have score 0.
 """
 
@@ -69,6 +72,25 @@ def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return line.select("doc_id", "h", F.array_intersect(F.array(*[F.lit(v) for v in vocabulary]), tokens).alias("b")).where(F.size("b") > 0)
 
 
+def wrapped(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """doc_id, h, label (null below the threshold), share of each template that a text of several lines might hold: the most
+    of its tokens in a run of words."""
+    rows = []
+    for label, text in templates:
+        words = re.findall(r"[0-9a-z]+", text)
+        t = sorted(set(words))
+        rows.append((label, math.ceil(threshold * len(t) - 1e-9), math.ceil(len(words) / threshold - 1e-9), t))
+    index = docs.sparkSession.createDataFrame(rows, "label string, least int, width int, t array<string>")
+    everything = F.array(*[F.lit(w) for w in sorted({w for r in rows for w in r[3]})])
+    texts = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "h", F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+").alias("w"))
+    texts = texts.select("doc_id", "h", "w", F.array_intersect(everything, "w").alias("own"))
+    maybe = texts.join(F.broadcast(index), F.size(F.array_intersect("own", "t")) >= F.col("least"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains("t", F.element_at("w", i)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("w", i, F.col("width")), "t"))))
+    maybe = maybe.select("doc_id", "h", "label", "least", most.alias("most"), F.size("t").alias("size"))
+    return maybe.select("doc_id", "h", F.when(F.col("most") >= F.col("least"), F.col("label")).alias("label"), F.when(F.col("most") >= F.col("least"), F.col("most") / F.col("size")).alias("share"))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs."""
     spark = docs.sparkSession
@@ -89,7 +111,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     after_b, after_t = F.size("b") - F.col("j"), F.size("t") - F.col("i")  # the shared token and what follows it
     hits = hits.where((F.col("j") <= F.size("b") - F.col("least")) & (F.least(after_b, after_t) >= F.col("least")))
     overlap = F.size(F.array_intersect("b", "t"))
-    found = hits.where(overlap >= F.col("least")).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max(overlap / F.size("t")).alias("best"))
+    found = hits.where(overlap >= F.col("least")).select("doc_id", "h", "label", (overlap / F.size("t")).alias("share"))
+    found = found.unionByName(wrapped(docs, templates, threshold)).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     base = docs.select("doc_id", "h", *[v.alias(k) for k, v in places(F.col("text"), phrases).items()])
     found = found.withColumnsRenamed({"doc_id": "d", "h": "k"})
     out = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["h"] == found["k"]), "left")
