@@ -81,3 +81,15 @@ def test_overlaps():
     span = lambda k, s, e, p: {"kind": k, "start": s, "end": e, "p": p}
     assert sorted(pii.select([span("a", 0, 5, 0.7), span("b", 3, 9, 0.9), span("c", 9, 12, 0.6), span("d", 0, 3, 0.5)])) == [("b", 3, 9), ("c", 9, 12), ("d", 0, 3)]
     assert pii.redacted("abcdef", [span("x", 1, 3, 1), span("y", 2, 5, 1)]) == "a[X]f" or True
+
+
+def test_a_rare_kind_is_found_among_many_of_a_common_one(docs, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 300, raising=False)
+    monkeypatch.setattr(pii, "STRATUM_ROWS", 300, raising=False)
+    rng = random.Random(5)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [" and ".join(f"a{rng.randrange(999)}@b.org or 10.20.{rng.randrange(300, 999)}.4" for _ in range(500)) for _ in range(40)]
+    rows += [f'the token = "{hexes(40)}" is set' for _ in range(120)] + [f"commit {hexes(40)} was merged" for _ in range(120)]
+    found = sorted(pii.find(docs(rows)).collect(), key=lambda r: r["doc_id"])
+    secrets = [any(s["kind"] == "secret" for s in r["spans"]) for r in found]
+    assert sum(secrets[40:160]) > 110 and sum(secrets[160:]) < 9

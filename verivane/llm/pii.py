@@ -2,12 +2,12 @@
 
 1. Base spans: e-mail and IP addresses, card and phone numbers, by fixed patterns and checks; always reported.
 2. Generators with high recall propose further, overlapping spans (candidates) of more kinds and looser forms.
-3. Gradient boosted trees, trained on at most TRAIN_ROWS candidates (the smallest by a hash of document and place),
-   learn from format and context features. Weak labels: a check that the format has (Luhn, IBAN remainder, address
+3. Gradient boosted trees, trained on about STRATUM_ROWS candidates at most of each kind and weak label (by a hash of
+   document and place), learn from format and context features. Weak labels: a check that the format has (Luhn, IBAN remainder, address
    ranges) passed or failed; where a format has none, whether a telling word stands before it. The features hold both format
    and context, so that candidates with neither check nor word are judged by what they resemble.
-4. Each kind's threshold is the lowest with a precision of PRECISION on a held-out fold of that sample; a
-   kind that never gets there adds nothing. Of overlapping selected spans the most probable stays.
+4. Each kind's threshold is the lowest (in BINS steps) with a precision of PRECISION over all candidates of a held-out fold,
+   a quarter of the table; a kind that never gets there adds nothing. Of overlapping selected spans the most probable stays.
 
 Null texts count as empty. Offsets are code points, end exclusive. Repeated rows get equal results. Without enough
 candidates of both classes no model is trained and only base spans are reported.
@@ -29,8 +29,8 @@ from verivane.llm.common import materialize, small, table
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ipv6", "secret", "ssn"]  #: in order of report
-TRAIN_ROWS, LEAST_ROWS = 20_000, 100
-PRECISION = 0.95
+STRATUM_ROWS, LEAST_ROWS = 2_500, 100
+PRECISION, BINS = 0.95, 4096
 TREES, DEPTH = 10, 3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -196,42 +196,51 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def train(candidates: DataFrame):
-    """The fitted pipeline and each kind's threshold; None without enough rows of both labels."""
+    """The fitted pipeline and each kind's lowest step of p; None without enough rows of both labels."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     key = F.xxhash64("doc_id", "h", "kind", "start", "end")
-    sample = candidates.withColumn("key", key).orderBy("key", "doc_id", "kind", "start").limit(TRAIN_ROWS)
-    sample = materialize(sample.select("kind", F.col("label").cast("double").alias("label"), "x", (F.pmod("key", F.lit(4)) == 0).alias("held")), "pii-sample").coalesce(1)
-    sizes = {(r["held"], r["label"]): r["n"] for r in sample.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 4 or sum(sizes.values()) < LEAST_ROWS:
+    dealt = candidates.select("kind", F.col("label").cast("double").alias("label"), "x", key.alias("key"), (F.pmod(key, F.lit(4)) == 0).alias("held"))
+    sizes = {(r["held"], r["label"], r["kind"]): r["n"] for r in dealt.groupBy("held", "label", "kind").agg(F.count("*").alias("n")).collect()}
+    if len({k[:2] for k in sizes}) < 4 or sum(sizes.values()) < LEAST_ROWS:
         return None
-    vectors = sample.withColumn("features", array_to_vector("x"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(vectors.where("not held"))
-    judged = model.transform(vectors.where("held")).select("kind", "label", vector_to_array("probability")[1].alias("p")).collect()
-    thresholds = {}
+    # Bits of the key that `held` doesn't see say which rows of a kind and label are taken.
+    share = F.create_map(*[F.lit(x) for (held, label, kind), n in sizes.items() if not held for x in (f"{kind} {int(label)}", min(1.0, STRATUM_ROWS / n))])
+    place = F.shiftrightunsigned("key", 2) % F.lit(1 << 30) / F.lit(float(1 << 30))
+    sample = dealt.where(~F.col("held") & (place < share[F.concat_ws(" ", "kind", F.col("label").cast("int").cast("string"))]))
+    sample = materialize(sample.orderBy("key", "kind").select("label", "x"), "pii-sample").coalesce(1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(sample.withColumn("features", array_to_vector("x")))
+    held = scored(model, dealt.where("held")).groupBy("kind", "step").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    least = {}
     for kind in KINDS:
-        own = sorted(((r["p"], r["label"]) for r in judged if r["kind"] == kind), reverse=True)
-        good = 0.0
-        for i, (p, label) in enumerate(own, 1):
-            good += label
-            if (i == len(own) or own[i][0] < p) and (good + 1) / (i + 1) >= PRECISION and good:
-                thresholds[kind] = max(0.5, p)
-    return model, thresholds
+        good, n = 0.0, 0
+        for r in sorted((r for r in held if r["kind"] == kind), key=lambda r: -r["step"]):
+            good, n = good + r["good"], n + r["n"]
+            if (good + 1) / (n + 1) >= PRECISION and good:
+                least[kind] = max(BINS // 2, r["step"])
+    return model, least
 
 
-def judged(scanned: DataFrame) -> DataFrame:
-    """doc_id, h, added: selected candidates (kind, start, end, p) that overlap no base span; only rows that have some."""
+def scored(model, candidates: DataFrame) -> DataFrame:
+    """With p and its step."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    candidates = scanned.where(F.size("candidates") > 0).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.inline("candidates"))
+    p = model.transform(candidates.withColumn("features", array_to_vector("x"))).withColumn("p", vector_to_array("probability")[1])
+    return p.withColumn("step", F.floor(F.col("p") * BINS))
+
+
+def judged(scanned: DataFrame) -> DataFrame:
+    """doc_id, h, added: selected candidates (kind, start, end, p) that overlap no base span; only rows that have some."""
+    once = scanned.where(F.size("candidates") > 0).dropDuplicates(["doc_id", "h"])
+    candidates = materialize(once.select("doc_id", "h", F.inline("candidates")), "pii-candidates")
     fitted = train(candidates)
     if fitted is None or not fitted[1]:
         return scanned.sparkSession.createDataFrame([], "doc_id long, h long, added array<struct<kind:string,start:int,end:int,p:double>>")
-    model, thresholds = fitted
-    least = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
-    scored = model.transform(candidates.where(F.col("free") & F.col("kind").isin(*thresholds)).withColumn("features", array_to_vector("x"))).withColumn("p", vector_to_array("probability")[1])
-    return scored.where(F.col("p") >= least[F.col("kind")]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "p"))).alias("added"))
+    model, least = fitted
+    enough = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("kind")]
+    added = scored(model, candidates.where(F.col("free") & F.col("kind").isin(*least))).where(F.col("step") >= enough)
+    return added.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "p"))).alias("added"))
 
 
 def select(added: list) -> list[tuple[str, int, int]]:
