@@ -91,3 +91,13 @@ def test_features_of_media(docs):
     rows = {r["doc_id"]: r for r in a.audio_features(media.withColumn("frames", media["doc_id"])).collect()}
     assert rows[1]["frames"] == len(a.log_mel(np.frombuffer(a.text_payload("Some words. " * 100)[0], np.uint8)))
     assert a.from_arrow(bytes(rows[2]["tensors"])).num_rows == 1 and all(x < y for x, y in rows[1]["segments"])
+
+
+def test_the_query_describes_stored_tensors(docs):
+    df = docs([(1, "Some words. " * 100), (2, None), (3, "x" * 9000)])
+    stored = {r["doc_id"]: bytes(r["tensors"]) for r in a.audio_features(a.text_media(df)).collect()}
+    for r in a.describe(df).collect():
+        t = a.from_arrow(stored[r["doc_id"]])
+        spans = np.c_[t["start_s"].to_numpy(), t["end_s"].to_numpy()]
+        assert r["feature"] == a.digest(stored[r["doc_id"]])
+        assert f";tensors={t.num_rows};shape={a.SPAN}x{a.MELS};spans={zlib.crc32(spans.tobytes())};" in r["feature"]

@@ -210,21 +210,27 @@ def _whole(samples: bytes) -> np.ndarray:
     return x if len(x) and len(x) % DOWN == 0 else np.r_[x, np.full(max(DOWN, -(-len(x) // DOWN) * DOWN) - len(x), 128, np.uint8)]
 
 
-def digest(mel: np.ndarray) -> str:
-    """Frames, tensors, segments, active frames, a checksum of the spans, and the mean of each mel band."""
+def digest(stored: bytes) -> str:
+    """Of stored tensors, as read back: frames, tensors and their shape, a checksum of their time spans; segments, active frames, a
+    checksum of the segments; the mean of each mel band."""
+    t = from_arrow(stored)
+    x = t["tensor"].combine_chunks().to_numpy_ndarray()
+    at = np.c_[t["start_s"].to_numpy(), t["end_s"].to_numpy()]
+    mel = x.reshape(-1, MELS)[: round(at[-1, 1] * RATE * UP / (HOP * DOWN))]
     s = segments(mel)
-    crc = zlib.crc32(s.astype("<u4").tobytes())
-    return f"frames={len(mel)};tensors={-(-len(mel) // SPAN)};segments={len(s)};active={int((s[:, 1] - s[:, 0]).sum())};spans={crc};mel=" + ",".join(map(str, np.round(mel.mean(0, dtype=np.float64), 1).tolist()))
+    crc = lambda v, kind: zlib.crc32(v.astype(kind).tobytes())
+    head = f"frames={len(mel)};tensors={len(x)};shape={x.shape[1]}x{x.shape[2]};spans={crc(at, '<f8')};segments={len(s)};active={int((s[:, 1] - s[:, 0]).sum())};edges={crc(s, '<u4')}"
+    return f"{head};mel=" + ",".join(map(str, np.round(mel.mean(0, dtype=np.float64), 1).tolist()))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads it back and describes what was read."""
+    """Stores each text, reads it back, stores its features as tensors and describes what is read from these."""
 
     def row(doc_id, text) -> tuple:
         payload, n = text_payload(text)
         media = store(payload)
         back = load(media)[0]
-        return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest(log_mel(_whole(back)))
+        return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest(as_arrow(log_mel(_whole(back))))
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
