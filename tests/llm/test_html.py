@@ -50,3 +50,18 @@ def test_given_pages(spark, small):
     for page_id, page in small("pages").select("page_id", "html").collect():
         article = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
         assert h.main_text(page) == " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split()), page_id
+
+
+@pytest.mark.parametrize("before", ["<svg class=i viewBox='0 0 1 1'/>", "<math/>", "<button>Menu", "<select><option>One", "<video-player>", "<button-group>", "<svg><path d=z>", "<button>A<button>B</button>", "<svg><svg></svg>icon</svg>"])
+def test_elements_without_an_end_tag_hide_no_article(before):
+    page = f"<body><div>{before}</div><p>{STORY}</p><p>{STORY}</p><div><button>x</button></div></body>"
+    assert h.main_text(page).endswith(f"{STORY} {STORY}") and "icon" not in h.main_text(page) and "Menu" not in h.main_text(page)
+
+
+def test_skipped_elements_take_linear_time():
+    assert h.main_text("<button><p>" * 50000 + STORY) == STORY
+
+
+def test_a_language_without_known_stop_words():
+    story = "Rada miasta ogłosiła wczoraj, że nowa droga nie zostanie zbudowana, ponieważ pieniądze są potrzebne szkołom. Debata trwała bardzo długo i zakończyła się niewielką przewagą głosów."
+    assert h.main_text(f"<body><div><a href=x>Strona</a></div><p>{story}</p><p>{story}</p></body>") == f"{story} {story}"

@@ -6,8 +6,10 @@ sidebars, notices, adverts, forms and comment sections against it): good, bad, o
 Pass two gives ambiguous blocks the label of their nearest decided neighbours; where these differ, or none is
 there, near-good blocks are kept and short ones follow their surroundings.
 
+On a page where no block has a share of STOP_LOW stop words, the language is none of theirs and few of them speak against nothing.
+
 Null or empty html gives an empty text. Broken markup is read as far as it goes; unclosed elements end with
-the page. Repeated rows give equal texts. Work per page is linear in its length; nothing is cut.
+the page, those that are skipped (but for raw text) before the next block-level tag. Repeated rows give equal texts. Work per page is linear in its length; nothing is cut.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ STOP_WORDS = frozenset(
     "al como con cuando de del desde donde el ella en entre es esta este fue ha la las lo los más me mi no nos o para pero por que se ser si sin sobre su sus también un una y ya".split()
 )
 
-SKIPPED = "script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|button|title"
+RAW = "script|style|textarea|title"  #: skipped up to their end tag
+SKIPPED = frozenset("noscript template iframe svg math object canvas audio video select button".split())
+FOREIGN = frozenset("svg math".split())  #: may be closed in their own tag
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+ENDS_SKIPPED = BLOCK - {"option"}
 HOLDS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th tr ul".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -46,12 +51,14 @@ GOOD_NAMES = frozenset("article post entry story".split())
 LONG, MEDIUM = 200, 70  #: characters
 LINKS, STOP_HIGH, STOP_LOW = 0.33, 0.30, 0.15
 
+_UNREAD = rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{SKIPPED})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"{_UNREAD}"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>"']|"[^"]{0,8192}"|'[^']{0,8192}')*+)>"""
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_SKIPPED_TAG = re.compile(rf"{_UNREAD}|<(?P<close>/?)(?P<tag>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?P<rest>[^>]*+)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _EDGE = ".,;:!?\"'()[]«»“”…"
@@ -83,11 +90,30 @@ def surroundings(tag: str, rest: str, outer: int) -> int:
     return outer
 
 
+def skips(page: str) -> dict[int, int]:
+    """Where each skipped element that is closed starts, and where it ends."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _SKIPPED_TAG.finditer(page):
+        if not m["tag"]:
+            continue
+        tag = m["tag"].lower()
+        if not m["close"]:
+            if tag in FOREIGN and m["rest"].endswith("/"):
+                ends[m.start()] = m.end()
+            else:
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool]]:
     """Text, surroundings, share of linked characters, heading or not, of each block in order."""
     out: list[tuple[str, int, float, bool]] = []
     stack: list[tuple[str, int]] = []
     hint, in_link, heading, at = 0, 0, False, 0
+    ends, unclosed = skips(page), False
     words: list[str] = []
     linked: list[str] = []
 
@@ -100,8 +126,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
                 out.append((text, hint, len(inside) / len(text), heading))
             words, linked = [], []
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not unclosed:
             words.append(page[at : m.start()])
             if in_link:
                 linked.append(words[-1])
@@ -110,7 +136,14 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
         if not tag:
             continue
         tag, closing = tag.lower(), m["close"] or m["close2"]
-        if tag == "a":
+        if unclosed and tag in ENDS_SKIPPED:
+            unclosed = False
+        if tag in SKIPPED and not closing:
+            at = ends.get(m.start(), at)
+            unclosed |= m.start() not in ends
+        elif unclosed:
+            continue
+        elif tag == "a":
             in_link = 0 if closing else 1
         elif tag == "br":
             words.append(" ")
@@ -128,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
                             hint = stack[i][1]
                             del stack[i:]
                             break
-    if at < len(page):
+    if at < len(page) and not unclosed:
         words.append(page[at:])
         if in_link:
             linked.append(words[-1])
@@ -136,8 +169,13 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
     return out
 
 
-def first_pass(text: str, hint: int, links: float, heading: bool) -> str:
-    """good, bad, short or near."""
+def stop_density(text: str) -> float:
+    tokens = text.lower().split()
+    return sum(t in STOP_WORDS or t.strip(_EDGE) in STOP_WORDS for t in tokens) / len(tokens)
+
+
+def first_pass(text: str, hint: int, links: float, heading: bool, known: bool = True) -> str:
+    """good, bad, short or near. known: whether the page is in a language whose stop words are known."""
     if hint < 0:
         return "bad"
     if links > LINKS and (hint == 0 or links > 0.8 and len(text) < MEDIUM):
@@ -148,11 +186,10 @@ def first_pass(text: str, hint: int, links: float, heading: bool) -> str:
         return "short"
     if len(text) < MEDIUM:
         return "bad" if links > 0 else "short"
-    tokens = text.lower().split()
-    density = sum(t in STOP_WORDS or t.strip(_EDGE) in STOP_WORDS for t in tokens) / len(tokens)
+    density = stop_density(text)
     if density >= STOP_HIGH:
         return "good" if len(text) >= LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    return "near" if density >= STOP_LOW or not known else "bad"
 
 
 def second_pass(found: list[tuple[str, int, float, bool]], labels: list[str]) -> list[bool]:
@@ -188,7 +225,8 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if any(hint > 0 for _, hint, _, _ in found):  # a marked article: what stands outside it is not part of it
         found = [(t, hint or -1, links, h) for t, hint, links, h in found]
-    labels = [first_pass(*b) for b in found]
+    known = any(hint > 0 for _, hint, _, _ in found) or any(len(t) >= MEDIUM and stop_density(t) >= STOP_LOW for t, _, _, _ in found)
+    labels = [first_pass(*b, known) for b in found]
     return " ".join(b[0] for b, kept in zip(found, second_pass(found, labels)) if kept)
 
 
