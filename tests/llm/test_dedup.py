@@ -72,11 +72,53 @@ def test_families_with_borderline_links(docs):
     check(docs, rows)
 
 
-def test_blocks_of_large_buckets(docs, monkeypatch):
+def test_blocks_of_large_buckets_and_families(docs, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 8)
+    monkeypatch.setattr(dedup, "BUCKET", 8)
     rng = random.Random(8)
-    base = [f"w{rng.randrange(400)}" for _ in range(80)]
-    check(docs, [(i, edited(rng, base, rng.choice((0, 2, 5, 7, 8)))) for i in range(70)])
+    rows = []
+    for seed in range(3):
+        base = [f"w{rng.randrange(400)}" for _ in range(80)]
+        rows += [(len(rows) + i, edited(rng, base, rng.choice((0, 2, 5, 7, 8)))) for i in range(70)]
+    check(docs, rows)
+
+
+def test_chain_of_links(docs):
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):  # each links with its neighbours only
+        words[i : i + 2] = [f"new{i}", f"other{i}"]
+        rows.append((40 - i, " ".join(words)))
+    check(docs, rows)
+
+
+def test_rows_grow_with_the_classes(docs, monkeypatch):
+    """Four times as many near copies in one group: at most five times as many rows in blocks and links."""
+    counted = {}
+
+    def watch(name):
+        inner = getattr(dedup, name)
+
+        def outer(*args, **kw):
+            out = inner(*args, **kw)
+            counted[name] = counted.get(name, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(dedup, name, outer)
+
+    monkeypatch.setattr(dedup, "BLOCK", 256)
+    monkeypatch.setattr(dedup, "BUCKET", 512)
+    for name in ("in_buckets", "best_leaders", "star_families", "in_blocks", "family_links"):
+        watch(name)
+    seen = []
+    for n in (150, 600):
+        counted.clear()
+        rng = random.Random(9)
+        base = [f"w{i}" for i in range(100)]
+        check(docs, [(i, edited(rng, base, rng.choice((0, 1, 2, 3, 4, 5, 8)))) for i in range(n)])
+        seen.append(dict(counted))
+    for name, few in seen[0].items():
+        assert seen[1][name] <= 5 * max(few, 200), (name, seen)
 
 
 def test_given_table(docs, small):
@@ -112,3 +154,20 @@ def test_one_of_each_group_stays(docs):
     text = " ".join(f"w{i}" for i in range(50))
     kept = dedup.deduplicate(docs([(2, text), (1, text + " more"), (3, "other"), (3, "other"), (4, None)])).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [1, 3, 4]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    names = ["doc_id", "text", "h", "g", "c", "k", "v", "p", "d", "n", "kept", "component_id"]
+    rows = [(i, t, *range(10)) for i, t in [(4, None), (4, None), (5, ""), (5, ""), (3, text), (3, text), (3, text + " tail"), (9, text), (None, "all alone"), (None, "all alone")]]
+    out = dedup.deduplicate(spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names)))
+    assert out.columns == names
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(kept[i][0] or -1 for i in range(len(kept))) == [-1, 3, 4, 4, 5, 5]
+    assert all(r["h"] == 0 and r["component_id"] == 9 for r in out.collect())
+
+
+def test_class_hash_has_128_bits():
+    rng = np.random.default_rng(1)
+    found = {dedup.set_hash(np.unique(rng.integers(0, 2**63, 5).astype(np.uint64))) for _ in range(2000)}
+    assert len({a for a, _ in found}) == len({b for _, b in found}) == 2000
