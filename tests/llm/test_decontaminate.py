@@ -21,11 +21,14 @@ def brute(rows, items):
         if w:
             k = min(d.WIDTH, len(w))
             runs[i] = (len(w), k, [tuple(w[a : a + k]) for a in range(len(w) - k + 1)])
-    holders = defaultdict(set)
+    slot = lambda s: int(d.slots(d.run_hashes(d.words(" ".join(s).encode()), len(s)))[0])
+    holders, count = defaultdict(set), Counter()
     for i, (_, _, r) in runs.items():
-        for s in r:
+        for s in set(r):
             holders[s].add(i)
-    weight = lambda s: round(d.SCALE * (1 + math.log(len(runs) / max(1, len(holders.get(s, ()))))))
+        count.update({slot(s) for s in r})
+    cache = {}
+    weight = lambda s: cache.setdefault(s, round(d.SCALE * (1 + math.log(len(runs) / max(1, count[slot(s)])))))
     out = {}
     for doc, t in rows:
         w = tokens(t)
@@ -71,11 +74,27 @@ def test_given_tables(small):
     assert inside <= got and len(got) <= len(inside) + 3
 
 
-def test_blocks_of_items_change_little(small, monkeypatch):
-    pairs = lambda: {(r["doc_id"], r["item_id"]) for r in d.contaminated(small("documents"), small("benchmark")).collect()}
+def test_blocks_of_items_change_nothing(small, monkeypatch):
+    key = lambda r: (r["doc_id"], r["item_id"], r["start_word"], round(r["similarity"], 12))
+    pairs = lambda: {key(r) for r in d.contaminated(small("documents"), small("benchmark")).collect()}
     whole = pairs()
     monkeypatch.setattr(d, "ITEMS", 15)
     assert pairs() == whole
+    monkeypatch.setattr(d, "ITEMS", 2000)
+    monkeypatch.setattr(d, "ITEM_BYTES", 1500)
+    monkeypatch.setattr(d, "PAIRS", 3)
+    assert pairs() == whole
+
+
+def test_ids_that_are_null_or_shared_and_clashing_columns(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    items = spark.createDataFrame([(1, one, 0), (1, two, 0), (1, two, 0), (None, three, 0)], "item_id long, text string, h long")
+    rows = [(i, f"x y {t} z", 7, 8, 9) for i, t in enumerate((one, two, three, "none"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, h long, g long, d long")
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in d.contaminated(table, items).collect()) == [(0, 1), (1, 1), (2, 0)]
+    left = d.clean(table, items)
+    assert left.columns == table.columns and [tuple(r) for r in left.collect()] == [(3, "x y none z", 7, 8, 9)]
+
 
 
 def test_odd_rows(spark, docs, small):

@@ -1,18 +1,23 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact verification.
 
 Words are runs of letters and digits in lower case, shingles five of them (an item of fewer is one shingle). A shingle weighs
-more the fewer items hold it: 1 + ln(items / items with it). A window has as many words as an item; every place in
-a document is a window's start, but for windows whose shingles known to the benchmark weigh less than the threshold's
-share of the lightest item of that size: their similarity to any is below it.
+more the fewer items of the whole benchmark hold it: 1 + ln(items / items with it). These counts are kept in SLOTS slots by
+the shingle's hash, so that their table is bounded whatever the benchmark's size; shingles that share a slot count as one there.
+A window has as many words as an item; every place in a document is a window's start, but for windows whose shingles known to the
+benchmark weigh less than the threshold's share of the lightest item of that size: their similarity to any is below it.
 
 - The 64-bit SimHash of a window is the sign of its shingles' weighted bit sums, by differences of running sums.
 - Fingerprints are cut into BLOCKS blocks. Two within RADIUS differ by at most RADIUS // BLOCKS bits in one of them
   (pigeonhole), so a table of each block's values with all items that near finds every item within the radius.
 - Survivors are verified: weighted Jaccard similarity of the two multisets of shingles, THRESHOLD or more.
 
-Items are read in blocks of about ITEMS, by hash, each sent to the tasks in turn: that bounds what is broadcast. Null and
-empty texts and items match nothing. Repeated documents give repeated rows; of an item's windows the best, then the first,
-is reported.
+Items are read in blocks, by hash, of about ITEMS items and ITEM_BYTES bytes at most: a query set held against all documents, a
+block at a time, so that neither a task nor the driver holds more than one. A pair's similarity and fingerprints don't depend on the blocks.
+
+Null and empty texts and items match nothing. Items are told apart by item_id and text, so that an id may be null or have
+several texts; equal items count once. Repeated documents give repeated rows; of an item's windows the best, of equally good ones the
+first, is reported. Texts are read whole; windows are compared in pieces of PAIRS pairs at most. An empty table of documents
+or items gives no rows. Other columns of either table may have any names; clean() keeps those of docs.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small, small_side, table, word_hashes
+from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small, small_side, table, text_hashes, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 22, 8
-ITEMS = 2000
+ITEMS, ITEM_BYTES, PAIRS = 2000, 1 << 23, 1 << 20
+SLOTS = 1 << 22
 SCALE = 16  #: weights as whole numbers
 
 
@@ -49,25 +55,28 @@ def near(block: int) -> np.ndarray:
     return np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(block)) <= RADIUS // BLOCKS
 
 
+def slots(runs: np.ndarray) -> np.ndarray:
+    return (runs & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def weight(items: int, holders: int) -> int:
+    return round(SCALE * (1 + math.log(max(1.0, items / holders))))
+
+
 class Index:
-    """The items of a block, grouped by their number of words."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        hashed = [(i, w) for i, t in items if len(w := words(t))]
-        self.runs = {i: run_hashes(w, min(WIDTH, len(w))) for i, w in hashed}
-        holders: dict[int, int] = defaultdict(int)
-        for runs in self.runs.values():
-            for s in set(runs.tolist()):
-                holders[s] += 1
-        self.known = np.array(sorted(holders), np.uint64)
-        n = len(hashed)
-        self.weights = np.array([self.weight(n, holders[s]) for s in self.known.tolist()], np.int64)
-        self.plain = self.weight(n, 1)
+    """The items of a block, grouped by their number of words. weights: of each slot of the whole benchmark."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], weights: np.ndarray):
+        self.table = weights
+        hashed = [(k, w) for k, (_, t) in enumerate(items) if len(w := words(t))]
+        self.names = [i for i, _ in items]
+        self.runs = {k: run_hashes(w, min(WIDTH, len(w))) for k, w in hashed}
+        self.known = np.unique(np.concatenate([*self.runs.values(), np.empty(0, np.uint64)]))
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
         groups: dict[int, list[int]] = defaultdict(list)
-        for i, w in hashed:
-            groups[len(w)].append(i)
+        for k, w in hashed:
+            groups[len(w)].append(k)
         self.groups = {}
         for size, ids in sorted(groups.items()):
             prints = np.stack([self.fingerprints(self.runs[i], len(self.runs[i]))[0] for i in ids])
@@ -78,20 +87,14 @@ class Index:
             least = THRESHOLD * min(int(self.lookup(self.runs[i])[1].sum()) for i in ids)
             self.groups[size] = (np.array(ids), prints, tables, least)
 
-    @staticmethod
-    def weight(items: int, holders: int) -> int:
-        return round(SCALE * (1 + math.log(items / holders)))
-
     def lookup(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which shingles some item holds; all shingles' weights."""
-        known, weight = np.zeros(len(runs), bool), np.full(len(runs), self.plain, np.int64)
+        """Which shingles some item of the block holds; all shingles' weights."""
+        known = np.zeros(len(runs), bool)
         maybe = np.flatnonzero(self.filter[(runs & np.uint64(0xFFFF)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.known, runs[maybe]), len(self.known) - 1)
-            hit = self.known[at] == runs[maybe]
-            known[maybe[hit]] = True
-            weight[maybe[hit]] = self.weights[at[hit]]
-        return known, weight
+            known[maybe] = self.known[at] == runs[maybe]
+        return known, self.table[slots(runs)].astype(np.int64)
 
     def fingerprints(self, runs: np.ndarray, size: int) -> np.ndarray:
         """(windows, 8 bytes) of the windows of `size` shingles."""
@@ -107,7 +110,7 @@ class Index:
         weight = self.lookup(both)[1]
         return float((np.minimum(a, b) * weight).sum() / (np.maximum(a, b) * weight).sum())
 
-    def matches(self, data: bytes | None) -> list[tuple[int, int, int, float]]:
+    def matches(self, data: bytes | None) -> list[tuple[int | None, int, int, float]]:
         """Item, first word, number of words, similarity of each item found."""
         w = words(data)
         best: dict[int, tuple[float, int, int]] = {}
@@ -126,7 +129,8 @@ class Index:
                 starts = np.flatnonzero(heavy[span:] - heavy[:-span] >= least)
                 if not len(starts):
                     continue
-                for near_by in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
+                most = max(1, PAIRS // len(ids))
+                for near_by in (x[i : i + most] for x in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1) for i in range(0, len(x), most)):
                     first = int(near_by[0])
                     part = runs[first : int(near_by[-1]) + span]
                     own = self.fingerprints(part, span)[near_by - first]
@@ -139,45 +143,75 @@ class Index:
                         s = self.similarity(runs[at : at + span], int(ids[k]))
                         if s >= THRESHOLD and s > best.get(int(ids[k]), (0.0, 0, 0))[0]:
                             best[int(ids[k])] = (s, at, size)
-        return [(i, at, size, s) for i, (s, at, size) in sorted(best.items())]
+        return [(self.names[k], at, size, s) for k, (s, at, size) in sorted(best.items())]
+
+
+def usable(items: DataFrame) -> DataFrame:
+    """Distinct item_id, text (bytes) of the items with a text."""
+    return items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+
+
+def slot_weights(items: DataFrame) -> np.ndarray:
+    """The weight of each slot, by counts over the whole benchmark; items as usable() gives them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [np.unique(slots(run_hashes(w, min(WIDTH, len(w))))) for w in map(words, b.column(0).to_pylist()) if len(w)]
+            yield pa.record_batch([pa.array(np.concatenate([*found, np.full(len(found), -1)]).astype(np.int64))], names=["slot"])
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """Items by their hash, a block at a time."""
-    items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    n = -(-items.count() // ITEMS)
-    for k in range(n):
-        yield [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+    counted = items.select("text").mapInArrow(run, "slot long").groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    slot, n = (counted.column(c).to_numpy() for c in ("slot", "n"))
+    total = int(n[slot < 0].sum())  # one row of slot -1 an item
+    holders, at = np.unique(n[slot >= 0], return_inverse=True)
+    out = np.full(SLOTS, weight(max(1, total), 1), np.int16)
+    if len(at):
+        out[slot[slot >= 0]] = np.array([weight(total, h) for h in holders.tolist()])[at]
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), item_id, start_word, n_words, similarity of each item found in a document."""
-    schema = "doc_id long, h long, item_id long, start_word long, n_words long, similarity double"
-    names = ["doc_id", "h", "item_id", "start_word", "n_words", "similarity"]
-    kinds = [pa.int64()] * 5 + [pa.float64()]
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    """doc_id, h and g (hash of the text), item_id, start_word, n_words, similarity of each item found in a document."""
+    schema = "doc_id long, h long, g long, item_id long, start_word long, n_words long, similarity double"
+    names = ["doc_id", "h", "g", "item_id", "start_word", "n_words", "similarity"]
+    kinds = [pa.int64()] * 6 + [pa.float64()]
+    context = docs.sparkSession.sparkContext
+    items = materialize(usable(items), "items")
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if not count:
+        return docs.sparkSession.createDataFrame([], schema)
+    weights = context.broadcast(slot_weights(items))
+    blocks = max(-(-count // ITEMS), -(-size // ITEM_BYTES))
+    source = docs.select(F.col("doc_id").cast("long"), *text_hashes(), "text")
+
+    def scan(k: int) -> DataFrame:
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        block = context.broadcast([(r[0], bytes(r[1])) for r in own])
 
-    def scan(block: list[tuple[int, bytes]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block)
+            index = Index(block.value, weights.value)
             for b in small(batches):
-                rows = [(d, h, *m) for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()) for m in index.matches(t)]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+                rows = [(*own, *m) for *own, t in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.binary()).to_pylist()) for m in index.matches(t)]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
-        return source.mapInArrow(run, schema)
+        found = source.mapInArrow(run, schema)
+        if blocks == 1:
+            return found
+        found = materialize(found, f"contaminated-{k}")
+        block.destroy()
+        return found
 
-    found = [scan(block) for block in item_blocks(items)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [scan(k) for k in range(blocks)])
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    gone = materialize(contaminated(docs, items).select(F.col("doc_id").alias("d"), F.col("h").alias("k")).distinct(), "contaminated")
-    return docs.join(small_side(gone), docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["k"]), "left_anti")
+    gone = materialize(contaminated(docs, items).select(F.col("doc_id").alias("d"), "h", "g").distinct(), "contaminated")
+    h, g = (c == gone[n] for c, n in zip(text_hashes(docs["text"]), "hg"))
+    return docs.join(small_side(gone), docs["doc_id"].eqNullSafe(gone["d"]) & h & g, "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h", "g")
 
 
 QUERIES = {"op7_decontamination": op7_decontamination}

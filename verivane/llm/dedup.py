@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import discard, materialize, mix64, shingles, small, small_side, table, word_hashes
+from verivane.llm.common import discard, materialize, mix64, shingles, small, small_side, table, text_hashes, word_hashes
 
 REGISTERS, BANDS = 128, 32
 ROWS = REGISTERS // BANDS
@@ -88,11 +88,6 @@ def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield shingles(word_hashes((data or b"").lower()), width)
 
 
-def text_hashes(text: str = "text") -> list[Column]:
-    """128 bits of a text's hash: h and g."""
-    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
-
-
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, h and g (hash of the text), n (size of its set), c and k (class: hash of its set, null if empty), sig."""
 
