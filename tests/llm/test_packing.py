@@ -65,7 +65,6 @@ def test_both_vocabulary_files_agree():
     import public_tokenizers
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     rng = random.Random(5)
     alphabet = "ab  \n\n\t,.'s1é\r🙂ßſK<|endoftext|>İ ̀中"
     for _ in range(3000):
@@ -85,17 +84,46 @@ def test_crossover_keeps_every_item():
     assert kept  # whole sequences of the second parent
 
 
-def test_evolution_reaches_a_known_optimum():
-    rng = np.random.default_rng(3)
-    lengths = []
-    for _ in range(20):  # 20 full sequences, cut in three
-        x, y = sorted(rng.choice(np.arange(1, 100), 2, replace=False))
-        lengths += [x, y - x, 100 - y]
-    lengths = np.array(lengths, np.int32)
-    first = packing.evolve(lengths, [], 100, 0)
-    for epoch in range(10):
-        first = packing.evolve(lengths, first, 100, epoch + 1)
-    assert first[0].max() + 1 <= 21
+def test_marks_become_their_ids(docs):
+    assert packing.encoder()("a<|endoftext|>b").tolist()[1] == 50256
+    rows = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 300)]
+    check(packing.pack(docs(rows), capacity=100), rows, 100)
+
+
+def triples(seed, n, capacity=1000):
+    """n full sequences of three pieces each, all between a quarter and a half of the capacity."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(max(251, 1000 - a - 499), min(499, 1000 - a - 251))
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_the_genetic_search_beats_best_fit_where_that_misses_the_bound():
+    gained = 0
+    for seed in range(4):
+        lengths = np.array(sorted(triples(seed, 40), reverse=True), np.int32)
+        plain = int(packing.evolve(lengths, [], 1000, seed, generations=0)[0].max()) + 1
+        found = packing.evolve(lengths, [], 1000, seed, generations=60)
+        bins = int(found[0].max()) + 1
+        assert packing.fills(found[0], lengths).max() <= 1000 and 40 <= bins <= plain
+        gained += plain - bins
+    assert gained >= 4
+
+
+def test_more_levels_than_three(docs, monkeypatch):
+    """Parts of few pieces that leave much over: pooled until nothing is gained, each piece placed once."""
+    monkeypatch.setattr(packing, "PART", 8)
+    rng = random.Random(4)
+    rows = [(i, "x " * rng.randrange(30, 70)) for i in range(160)]
+    check(packing.pack(docs(rows), capacity=100), rows, 100)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, None, 7, 8, 9)], "doc_id long, text string, item long, part long, length long")
+    check(packing.pack(df), [(1, "a b"), (2, None)], packing.CAPACITY)
 
 
 def test_cut():

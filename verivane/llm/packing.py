@@ -5,21 +5,25 @@ may be shorter. Full pieces are sequences of their own. The others are dealt by
 (so that a part's lengths are distributed as the corpus's are), and each part is solved by ISLANDS populations:
 
 - crossover injects the best-filled whole sequences of one parent into another, drops those that hold a piece
-  twice, and best-fits displaced pieces, longest first;
-- fitness is the mean squared fill; the lower bound (total / capacity) ends the search;
+  twice, exchanges pieces left for longer displaced ones that fill their sequence better, and best-fits the rest, longest first;
+- mutation dissolves the emptiest sequence and some others in the same way;
+- fitness is the number of sequences, then the mean squared fill; the lower bound (total / capacity) ends the search;
 - after each epoch every island's elite migrates to the next island of its part (a shuffle of one row an island).
 
+The first member of each population is plain best-fit; where that meets the bound nothing can be better and nothing is searched.
 What ends up in sequences filled below REPACK is pooled over all parts and packed again in the same way, until one part
-holds it. A solution is one row of a bounded size; no group grows with the input.
+holds it or a level pools nearly all it was given. A solution is one row of a bounded size; no group grows with the input.
 
-Null texts count as empty and take one token. Equal rows are packed each on their own. An empty table gives no rows.
+Null texts count as empty and take one token. Texts are encoded whole; equal rows are packed each on their own; pieces of equal
+lengths go by their number. An empty table gives no rows. Only doc_id and text are read, other columns may have any names.
+The vocabulary's own marks in a text (`<|endoftext|>`) become their ids, as the JSON file says.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from verivane.llm.common import materialize, small, table
 
 CAPACITY = 2048
-PART, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 3, 4
-REPACK, LEVELS = 0.95, 3
+PART, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 12, 6
+REPACK = 0.95
 TOKENIZER = "byte_bpe_50k"
 
 #: Characters on whose classes all regular-expression engines agree; texts with others take the slower library.
@@ -46,26 +50,24 @@ _OTHER = re.compile("[^\x00-ɏ‐-‧€]")
 
 @lru_cache(2)
 def encoder(name: str = TOKENIZER):
-    """text -> ids as uint32. The vocabulary's two forms give equal ids; the ranked one is several times faster."""
+    """text -> ids as uint32. The vocabulary's two forms give equal ids; the ranked one is several times faster, but knows no marks."""
     import base64
+    import json
     from pathlib import Path
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    @lru_cache(1)
-    def slow() -> Tokenizer:
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        tokenizer.encode_special_tokens = True
-        return tokenizer
-
+    described = public_tokenizers.path(f"{name}.json")
+    marks = [t["content"] for t in json.loads(Path(described).read_text(encoding="utf-8"))["added_tokens"]]
+    slow = lru_cache(1)(lambda: Tokenizer.from_file(described))
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(public_tokenizers.path(f"{name}.tiktoken")).read_bytes().splitlines())}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        found = slow().encode(text, add_special_tokens=False).ids if _OTHER.search(text) else fast.encode_ordinary(text)
-        return np.array([*found, 0], "<u4")
+        plain = not _OTHER.search(text) and not any(m in text for m in marks)
+        return np.array([*(fast.encode_ordinary(text) if plain else slow().encode(text, add_special_tokens=False).ids), 0], "<u4")
 
     return ids
 
@@ -152,6 +154,39 @@ def fitness(solution: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return float((f * f).mean())
 
 
+def repaired(groups: list[list[int]], displaced: list[int], lengths: list[int], capacity: int, frozen: int = 0) -> np.ndarray:
+    """The solution of these sequences and displaced pieces. Where a longer displaced piece (at most the room longer) can take the
+    place of one in a sequence, but for the first `frozen`, the best such exchange is made; then the rest is best-fitted."""
+    waiting = sorted((lengths[i], i) for i in displaced)
+    bins = Bins(capacity)
+    for k, group in enumerate(groups):
+        fill = sum(lengths[i] for i in group)
+        room = capacity - fill
+        if k >= frozen and room and waiting and len(waiting) <= len(lengths) // 2:
+            best = (0, 0, 0)
+            for i, item in enumerate(group):
+                at = bisect.bisect_right(waiting, (lengths[item] + room, len(lengths))) - 1
+                if at >= 0 and waiting[at][0] - lengths[item] > best[0]:
+                    best = (waiting[at][0] - lengths[item], i, at)
+            if best[0]:
+                gain, i, at = best
+                new, old = waiting.pop(at)[1], group[i]
+                group = [*group[:i], new, *group[i + 1 :]]
+                bisect.insort(waiting, (lengths[old], old))
+                fill += gain
+        bins.add(group, fill)
+    for length, i in reversed(waiting):
+        bins.put(i, length)
+    return bins.numbers(len(lengths))
+
+
+def sequences(solution: np.ndarray, kept: np.ndarray) -> list[list[int]]:
+    """The kept pieces of each sequence that has some."""
+    where = np.flatnonzero(kept)
+    where = where[np.argsort(solution[where], kind="stable")]
+    return [g.tolist() for g in np.split(where, np.flatnonzero(np.diff(solution[where])) + 1)] if len(where) else []
+
+
 def crossover(a: np.ndarray, b: np.ndarray, lengths: list[int], capacity: int, rng: random.Random) -> np.ndarray:
     """Well-filled sequences of b go whole into a; a's sequences that share a piece with them are dissolved."""
     array = np.asarray(lengths)
@@ -162,19 +197,23 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: list[int], capacity: int, r
     injected = chosen[b]
     dissolved = np.zeros(int(a.max()) + 1, bool)
     dissolved[a[injected]] = True
-    bins = Bins(capacity)
-    for solution, kept in ((b, injected), (a, ~dissolved[a])):
-        where = np.flatnonzero(kept)
-        where = where[np.argsort(solution[where], kind="stable")]
-        for group in np.split(where, np.flatnonzero(np.diff(solution[where])) + 1) if len(where) else []:
-            bins.add(group.tolist(), int(array[group].sum()))
-    displaced = np.flatnonzero(dissolved[a] & ~injected)
-    for i in displaced[np.argsort(-array[displaced], kind="stable")].tolist():
-        bins.put(i, lengths[i])
-    return bins.numbers(len(lengths))
+    whole, rest = sequences(b, injected), sequences(a, ~dissolved[a])
+    rng.shuffle(rest)
+    return repaired(whole + rest, np.flatnonzero(dissolved[a] & ~injected).tolist(), lengths, capacity, len(whole))
+
+
+def mutation(a: np.ndarray, lengths: list[int], capacity: int, rng: random.Random) -> np.ndarray:
+    """The emptiest sequence and a few others are dissolved."""
+    fill = fills(a, np.asarray(lengths))
+    dissolved = np.zeros(len(fill), bool)
+    dissolved[rng.sample(range(len(fill)), max(1, len(fill) // 20))] = True
+    dissolved[int(fill.argmin())] = True
+    rest = sequences(a, ~dissolved[a])
+    rng.shuffle(rest)
+    return repaired(rest, np.flatnonzero(dissolved[a]).tolist(), lengths, capacity)
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int) -> list[np.ndarray]:
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int | None = None) -> list[np.ndarray]:
     """The next population, best first. An empty one is filled up first."""
     rng, plain, n = random.Random(seed), lengths.tolist(), len(lengths)
     bound = -(-int(lengths.sum()) // capacity)
@@ -186,13 +225,18 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, see
         jitter = np.random.default_rng(rng.randrange(1 << 30)).random(n) * 0.2 + 0.9
         out.append(best_fit(plain, np.argsort(-lengths * jitter, kind="stable").tolist(), capacity))
     score = lambda s: (int(s.max()) + 1, -fitness(s, lengths, capacity))
-    out.sort(key=score)
-    for _ in range(GENERATIONS):
-        if int(out[0].max()) + 1 <= bound or len(out) < 2:
+    out = sorted(((score(s), k, s) for k, s in enumerate(out)), key=lambda x: x[:2])
+    for _ in range(GENERATIONS if generations is None else generations):
+        if out[0][0][0] <= bound:
             break
-        a, b = rng.sample(range(min(len(out), POPULATION)), 2)
-        out = sorted([*out, crossover(out[a], out[b], plain, capacity, rng), crossover(out[b], out[a], plain, capacity, rng)], key=score)[:POPULATION]
-    return out
+        a, b = rng.sample(range(len(out)), 2) if len(out) > 1 else (0, 0)
+        new = [crossover(out[a][2], out[b][2], plain, capacity, rng), crossover(out[b][2], out[a][2], plain, capacity, rng)]
+        new += [mutation(new[0], plain, capacity, rng), mutation(out[0][2], plain, capacity, rng)]
+        seen: dict = {}
+        for k, (grade, s) in enumerate([(x[0], x[2]) for x in out] + [(score(s), s) for s in new]):
+            seen.setdefault(grade, (grade, k, s))  # equal fitness: most likely the same sequences
+        out = sorted(seen.values(), key=lambda x: x[:2])[:POPULATION]
+    return [x[2] for x in out]
 
 
 # ---- all parts --------------------------------------------------------------------------------------
@@ -200,9 +244,8 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, see
 _STATE = "part long, island int, ids binary, lengths binary, population array<binary>"
 
 
-def solve(items: DataFrame, capacity: int, name: str) -> DataFrame:
-    """item, part, bin (in its part), at (place in it), fill of each item (item long, length long)."""
-    n = items.count()
+def solve(items: DataFrame, n: int, capacity: int, name: str) -> DataFrame:
+    """item, part, bin (in its part), at (place in it), fill of each of n items (item long, length long)."""
     parts = max(1, -(-n // PART))
     dealt = items.select(F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part"), "item", "length", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
 
@@ -256,16 +299,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
     full = every.where(F.col("length") == capacity).select("*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = every.where(F.col("length") < capacity)
     placed: list[DataFrame] = []
-    for level in range(LEVELS):
-        solved = materialize(solve(items.select("item", "length"), capacity, str(level)), f"packed-{level}")
-        good = (F.col("fill") >= REPACK * capacity) if level < LEVELS - 1 else F.lit(True)
-        number = F.lit(level * (1 << 58)) + F.col("part") * (1 << 16) + F.col("bin")
-        last = level == LEVELS - 1 or solved.agg(F.max("part")).first()[0] in (None, 0)  # nothing left to pool
+    left, level = items.count(), 0
+    while True:
+        solved = materialize(solve(items.select("item", "length"), left, capacity, str(level)), f"packed-{level}")
+        good = F.col("fill") >= REPACK * capacity
+        poor = 0 if left <= PART else solved.where(~good).count()
+        last = poor == 0 or poor > 0.9 * left  # one part, or nothing gained by pooling
+        number = F.lit(level * (1 << 50)) + F.col("part") * (1 << 20) + F.col("bin")
         kept = solved if last else solved.where(good)
         placed.append(items.join(kept, "item").select(*every.columns, number.alias("sequence_id"), F.col("at").alias("offset")))
         if last:
             break
         items = materialize(items.join(solved.where(~good).select("item"), "item", "left_semi"), f"repack-{level}")
+        left, level = poor, level + 1
     out = full
     for p in placed:
         out = out.unionByName(p)
