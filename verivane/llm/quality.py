@@ -1,29 +1,35 @@
 """Quality classifier by co-training: what a text holds, and what is known about it.
 
 The first view is the text's content: shares of character kinds, word and line statistics, repetition, and a hashed bag of
-words. The second is its metadata: source, language, length. Each has a logistic regression. In each round either
-classifier labels a pool of unlabelled documents, and its most confident ones, of both classes in the proportion of the
+words. The second is its metadata: source, language, length in characters. Each has a logistic regression. In each round both
+score all unlabelled documents, and the GROWTH ones that each is most sure of, in both classes in the proportion of the
 labelled ones, are added to the other's training set. Then both are calibrated on a held-out fold; the sum
 of their calibrated logits, itself calibrated, scores every document: P(good). 0.5 and above is kept.
 
-Fitting is bounded: at most LABELLED labelled and POOL unlabelled documents, the smallest by a hash of doc_id. Scores cover
-every whole text. Null texts count as empty, null metadata as a value of their own. Labels without doc_id or
-quality are not used. Without labels of both classes nothing can be learned: score 0.5, all are kept.
+Views are computed once and written (content in 16 bits a feature); rounds and scores read them. The labelled sample is bounded: at
+most LABELLED documents, the smallest by a hash of doc_id. Pseudo-labels come from all unlabelled rows: each task keeps its
+most confident GROWTH, of which the most confident of all are taken; copies count once, ties go by hash.
+Toxicity is not quality: `labels.toxic` is not read.
+
+Every whole text is scored. Null texts count as empty, null metadata as a value of their own, a null n_chars as the text's length.
+Columns of the metadata may be missing, others may have any names. Labels without doc_id or quality are not used; of several
+labels of a document the best counts, of several rows of a labelled document the smallest by its columns. Repeated rows get
+equal scores. Without labels of both classes nothing can be learned: score 0.5, all are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import NOT_ALNUM, mix64, run_hashes, small, table, word_hashes, word_spans
+from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small, small_side, table, word_hashes, word_spans
 
-LABELLED, POOL, ROUNDS, GROWTH = 8000, 8000, 3, 400
+LABELLED, ROUNDS, GROWTH = 8000, 3, 400
 BAG, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
 OWN_ROWS = 200  #: labelled rows for each unit of the views' penalty
 FOLD = 4  #: one labelled document in so many calibrates
@@ -69,28 +75,49 @@ def content_view(text: bytes) -> np.ndarray:
 METADATA = SOURCES + LANGS + LENGTHS
 
 
-def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(METADATA, np.float32)
+def metadata_view(source: str | None, lang: str | None, n_chars: int | None) -> tuple[int, int, int]:
+    """Which of the METADATA features are 1."""
+    out = []
     for value, size, at in ((source, SOURCES, 0), (lang, LANGS, SOURCES)):
         key = word_hashes(b"v" + ("\0" if value is None else str(value)).encode("utf-8", "surrogatepass").replace(b" ", b"_"))
-        out[at + int(key[0] % np.uint64(size))] = 1
-    out[SOURCES + LANGS + (0 if n_chars is None else min(LENGTHS - 1, 1 + max(0, int(n_chars)).bit_length()))] = 1
-    return out
+        out.append(at + int(key[0] % np.uint64(size)))
+    return *out, SOURCES + LANGS + (0 if n_chars is None else min(LENGTHS - 1, 1 + max(0, int(n_chars)).bit_length()))
+
+
+def unpacked(content: list[bytes], metadata: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows as stored."""
+    a = np.frombuffer(b"".join(content), "<f2").reshape(-1, CONTENT).astype(np.float32)
+    m = np.zeros((len(metadata), METADATA), np.float32)
+    if len(metadata):
+        m[np.arange(len(metadata))[:, None], np.frombuffer(b"".join(metadata), np.uint8).reshape(-1, 3)] = 1
+    return a, m
 
 
-NEEDED = {"text": pa.binary(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.int64()}
+def known_columns(docs: DataFrame) -> list[Column]:
+    """text, source, lang, n_chars: all that scores depend on."""
+    column = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    n_chars = F.coalesce(F.col("n_chars").cast("long"), length) if "n_chars" in docs.columns else length
+    return [F.col("text"), column("source").alias("source"), column("lang").alias("lang"), n_chars.alias("n_chars")]
 
 
-def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of each row; columns of the metadata may be missing."""
-    columns = [batch.column(c).cast(kind).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c, kind in NEEDED.items()]
-    both = [(content_view(t or b""), metadata_view(s, l, len(t or b"") if n is None else n)) for t, s, l, n in zip(*columns)]
-    a, b = zip(*both) if both else ((), ())
-    return np.array(a, np.float32).reshape(-1, CONTENT), np.array(b, np.float32).reshape(-1, METADATA)
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """128 bits of a hash of known_columns(): h and g."""
+    columns = known_columns(docs)
+    return [F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("g")]
 
 
-def needed(docs: DataFrame) -> list[str]:
-    return [c for c in NEEDED if c in docs.columns]
+def views(docs: DataFrame) -> DataFrame:
+    """d (doc_id), h and g (row_hashes), a (content), m (metadata)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            texts = b.column(3).cast(pa.binary()).to_pylist()
+            a = [content_view(t or b"").astype("<f2").tobytes() for t in texts]
+            m = [bytes(metadata_view(*r)) for r in zip(*(b.column(i).to_pylist() for i in (4, 5, 6)))]
+            yield pa.record_batch([*b.columns[:3], pa.array(a, pa.binary()), pa.array(m, pa.binary())], names=["d", "h", "g", "a", "m"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("d"), *row_hashes(docs), *known_columns(docs)).mapInArrow(run, "d long, h long, g long, a binary, m binary")
 
 
 # ---- learning --------------------------------------------------------------------------------------
@@ -118,39 +145,40 @@ class Logistic:
         return (np.c_[(x - self.mean) / self.scale, np.ones(len(x))].clip(-10, 10) @ self.w).clip(-30, 30)
 
 
+#: Of two models (by content, by metadata): for each, what it is most sure of among unlabelled rows not taken before, good and bad
+#: ones in that order: (content, metadata) of their rows. Arguments: the models, how many good, how many bad.
+Confident = Callable[[list[Logistic], int, int], list[list[tuple[np.ndarray, np.ndarray]]]]
+
+
 class CoTrained:
-    def __init__(self, content: np.ndarray, metadata: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, growth: int = GROWTH):
-        """quality: 1, 0, or -1 where unknown."""
-        known = np.flatnonzero(quality >= 0)
-        held = known[np.arange(len(known)) % FOLD == 0]
+    def __init__(self, content: np.ndarray, metadata: np.ndarray, quality: np.ndarray, confident: Confident, rounds: int = ROUNDS, growth: int = GROWTH):
+        """Labelled rows, quality 1 or 0."""
+        known = np.arange(len(quality))
+        held = known[known % FOLD == 0]
         if len(np.unique(quality[held])) < 2:
             held = known
         own = np.setdiff1d(known, held)
         own = own if len(np.unique(quality[own])) == 2 else known
-        pool = np.flatnonzero(quality < 0)
-        x = (content, metadata)
-        rows, labels = [own, own], [quality[own].astype(float)] * 2
+        x = [[content[own]], [metadata[own]]]
+        y = [[quality[own].astype(float)], [quality[own].astype(float)]]
         share = quality[own].mean()
-        self.history = []
+        self.history = []  #: how many rows each round has added to each view's training set
         for k in range(rounds + 1):
-            self.views = [Logistic(x[v][rows[v]], labels[v], max(1.0, len(own) / OWN_ROWS)) for v in (0, 1)]
-            self.history.append(len(pool))
-            if k == rounds or not len(pool):
+            self.views = [Logistic(np.concatenate(x[v]), np.concatenate(y[v]), max(1.0, len(own) / OWN_ROWS)) for v in (0, 1)]
+            if k == rounds:
+                break
+            found = confident(self.views, max(1, round(growth * share)), max(1, round(growth * (1 - share))))
+            for v in (0, 1):  # what this view is sure of teaches the other
+                for label, rows in zip((1.0, 0.0), found[v]):
+                    x[1 - v].append(rows[1 - v])
+                    y[1 - v].append(np.full(len(rows[0]), label))
+            self.history.append(tuple(sum(len(rows[0]) for rows in found[v]) for v in (1, 0)))
+            if not any(self.history[-1]):
                 break
-            taken = set()
-            for v in (0, 1):
-                s = self.views[v].logit(x[v][pool])
-                order = np.argsort(s, kind="stable")
-                best, worst = order[::-1][: max(1, round(growth * share))], order[: max(1, round(growth * (1 - share)))]
-                # Only what this view is sure of teaches the other.
-                best, worst = best[s[best] > 2], worst[s[worst] < -2]
-                rows[1 - v] = np.r_[rows[1 - v], pool[best], pool[worst]]
-                labels[1 - v] = np.r_[labels[1 - v], np.ones(len(best)), np.zeros(len(worst))]
-                taken |= {*best.tolist(), *worst.tolist()}
-            pool = np.delete(pool, sorted(taken))
-        y = quality[held].astype(float)
-        self.calibrated = [Logistic(self.views[v].logit(x[v][held])[:, None], y) for v in (0, 1)]
-        self.both = Logistic(np.c_[tuple(self.view(v, x[v][held]) for v in (0, 1))], y)
+        labels = quality[held].astype(float)
+        inputs = (content[held], metadata[held])
+        self.calibrated = [Logistic(self.views[v].logit(inputs[v])[:, None], labels) for v in (0, 1)]
+        self.both = Logistic(np.c_[tuple(self.view(v, inputs[v]) for v in (0, 1))], labels)
 
     def view(self, v: int, x: np.ndarray) -> np.ndarray:
         return self.calibrated[v].logit(self.views[v].logit(x)[:, None])
@@ -162,55 +190,90 @@ class CoTrained:
         return p(a), p(b), p(self.both.logit(np.c_[a, b]))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("quality").cast("int").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("d")).where("d is not null").distinct().join(known, "d", "left")
-    first = lambda df, n: df.orderBy(F.xxhash64("d"), "d").limit(n)
-    chosen = first(ids.where("quality is not null"), LABELLED).unionByName(first(ids.where("quality is null"), POOL))
+SURE = 2.0  #: logit from which a view is sure
+_TOP = "view int, good boolean, sure double, h long, g long, a binary, m binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            a, m = views(b)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["d", "quality", "a", "m"])
 
-    # At most LABELLED + POOL ids are broadcast; each id's rows are features of a fixed size.
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), *needed(docs)).join(F.broadcast(chosen), "d").select("d", "quality", *needed(docs))
-    sample = own.mapInArrow(run, "d long, quality int, a binary, m binary").groupBy("d").agg(F.min(F.struct("quality", "a", "m")).alias("r")).select("d", "r.*").toArrow()
+def most_confident(pool: DataFrame, models: list[Logistic], sizes: tuple[int, int], taken: np.ndarray) -> DataFrame:
+    """view, good, sure, h, g, a, m: of each task the rows that each view is most sure of, in each class; of equal rows one."""
+    sent = pool.sparkSession.sparkContext.broadcast((models, taken))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, taken = sent.value
+        best: dict[tuple[int, bool], dict[tuple[int, int], tuple[float, bytes, bytes]]] = {(v, good): {} for v in (0, 1) for good in (True, False)}
+        for b in small(batches, 4000):
+            x = unpacked(b.column(3).to_pylist(), b.column(4).to_pylist())
+            fresh = ~np.isin(b.column(1).to_numpy(), taken)
+            for (v, good), held in best.items():
+                logit = models[v].logit(x[v]) if b.num_rows else np.empty(0)
+                sure = logit if good else -logit
+                size = sizes[0] if good else sizes[1]
+                for i in np.flatnonzero(fresh & (sure > SURE))[np.argsort(-sure[fresh & (sure > SURE)], kind="stable")[: 4 * size]].tolist():
+                    held[b.column(1)[i].as_py(), b.column(2)[i].as_py()] = (float(sure[i]), b.column(3)[i].as_py(), b.column(4)[i].as_py())
+                if len(held) > 4 * size:
+                    best[v, good] = dict(sorted(held.items(), key=lambda r: (-r[1][0], r[0]))[:size])
+        rows = [(v, good, s, h, g, a, m) for (v, good), held in best.items() for (h, g), (s, a, m) in sorted(held.items(), key=lambda r: (-r[1][0], r[0]))[: sizes[0] if good else sizes[1]]]
+        kinds = [pa.int32(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=["view", "good", "sure", "h", "g", "a", "m"])
+
+    return pool.select("d", "h", "g", "a", "m").mapInArrow(run, _TOP)
+
+
+def fit(stored: DataFrame, labels: DataFrame) -> CoTrained | None:
+    """stored: views(), written."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.max("quality").cast("int").alias("quality"))
+    known = materialize(known, "known-labels")
+    chosen = stored.select("d").distinct().join(known, "d").orderBy(F.xxhash64("d"), "d").limit(LABELLED)
+    sample = stored.join(F.broadcast(chosen), "d").groupBy("d").agg(F.min(F.struct("quality", "h", "g", "a", "m")).alias("r")).select("d", "r.*").toArrow()  # at most LABELLED rows
     order = np.argsort(mix64(sample.column("d").to_numpy().view(np.uint64)))
-    quality = np.array([-1 if q is None else q for q in sample.column("quality").to_pylist()])[order]
-    if len(np.unique(quality[quality >= 0])) < 2:
+    quality = np.array(sample.column("quality").to_pylist(), int)[order]
+    if len(np.unique(quality)) < 2:
         return None
-    stack = lambda c, n: np.frombuffer(b"".join(sample.column(c).to_pylist()), np.float32).reshape(-1, n)[order]
-    return CoTrained(stack("a", CONTENT), stack("m", METADATA), quality)
+    content, metadata = unpacked(sample.column("a").to_pylist(), sample.column("m").to_pylist())
+    pool = stored.join(small_side(known.select("d")), "d", "left_anti")
+    taken = np.empty(0, np.int64)
 
+    def confident(models: list[Logistic], good: int, bad: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        nonlocal taken
+        tops = materialize(most_confident(pool, models, (good, bad), taken), "confident")
+        found = []
+        for v in (0, 1):
+            found.append([])
+            for is_good, size in ((True, good), (False, bad)):
+                own = tops.where((F.col("view") == v) & (F.col("good") == is_good)).dropDuplicates(["h", "g"]).orderBy(F.desc("sure"), "h", "g").limit(size).toArrow()
+                found[-1].append(unpacked(own.column("a").to_pylist(), own.column("m").to_pylist()))
+                taken = np.union1d(taken, own.column("h").to_numpy())
+        return found
 
-def _scored(model, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    if model.value is None:
-        return (np.full(batch.num_rows, 0.5),) * 3
-    return model.value.scores(*views(batch))
+    return CoTrained(content[order], metadata[order], quality, confident)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, text_score, metadata_score, score, keep of each row."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def scores(stored: DataFrame, model: CoTrained | None, threshold: float) -> DataFrame:
+    """doc_id, h, g, text_score, metadata_score, score, keep of each row."""
+    sent = stored.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            a, m, both = _scored(model, b)
-            yield pa.record_batch([b.column(0), pa.array(a), pa.array(m), pa.array(both), pa.array(both >= threshold)], names=["doc_id", "text_score", "metadata_score", "score", "keep"])
+        for b in small(batches, 4000):
+            found = (np.full(b.num_rows, 0.5),) * 3
+            if sent.value is not None and b.num_rows:
+                found = sent.value.scores(*unpacked(b.column(3).to_pylist(), b.column(4).to_pylist()))
+            yield pa.record_batch([*b.columns[:3], *map(pa.array, found), pa.array(found[2] >= threshold)], names=["doc_id", "h", "g", "text_score", "metadata_score", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long"), *needed(docs)).mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, keep boolean")
+    return stored.select("d", "h", "g", "a", "m").mapInArrow(run, "doc_id long, h long, g long, text_score double, metadata_score double, score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, text_score, metadata_score, score, keep of each row."""
+    stored = materialize(views(docs), "views")
+    return scores(stored, fit(stored, labels), threshold).drop("h", "g")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            yield b.filter(pa.array(_scored(model, b)[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs without those that the classifier rejects."""
+    stored = materialize(views(docs), "views")
+    bad = materialize(scores(stored, fit(stored, labels), threshold).where("not keep").select("h", "g").distinct(), "rejected")
+    h, g = row_hashes(docs)
+    return docs.join(small_side(bad), (h == bad["h"]) & (g == bad["g"]), "left_anti")
 
 
 def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
