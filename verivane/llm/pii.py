@@ -2,15 +2,21 @@
 
 1. Base spans: e-mail and IP addresses, card and phone numbers, by fixed patterns and checks; always reported.
 2. Generators with high recall propose further, overlapping spans (candidates) of more kinds and looser forms.
-3. Gradient boosted trees, trained on about STRATUM_ROWS candidates at most of each kind and weak label (by a hash of
-   document and place), learn from format and context features. Weak labels: a check that the format has (Luhn, IBAN remainder, address
-   ranges) passed or failed; where a format has none, whether a telling word stands before it. The features hold both format
-   and context, so that candidates with neither check nor word are judged by what they resemble.
-4. Each kind's threshold is the lowest (in BINS steps) with a precision of PRECISION over all candidates of a held-out fold,
-   a quarter of the table; a kind that never gets there adds nothing. Of overlapping selected spans the most probable stays.
-
-Null texts count as empty. Offsets are code points, end exclusive. Repeated rows get equal results. Without enough
-candidates of both classes no model is trained and only base spans are reported.
+3. No labels of personal data exist. Each form has one piece of weak evidence: its check (Luhn, IBAN remainder, address ranges,
+   number of digits) passes, or, for forms without a check, a telling word stands within BEFORE code points before it.
+   Gradient boosted trees learn that evidence from format and context features of which it is none: checks are no features at all,
+   words before a candidate only where the evidence is a check; what follows it, quotes, assignment and its neighbours are.
+   They are trained on about STRATUM_ROWS candidates at most of each form and outcome (by a hash), weighted to all candidates.
+4. The trees' estimate p of the evidence, calibrated on a held-out fold, gives a prior (p - b) / (a - b), by the shares a and b of true and false candidates that
+   have the evidence (RATES, parameters); the evidence itself then moves the odds by a / b or (1 - a) / (1 - b). So a
+   candidate without evidence is selected if nearly all that resemble it have some, and one with it if not only it has.
+5. Each form's threshold is the lowest step of the result (of BINS) above which its mean over all candidates of a held-out fold, a
+   quarter of the table, is PRECISION; a form that never gets there adds nothing. Of overlapping selected spans the most probable
+   stays, then the first.
+
+Null texts count as empty. Texts and values are read whole, in linear time. Offsets are code points, end exclusive. Equal texts are
+judged once and repeated rows get equal results. Without enough candidates of both outcomes no model is trained and only
+base spans are reported. An empty table gives no rows. Other columns may have any names; redact() keeps them.
 """
 
 from __future__ import annotations
@@ -18,19 +24,24 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import materialize, small, table
+from verivane.llm.common import materialize, small, table, text_hashes
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ipv6", "secret", "ssn"]  #: in order of report
+FORMS = [*KINDS, "phone loose", "email hidden"]  #: a form's first word is its kind
+#: Of each form: the share of true candidates that pass its check or have a telling word before them, and of false ones.
+RATES = {"email": (0.99, 0.5), "ip": (0.99, 0.3), "card": (0.99, 0.1), "phone": (0.99, 0.3), "iban": (0.99, 1 / 97)}
+TOLD_RATES = (0.8, 0.05)  #: of all other forms
 STRATUM_ROWS, LEAST_ROWS = 2_500, 100
-PRECISION, BINS = 0.95, 4096
+PRECISION, BINS, RAW_STEPS = 0.9, 4096, 128
 TREES, DEPTH = 10, 3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,7 +59,7 @@ _LOOSE = {
     "secret": re.compile(r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[0-9A-Za-z+/_-]{16,}"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
 }
-_HIDDEN_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63})+", re.I)
+_HIDDEN_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]++)++", re.I)
 #: Words that tell what follows; fixed values.
 _TELLS = {
     "email": re.compile(r"e-?mail|contact|write|mailto|reach", re.I),
@@ -116,47 +127,50 @@ def patterns(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[st
 
 
 def generate(text: str, found: dict[str, list[tuple[int, int]]], failed: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """Candidates: kind, start, end, weak label."""
-    base = {(k, *s) for k in BASE for s in found[k]}
-    out = [(*b, 1) for b in sorted(base)] + [(*f, 0) for f in failed]
+    """Candidates: form, start, end, evidence."""
+    out = [(k, *s, 1) for k in BASE for s in found[k]] + [(*f, 0) for f in failed]
     seen = {x[:3] for x in out}
+    told = lambda kind, m: int(bool(_TELLS[kind].search(text, max(0, m.start() - BEFORE), m.start())))
     if _DIGIT.search(text):
         for kind, pattern in _LOOSE.items():
             for m in pattern.finditer(text):
                 if (kind, *m.span()) not in seen:
-                    told = bool(_TELLS[kind].search(text, max(0, m.start() - BEFORE), m.start()))
-                    out.append((kind, *m.span(), int(iban_ok(m[0]) if kind == "iban" else told)))
+                    out.append((f"{kind} loose" if kind in BASE else kind, *m.span(), int(iban_ok(m[0])) if kind == "iban" else told(kind, m)))
     if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
-        out += [("email", *m.span(), 1) for m in _HIDDEN_MAIL.finditer(text)]
+        out += [("email hidden", *m.span(), told("email", m)) for m in _HIDDEN_MAIL.finditer(text)]
     return out
 
 
-NAMES = [f"is_{k}" for k in KINDS] + ["length", "digits", "letters", "upper", "distinct", "entropy", "separators", "hex", "luhn", "iban", "told", "told_any", "word_before", "word_after", "quoted", "assigned", "parts", "domain"]
+NEXT = 8  #: buckets of the word that follows
+NAMES = [f"is_{f}" for f in FORMS] + ["length", "digits", "letters", "upper", "distinct", "entropy", "separators", "hex", "parts", "domain", "quoted", "assigned", "word_after", "line_start", "others", "told"] + [f"next_{i}" for i in range(NEXT)]
+_WORD = re.compile(r"\w+")
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[float]:
+def features(text: str, form: str, start: int, end: int, others: int) -> list[float]:
+    """others: how many candidates the text has."""
     value = text[start:end]
-    head = value[:256]
-    n = len(head)
-    counts = Counter(head)
-    digits = re.sub("[^0-9]", "", head)
-    letters = sum(c.isalpha() for c in head)
-    before = text[max(0, start - BEFORE) : start]
-    after = text[end : end + 1]
-    told = bool(_TELLS[kind].search(before))
+    n = len(value)
+    counts = Counter(value)
+    digits = sum(c for x, c in counts.items() if x in "0123456789")
+    letters = sum(c for x, c in counts.items() if x.isalpha())
+    before, after = text[max(0, start - BEFORE) : start], text[end : end + BEFORE]
+    # Telling words only where they are not the evidence.
+    told = form in RATES and bool(_TELLS[form].search(before))
+    following = _WORD.search(after)
+    bucket = zlib.crc32(following[0].lower().encode("utf-8", "surrogatepass")) % NEXT if following else -1
     return [
-        *(float(kind == k) for k in KINDS),
-        float(len(value)), len(digits) / n, letters / n, sum(c.isupper() for c in head) / n, len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()),
-        float(n - len(digits) - letters), float(all(c in "0123456789abcdefABCDEF" for c in head)), float(bool(digits) and luhn(digits)),
-        float(kind == "iban" and iban_ok(head)), float(told), float(told or any(p.search(before) for p in _TELLS.values())),
-        float(before[-1:].isalnum()), float(after.isalnum()), float(before[-1:] in "\"'" and before != ""), float(before.rstrip(" \"'")[-1:] in "=:" and before.strip() != ""),
-        float(len(re.split(r"[^0-9A-Za-z]+", head))), float("@" in head or "at" in head.lower()),
+        *(float(form == f) for f in FORMS),
+        float(n), digits / n, letters / n, sum(c for x, c in counts.items() if x.isupper()) / n, len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()),
+        float(n - digits - letters), float(counts.keys() <= _HEX), float(len(re.split(r"[^0-9A-Za-z]+", value))), float("@" in counts or "at" in value.lower()),
+        float(before[-1:] in "\"'" and before != ""), float(before.rstrip(" \"'")[-1:] in "=:" and before.strip() != ""), float(after[:1].isalnum()),
+        float(not before or before[-1] == "\n"), float(math.log2(others)), float(told), *(float(i == bucket) for i in range(NEXT)),
     ]
 
 
+_HEX = frozenset("0123456789abcdefABCDEF")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_CANDIDATE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("free", pa.bool_()), ("x", pa.list_(pa.float32()))])
-SCANNED = "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<kind:string,start:int,end:int,label:int,free:boolean,x:array<float>>>"
+_CANDIDATE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("form", pa.string()), ("label", pa.int32()), ("free", pa.bool_()), ("x", pa.list_(pa.float32()))])
+SCANNED = "doc_id long, h long, g long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<kind:string,start:int,end:int,form:string,label:int,free:boolean,x:array<float>>>"
 
 
 def scan_text(text: str | None) -> tuple:
@@ -165,8 +179,10 @@ def scan_text(text: str | None) -> tuple:
     base = [(k, *s) for k in BASE for s in found[k]]
     taken = sorted(s for k in BASE for s in found[k])
     candidates = []
-    for kind, start, end, label in generate(text, found, failed):
-        candidates.append({"kind": kind, "start": start, "end": end, "label": label, "free": not _overlaps(taken, start, end), "x": features(text, kind, start, end)})
+    generated = generate(text, found, failed)
+    for form, start, end, label in generated:
+        x = features(text, form, start, end, len(generated))
+        candidates.append({"kind": form.split()[0], "start": start, "end": end, "form": form, "label": label, "free": not _overlaps(taken, start, end), "x": x})
     sha = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
     return *(len(found[k]) for k in BASE), sha, [dict(zip(("kind", "start", "end"), b)) for b in base], candidates
 
@@ -180,67 +196,98 @@ def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidates of each row; h is the text's hash, by which results find their rows again."""
+    """Base spans and candidates of each row; h and g are the text's hash, by which results find their rows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(_SPAN), pa.list_(_CANDIDATE)]
-        names = ["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "candidates"]
+        names = ["doc_id", "h", "g", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "candidates"]
         for b in small(batches):
-            rows = [scan_text(t) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds))], names=names)
+            rows = [scan_text(t) for t in b.column(3).to_pylist()]
+            yield pa.record_batch([*b.columns[:3], *(pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long"), *text_hashes(), "text").mapInArrow(run, SCANNED)
 
 
 # ---- the boosted judge ------------------------------------------------------------------------------
 
 
 def train(candidates: DataFrame):
-    """The fitted pipeline and each kind's lowest step of p; None without enough rows of both labels."""
+    """The fitted pipeline and each form's lowest step; None without enough rows of both outcomes."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    key = F.xxhash64("doc_id", "h", "kind", "start", "end")
-    dealt = candidates.select("kind", F.col("label").cast("double").alias("label"), "x", key.alias("key"), (F.pmod(key, F.lit(4)) == 0).alias("held"))
-    sizes = {(r["held"], r["label"], r["kind"]): r["n"] for r in dealt.groupBy("held", "label", "kind").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("h", "g", "form", "start", "end")
+    dealt = candidates.select("form", F.col("label").cast("double").alias("label"), "x", key.alias("key"), (F.pmod(key, F.lit(4)) == 0).alias("held"))
+    sizes = {(r["held"], r["label"], r["form"]): r["n"] for r in dealt.groupBy("held", "label", "form").agg(F.count("*").alias("n")).collect()}
     if len({k[:2] for k in sizes}) < 4 or sum(sizes.values()) < LEAST_ROWS:
         return None
-    # Bits of the key that `held` doesn't see say which rows of a kind and label are taken.
-    share = F.create_map(*[F.lit(x) for (held, label, kind), n in sizes.items() if not held for x in (f"{kind} {int(label)}", min(1.0, STRATUM_ROWS / n))])
+    # Bits of the key that `held` doesn't see say which rows of a form and outcome are taken.
+    share = F.create_map(*[F.lit(x) for (held, label, form), n in sizes.items() if not held for x in (f"{form} {int(label)}", min(1.0, STRATUM_ROWS / n))])
+    share = share[F.concat_ws(" ", "form", F.col("label").cast("int").cast("string"))]
     place = F.shiftrightunsigned("key", 2) % F.lit(1 << 30) / F.lit(float(1 << 30))
-    sample = dealt.where(~F.col("held") & (place < share[F.concat_ws(" ", "kind", F.col("label").cast("int").cast("string"))]))
-    sample = materialize(sample.orderBy("key", "kind").select("label", "x"), "pii-sample").coalesce(1)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(sample.withColumn("features", array_to_vector("x")))
-    held = scored(model, dealt.where("held")).groupBy("kind", "step").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    sample = dealt.where(~F.col("held") & (place < share)).withColumn("weight", 1 / share)
+    sample = materialize(sample.orderBy("key", "form").select("label", "x", "weight"), "pii-sample").coalesce(1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32, weightCol="weight").fit(sample.withColumn("features", array_to_vector("x")))
+    held = dealt.where("held")
+    of_raw = estimated(model, held).groupBy("raw").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    model = model, monotone({r["raw"]: (r["good"], r["n"]) for r in of_raw})
+    held = scored(model, held).groupBy("form", "step").agg(F.sum("p").alias("good"), F.count("*").alias("n")).collect()
     least = {}
-    for kind in KINDS:
+    for form in FORMS:
         good, n = 0.0, 0
-        for r in sorted((r for r in held if r["kind"] == kind), key=lambda r: -r["step"]):
+        for r in sorted((r for r in held if r["form"] == form), key=lambda r: -r["step"]):
             good, n = good + r["good"], n + r["n"]
-            if (good + 1) / (n + 1) >= PRECISION and good:
-                least[kind] = max(BINS // 2, r["step"])
+            if good / n >= PRECISION:
+                least[form] = max(BINS // 2, r["step"])
     return model, least
 
 
-def scored(model, candidates: DataFrame) -> DataFrame:
-    """With p and its step."""
+def monotone(seen: dict[int, tuple[float, int]]) -> list[float]:
+    """Of each raw step the share of good ones in a held-out fold, made to rise by pooling neighbours that fall."""
+    pools: list[list[float]] = []  # good, n, steps
+    for k in range(RAW_STEPS):
+        pools.append([*map(float, seen.get(k, (0.0, 0))), 1])
+        while len(pools) > 1 and (not pools[-1][1] or not pools[-2][1] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return [(good + 0.5 * (n == 0)) / max(1.0, n) for good, n, steps in pools for _ in range(int(steps))]
+
+
+def estimated(model, candidates: DataFrame) -> DataFrame:
+    """With the trees' own estimate of the evidence, as a step."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    p = model.transform(candidates.withColumn("features", array_to_vector("x"))).withColumn("p", vector_to_array("probability")[1])
+    raw = model.transform(candidates.withColumn("features", array_to_vector("x"))).withColumn("raw", vector_to_array("probability")[1])
+    return raw.withColumn("raw", F.least(F.floor(F.col("raw") * RAW_STEPS), F.lit(RAW_STEPS - 1)).cast("int"))
+
+
+def posterior(p: Column, label: Column, a: Column, b: Column) -> Column:
+    """The probability of a candidate, by the trees' estimate of its evidence and by the evidence."""
+    prior = F.least(F.greatest((p - b) / (a - b), F.lit(1e-3)), F.lit(1 - 1e-3))
+    odds = prior / (1 - prior) * F.when(label == 1, a / b).otherwise((1 - a) / (1 - b))
+    return odds / (1 + odds)
+
+
+def scored(model, candidates: DataFrame) -> DataFrame:
+    """With p and its step; model: the trees, and the share of each raw step."""
+    trees, shares = model
+    rates = lambda i: F.create_map(*[F.lit(x) for f in FORMS for x in (f, float(RATES.get(f, TOLD_RATES)[i]))])[F.col("form")]
+    share = F.element_at(F.array(*map(F.lit, shares)), F.col("raw") + 1)
+    p = estimated(trees, candidates).withColumn("p", posterior(share, F.col("label"), rates(0), rates(1)))
     return p.withColumn("step", F.floor(F.col("p") * BINS))
 
 
 def judged(scanned: DataFrame) -> DataFrame:
-    """doc_id, h, added: selected candidates (kind, start, end, p) that overlap no base span; only rows that have some."""
-    once = scanned.where(F.size("candidates") > 0).dropDuplicates(["doc_id", "h"])
-    candidates = materialize(once.select("doc_id", "h", F.inline("candidates")), "pii-candidates")
+    """h, g, added: selected candidates (kind, start, end, p) that overlap no base span; only texts that have some."""
+    once = scanned.where(F.size("candidates") > 0).select("h", "g", "candidates").dropDuplicates(["h", "g"])
+    candidates = materialize(once.select("h", "g", F.inline("candidates")), "pii-candidates")
     fitted = train(candidates)
     if fitted is None or not fitted[1]:
-        return scanned.sparkSession.createDataFrame([], "doc_id long, h long, added array<struct<kind:string,start:int,end:int,p:double>>")
+        return scanned.sparkSession.createDataFrame([], "h long, g long, added array<struct<kind:string,start:int,end:int,p:double>>")
     model, least = fitted
-    enough = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("kind")]
-    added = scored(model, candidates.where(F.col("free") & F.col("kind").isin(*least))).where(F.col("step") >= enough)
-    return added.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "p"))).alias("added"))
+    enough = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("form")]
+    added = scored(model, candidates.where(F.col("free") & F.col("form").isin(*least))).where(F.col("step") >= enough)
+    return materialize(added.groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", "p"))).alias("added")), "pii-added")
 
 
 def select(added: list) -> list[tuple[str, int, int]]:
@@ -263,24 +310,26 @@ def all_spans(base: list, added: list) -> list[tuple[str, int, int]]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, h, counts and digest of base spans, spans (array of kind, start, end) of each row."""
+    """doc_id, h and g, counts and digest of base spans, spans (array of kind, start, end) of each row."""
     scanned = materialize(scan(docs), "pii-scan")
-    added = judged(scanned).withColumnsRenamed({"doc_id": "d", "h": "k"})
-    both = scanned.drop("candidates").join(added, scanned["doc_id"].eqNullSafe(added["d"]) & (scanned["h"] == added["k"]), "left").drop("d", "k")
-    names = ["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    both = scanned.drop("candidates").join(judged(scanned), ["h", "g"], "left")
+    names = ["doc_id", "h", "g", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = [[dict(zip(("kind", "start", "end"), s)) for s in all_spans(x, y or [])] for x, y in zip(b.column(7).to_pylist(), b.column(8).to_pylist())]
-            yield pa.record_batch([*(b.column(i) for i in range(7)), pa.array(spans, pa.list_(_SPAN))], names=[*names, "spans"])
+            spans = [[dict(zip(("kind", "start", "end"), s)) for s in all_spans(x, y or [])] for x, y in zip(b.column(8).to_pylist(), b.column(9).to_pylist())]
+            yield pa.record_batch([*b.columns[:8], pa.array(spans, pa.list_(_SPAN))], names=[*names, "spans"])
+
+    return both.select(*names, "base", "added").mapInArrow(run, "doc_id long, h long, g long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>")
+
 
-    return both.select(*names, "base", "added").mapInArrow(run, "doc_id long, h long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,start:int,end:int>>")
+#: Columns that are joined to a caller's table and dropped again.
+_OWN = [f"__pii_{c}" for c in ("h", "g", "spans")]
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets, and n_chars brought up to date; other columns stay."""
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("h").alias("__text"), F.col("spans").alias("__spans")).dropDuplicates(["__doc", "__text"])
-    spans = materialize(spans, "pii-spans")
+    spans = materialize(find(docs).where(F.size("spans") > 0).select("h", "g", "spans").toDF(*_OWN).dropDuplicates(_OWN[:2]), "pii-spans")
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +338,8 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.record_batch(columns, names=b.schema.names[:-1])
 
-    hit = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__doc"]) & (F.xxhash64(docs["text"]) == spans["__text"]), "left").drop("__doc", "__text")
+    h, g = text_hashes(docs["text"])
+    hit = docs.join(spans, (h == spans[_OWN[0]]) & (g == spans[_OWN[1]]), "left").drop(*_OWN[:2])
     out = hit.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
