@@ -65,3 +65,64 @@ def test_skipped_elements_take_linear_time():
 def test_a_language_without_known_stop_words():
     story = "Rada miasta ogłosiła wczoraj, że nowa droga nie zostanie zbudowana, ponieważ pieniądze są potrzebne szkołom. Debata trwała bardzo długo i zakończyła się niewielką przewagą głosów."
     assert h.main_text(f"<body><div><a href=x>Strona</a></div><p>{story}</p><p>{story}</p></body>") == f"{story} {story}"
+
+
+@pytest.fixture(scope="module")
+def pages():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+
+
+def unwrapped(page):
+    import re
+
+    return re.sub("</?(article|main)[^>]*>", "", page)
+
+
+def test_most_pages_give_the_same_without_their_article_tag(pages):
+    same = [h.main_text(p) == h.main_text(unwrapped(p)) for p in pages]
+    assert sum(same) >= 0.95 * len(same)
+
+
+def test_stop_words_part_prose_from_lists(monkeypatch):
+    listing = "Kettle 20 | Toaster 35 | Blender 48 | Mixer 90 | Lamp 12 | Chair 55 | Table 120 | Shelf 75"
+    page = f"<body><h1>Road</h1><p>{STORY}</p><p>{STORY}</p><div><p>{listing}</p></div></body>"
+    assert h.main_text(page) == f"Road {STORY} {STORY}"
+    inside = f"<body><article><h1>Road</h1><p>{STORY}</p><p>{listing}</p><p>{STORY}</p></article></body>"
+    assert h.main_text(inside) == f"Road {STORY} {listing} {STORY}"
+    monkeypatch.setattr(h, "STOP_WORDS", frozenset())
+    assert h.main_text(page) == f"Road {STORY} {STORY} {listing}"
+
+
+def test_neighbours_decide_short_blocks():
+    page = f"<body><div><p>By the way</p><p><a href=x>All the other news of the day</a></p></div><div><h2>Schools</h2><p>{STORY}</p><p>So it is.</p><p>{STORY}</p></div></body>"
+    assert h.main_text(page) == f"Schools {STORY} So it is. {STORY}"
+
+
+@pytest.mark.parametrize("tag", ["article class='post with-sidebar'", "div class='has-sidebar'", "div class='sidebar-layout'", "div id=newsletter-page", "form id=aspnetForm"])
+def test_a_wrapper_erases_nothing(tag):
+    end = tag.split()[0]
+    page = f"<body><{tag}><h1>Road</h1><p>{STORY}</p><p>Short.</p><div class=sidebar><p>{STORY[:120]}</p></div></{end}><footer>The end of it</footer></body>"
+    assert h.main_text(page) == f"Road {STORY} Short."
+
+
+def test_a_teaser_is_not_the_body():
+    page = f"<body><div><h1>Road</h1><p>{STORY}</p><p>{STORY}</p></div><article class=teaser><h2>More</h2><p>{STORY[:90]}</p></article></body>"
+    assert h.main_text(page) == f"Road {STORY} {STORY}"
+
+
+def test_comments_longer_than_the_article_go():
+    page = f"<body><article><h1>Road</h1><p>{STORY}</p><div class=comments><article>" + f"<p>{STORY}</p>" * 6 + "</article></div></article></body>"
+    assert h.main_text(page) == f"Road {STORY}"
+
+
+@pytest.mark.parametrize("n", [100, 9000, 100_000])
+def test_attributes_of_any_length(n):
+    assert h.main_text(f'<p data-x="{"a" * n}>LEAK">Hello there') == "Hello there"
+
+
+def test_odd_quotes_take_linear_time():
+    for page in ("<a '\" >" * 60000, "<a x='\" >" * 60000, "<p x=\"" * 60000, "<a x=" * 60000, "<a = = =" * 40000):
+        h.main_text(page)
+    h.main_text("<div>" * 60000 + STORY + "</p></span>" * 60000)

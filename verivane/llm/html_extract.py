@@ -1,28 +1,36 @@
 """Main-text extraction from HTML: blocks, two passes of rules.
 
-A page is cut into blocks at block-level tags. Pass one judges each block alone by its length, link density and
-stop-word density, and by what surrounds it (an `article` or `main` element speaks for it; menus, headers, footers,
-sidebars, notices, adverts, forms and comment sections against it): good, bad, or ambiguous (short, or near good).
-Pass two gives ambiguous blocks the label of their nearest decided neighbours; where these differ, or none is
-there, near-good blocks are kept and short ones follow their surroundings.
-
-On a page where no block has a share of STOP_LOW stop words, the language is none of theirs and few of them speak against nothing.
-
-Null or empty html gives an empty text. Broken markup is read as far as it goes; unclosed elements end with
-the page, those that are skipped (but for raw text) before the next block-level tag. Repeated rows give equal texts. Work per page is linear in its length; nothing is cut.
+A page is cut into blocks at block-level tags. Blocks inside menus, footers, sidebars, forms and the like, by tag, role or a word of
+the class or id, are boilerplate, but for a wrapper that holds the page's prose: if most of the page's long, unlinked text
+and its heading or `main` are inside, the name says nothing about it, nor do names like `with-sidebar`. An `article` or `main`
+element, or the text outside all of them, is the body if it holds most of the prose; the other side is not.
+
+Pass one judges each remaining block alone: linked blocks are bad; long ones with many stop words good, with some near good, with
+few weak; short ones ambiguous, as are near and weak ones. Pass two gives each ambiguous block the label of its nearest decided
+neighbour, of its own section if one is decided there. Weak ones stay beside good ones alone of their section, or in the body's element. Ties go by what the
+block is: near good is kept, a heading goes with what follows, a short block with the good one inside the body's element only. Where nothing
+on a page (or in the body's element) is good, all ambiguous blocks stay.
+
+On a page where no block has a share of STOP_LOW stop words, the language is none of theirs and long blocks are near good.
+
+Null or empty html gives an empty text. Broken markup is read as browsers do: an attribute's quote that is never closed takes the
+rest of the page; unclosed elements end with the page, those that are skipped (but for raw text) before the next block-level
+tag. Repeated rows give equal texts. Work per page is linear in its length; nothing is cut. An empty table gives no rows.
+Of clashing columns, the table's own `text` and `n_chars` are replaced; all others are kept.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import table
+from verivane.llm.common import small, table
 
 #: Common function words of the languages that pages come in; fixed values.
 STOP_WORDS = frozenset(
@@ -37,6 +45,7 @@ SKIPPED = frozenset("noscript template iframe svg math object canvas audio video
 FOREIGN = frozenset("svg math".split())  #: may be closed in their own tag
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_SKIPPED = BLOCK - {"option"}
+SECTIONS = frozenset("article aside body details dialog div fieldset footer form header main menu nav section".split())
 HOLDS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th tr ul".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -50,44 +59,63 @@ GOOD_NAMES = frozenset("article post entry story".split())
 
 LONG, MEDIUM = 200, 70  #: characters
 LINKS, STOP_HIGH, STOP_LOW = 0.33, 0.30, 0.15
+FAR = 1 << 32  #: steps to a neighbour in another section: only where no other is decided
 
-_UNREAD = rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-_TOKEN = re.compile(
-    rf"{_UNREAD}"
-    r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>"']|"[^"]{0,8192}"|'[^']{0,8192}')*+)>"""
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest2>[^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
-    re.S | re.I,
-)
-_SKIPPED_TAG = re.compile(rf"{_UNREAD}|<(?P<close>/?)(?P<tag>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?P<rest>[^>]*+)>", re.S | re.I)
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+(?:>|\Z)"""  #: of a tag, after its name
+_UNREAD = rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_REST}.*?(?:</(?P=raw)\s*+>|\Z)"
+_TOKEN = re.compile(rf"{_UNREAD}|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>{_REST})|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+_SKIPPED_TAG = re.compile(rf"{_UNREAD}|<(?P<close>/?)(?P<tag>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?P<rest>{_REST})", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _EDGE = ".,;:!?\"'()[]«»“”…"
 
 
-def surroundings(tag: str, rest: str, outer: int) -> int:
-    """1: speaks for what is inside, -1: against, else as outside."""
+#: Before or after a name in a class, they say that something is nearby or absent; fixed values.
+MODIFIERS = frozenset("with has have no without hide hides js is can supports".split())
+AGAINST, HEADER, FOR, SAYS_NOTHING = "against", "header", "for", ""
+
+
+def role(tag: str, rest: str) -> str:
+    """What an element's tag and attributes say about what is inside."""
     names, hidden = set(), False
     if rest and not rest.isspace():
         for m in _ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                names.update(x.lower() for x in _NAME.findall(value))
+                for name in value.split():
+                    words = [x.lower() for x in _NAME.findall(name)]
+                    if not MODIFIERS.intersection(words):
+                        names.update(words)
             elif key == "role":
                 if value.lower() in BAD_ROLES:
-                    return -1
+                    return AGAINST
                 if value.lower() in ("main", "article"):
-                    return 1
+                    return FOR
             elif key == "style":
                 hidden |= "display:none" in value.replace(" ", "").lower()
             else:
                 hidden |= key == "hidden" or value.lower() == "true"
     if tag in BAD_TAGS or hidden or names & BAD_NAMES:
-        return -1
+        return AGAINST
     if tag == "header" or names & TOP_NAMES:
-        return outer if outer > 0 else -1
-    if tag in ("article", "main") or names & GOOD_NAMES and outer >= 0:
-        return 1
-    return outer
+        return HEADER
+    return FOR if tag in ("article", "main") or names & GOOD_NAMES else SAYS_NOTHING
+
+
+class Element:
+    def __init__(self, tag: str, parent: Element | None, says: str = SAYS_NOTHING):
+        self.tag, self.parent, self.says = tag, parent, says
+        self.section = self if parent is None or tag in SECTIONS else parent.section
+        self.prose = self.chars = 0  # inside
+        self.titled = False  # holds a first-level heading or main
+
+
+class Block:
+    def __init__(self, text: str, links: float, heading: bool, element: Element):
+        """links: share of linked characters."""
+        self.text, self.links, self.heading, self.element = text, links, heading, element
+        self.density = stop_density(text)
+        self.prose = len(text) if len(text) >= MEDIUM and links <= LINKS else 0
 
 
 def skips(page: str) -> dict[int, int]:
@@ -99,7 +127,7 @@ def skips(page: str) -> dict[int, int]:
             continue
         tag = m["tag"].lower()
         if not m["close"]:
-            if tag in FOREIGN and m["rest"].endswith("/"):
+            if tag in FOREIGN and m["rest"].endswith("/>"):
                 ends[m.start()] = m.end()
             else:
                 opened.setdefault(tag, []).append(m.start())
@@ -108,11 +136,12 @@ def skips(page: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool]]:
-    """Text, surroundings, share of linked characters, heading or not, of each block in order."""
-    out: list[tuple[str, int, float, bool]] = []
-    stack: list[tuple[str, int]] = []
-    hint, in_link, heading, at = 0, 0, False, 0
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks in order, and elements that hold some, outer ones first."""
+    out: list[Block] = []
+    root = inside = Element("", None)
+    elements = [root]
+    in_link, heading, at = False, "", 0
     ends, unclosed = skips(page), False
     words: list[str] = []
     linked: list[str] = []
@@ -122,20 +151,24 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             if text:
-                inside = " ".join(html.unescape("".join(linked)).split()) if linked else ""
-                out.append((text, hint, len(inside) / len(text), heading))
+                link = " ".join(html.unescape("".join(linked)).split()) if linked else ""
+                out.append(Block(text, len(link) / len(text), bool(heading), inside))
+                if heading == "h1":
+                    inside.titled = True
             words, linked = [], []
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at and not unclosed:
-            words.append(page[at : m.start()])
+    def read(start: int, stop: int) -> None:
+        if stop > start and not unclosed:
+            words.append(page[start:stop])
             if in_link:
                 linked.append(words[-1])
+
+    while m := _TOKEN.search(page, at):
+        read(at, m.start())
         at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
+        if not m["tag"]:
             continue
-        tag, closing = tag.lower(), m["close"] or m["close2"]
+        tag, closing = m["tag"].lower(), m["close"]
         if unclosed and tag in ENDS_SKIPPED:
             unclosed = False
         if tag in SKIPPED and not closing:
@@ -144,29 +177,34 @@ def blocks(page: str) -> list[tuple[str, int, float, bool]]:
         elif unclosed:
             continue
         elif tag == "a":
-            in_link = 0 if closing else 1
+            in_link = not closing
         elif tag == "br":
             words.append(" ")
         elif tag in BLOCK:
             end()
-            in_link = 0
-            heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            in_link = False
+            heading = tag if not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else ""
             if tag in HOLDS:
                 if not closing:
-                    stack.append((tag, hint))
-                    hint = surroundings(tag, m["rest"] or m["rest2"] or "", hint)
+                    inside = Element(tag, inside, role(tag, m["rest"]))
+                    inside.titled = tag == "main"
+                    elements.append(inside)
                 else:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            hint = stack[i][1]
-                            del stack[i:]
-                            break
-    if at < len(page) and not unclosed:
-        words.append(page[at:])
-        if in_link:
-            linked.append(words[-1])
+                    above = inside
+                    while above.parent is not None and above.tag != tag:
+                        above = above.parent
+                    if above.parent is not None:
+                        inside = above.parent
+    read(at, len(page))
     end()
-    return out
+    for b in out:
+        b.element.prose += b.prose
+        b.element.chars += len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.prose += e.prose
+        e.parent.chars += e.chars
+        e.parent.titled |= e.titled
+    return out, elements
 
 
 def stop_density(text: str) -> float:
@@ -174,72 +212,114 @@ def stop_density(text: str) -> float:
     return sum(t in STOP_WORDS or t.strip(_EDGE) in STOP_WORDS for t in tokens) / len(tokens)
 
 
-def first_pass(text: str, hint: int, links: float, heading: bool, known: bool = True) -> str:
-    """good, bad, short or near. known: whether the page is in a language whose stop words are known."""
-    if hint < 0:
+def body_of(found: list[Block], elements: list[Element]) -> tuple[Element | None, set[int]]:
+    """The marked element that is the page's body, if one is; ids of the elements whose blocks are boilerplate."""
+    bad: set[int] = set()
+    mark: dict[int, Element | None] = {}  # the outermost marked element that each is in
+    page = elements[0]
+    for e in elements:
+        above = mark.get(id(e.parent)) if e.parent else None
+        # A wrapper of the page's prose and its heading is not what its name says.
+        wrapper = 2 * e.prose > page.prose and (e.titled or e.tag in ("div", "section", "form") and e.prose > max(4 * LONG, 0.9 * page.prose))
+        says = SAYS_NOTHING if e.says == AGAINST and wrapper else e.says
+        if e.parent and id(e.parent) in bad or says == AGAINST or says == HEADER and above is None and not wrapper:
+            bad.add(id(e))
+        mark[id(e)] = above or (e if says == FOR and id(e) not in bad else None)
+    marked: dict[int, list[int]] = {}  # prose and characters of each, 0 for what is outside
+    for b in found:
+        if id(b.element) not in bad:
+            m = mark[id(b.element)]
+            sums = marked.setdefault(id(m) if m else 0, [0, 0])
+            sums[0] += b.prose
+            sums[1] += len(b.text)
+    total = sum(p for p, _ in marked.values())
+    outside = marked.pop(0, [0, 0])
+    body = None
+    if marked:
+        best = max(marked, key=lambda k: marked[k])
+        if 2 * marked[best][0] >= total:
+            body = next(m for m in mark.values() if m is not None and id(m) == best)
+            bad.update(k for k, m in mark.items() if m is not body)
+        elif 2 * outside[0] >= total:
+            bad.update(k for k, m in mark.items() if m is not None)
+    return body, bad
+
+
+def first_pass(b: Block, bad: bool, body: bool, known: bool) -> str:
+    """good, bad, short, near or weak. body: whether in the body's element; known: whether in a language whose stop words are known."""
+    if bad:
         return "bad"
-    if links > LINKS and (hint == 0 or links > 0.8 and len(text) < MEDIUM):
+    if b.links > LINKS and (not body or b.links > 0.8 and len(b.text) < MEDIUM):
         return "bad"
-    if hint > 0:
-        return "good" if len(text) >= MEDIUM else "short"
-    if heading:
+    if b.heading:
         return "short"
-    if len(text) < MEDIUM:
-        return "bad" if links > 0 else "short"
-    density = stop_density(text)
-    if density >= STOP_HIGH:
-        return "good" if len(text) >= LONG else "near"
-    return "near" if density >= STOP_LOW or not known else "bad"
+    if len(b.text) < MEDIUM:
+        return "bad" if b.links > 0 and not body else "short"
+    if b.links > LINKS:
+        return "weak"
+    if b.density >= STOP_HIGH or b.density >= STOP_LOW and body:
+        return "good" if len(b.text) >= LONG or body else "near"
+    return "near" if b.density >= STOP_LOW or not known else "weak"
 
 
-def second_pass(found: list[tuple[str, int, float, bool]], labels: list[str]) -> list[bool]:
+def second_pass(found: list[Block], labels: list[str], body: list[bool]) -> list[bool]:
     """Whether each block is kept."""
-    n = len(labels)
-    before, after = [""] * n, [""] * n
-    last = ""
-    for i in range(n):
-        before[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    last = ""
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    any_good = "good" in labels
+
+    def nearest(order) -> list[tuple[float, str]]:
+        """Of each block the decided one that comes last before it in this order, of its own section if there is one: how far it is, and its label."""
+        out: list[tuple[float, str]] = [(math.inf, "")] * len(found)
+        last: dict[int, int] = {}  # by section, and of all under 0
+        for i in order:
+            section = id(found[i].element.section)
+            if section in last:
+                out[i] = (abs(i - last[section]), labels[last[section]])
+            elif 0 in last:
+                out[i] = (FAR + abs(i - last[0]), labels[last[0]])
+            if labels[i] in ("good", "bad"):
+                last[section] = last[0] = i
+        return out
+
+    before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
+    good = {b for label, b in zip(labels, body) if label == "good"}
     keep = []
     for i, label in enumerate(labels):
-        hint, heading = found[i][1], found[i][3]
+        (x, left), (y, right) = before[i], after[i]
         if label in ("good", "bad"):
             keep.append(label == "good")
-        elif hint > 0 or not any_good:
-            keep.append(True)  # its surroundings are the article's, or nothing on the page is better
-        elif before[i] == after[i]:
-            keep.append(before[i] == "good")
-        elif label == "near":
-            keep.append("good" in (before[i], after[i]))
+        elif body[i] not in good and (body[i] or not good):
+            keep.append(True)
+        elif label == "weak" and not body[i]:
+            keep.append({at for steps, at in (before[i], after[i]) if steps < FAR} == {"good"})
+        elif left == right or x != y:
+            keep.append((left if x < y else right) == "good" or label == "near" and "good" in (left, right))
+        elif found[i].heading:
+            keep.append(right == "good")
         else:
-            keep.append(heading and after[i] == "good")
+            keep.append(label == "near" or body[i] and label == "short")
     return keep
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if any(hint > 0 for _, hint, _, _ in found):  # a marked article: what stands outside it is not part of it
-        found = [(t, hint or -1, links, h) for t, hint, links, h in found]
-    known = any(hint > 0 for _, hint, _, _ in found) or any(len(t) >= MEDIUM and stop_density(t) >= STOP_LOW for t, _, _, _ in found)
-    labels = [first_pass(*b, known) for b in found]
-    return " ".join(b[0] for b, kept in zip(found, second_pass(found, labels)) if kept)
+    found, elements = blocks(page or "")
+    body, bad = body_of(found, elements)
+    off = [id(b.element) in bad for b in found]
+    inside = [body is not None and not x for x in off]
+    known = any(not x and b.prose and b.density >= STOP_LOW for x, b in zip(off, found))
+    labels = [first_pass(b, x, y, known) for b, x, y in zip(found, off, inside)]
+    return " ".join(b.text for b, kept in zip(found, second_pass(found, labels, inside)) if kept)
 
 
 def extract(pages: DataFrame, content: str = "html") -> DataFrame:
     """All other columns, text and n_chars (code points) in place of the html."""
     keep = [c for c in pages.columns if c not in (content, "text", "n_chars")]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep) + "text string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[keep].assign(text=[main_text(x) for x in b[content]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            text = pa.array([main_text(x) for x in b.column(len(keep)).to_pylist()], pa.string())
+            yield pa.record_batch([*b.columns[:-1], text], names=[*keep, "text"])
 
-    return pages.select(*keep, content).mapInPandas(run, f"{schema}, text string" if keep else "text string").withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select(*keep, content).mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
