@@ -2,17 +2,19 @@
 
 Rules `host/path` fit a host with all its subdomains where the path begins with the rule's; the longest
 fitting rule decides. URLs that rules accept or reject teach two variable-order Markov models over
-the characters of `host + path`. A context is kept while it holds at least the share `MIN_SHARE` of a class's
-characters, so that each order has at most 1 / MIN_SHARE entries a class whatever the input's size: that is the
-proven bound of what is broadcast. Probabilities are interpolated from order to order:
+the characters of `host + path`, of all contexts of up to ORDER characters that occur. Probabilities are interpolated from order to order:
 
     p_k(c | s) = (n(sc) + GAMMA * p_{k-1}(c | s')) / (n(s) + GAMMA)
 
-The log-likelihood difference divided by the length is calibrated on labelled URLs that the models have
+A character's ratio depends on its window, itself and the ORDER characters before: it is computed once for each distinct window, and
+each place of each distinct URL then meets its window's ratio in one join. Counts are joined, too, not broadcast, but where they are
+few. The log-likelihood difference divided by the length is calibrated on labelled URLs that the models have
 not seen (one fold of five): two normal distributions of equal variance give P(accept); 0.5 and above is allowed.
 
-Null or malformed URLs have empty host and path and are judged like any other. Repeated rows get equal
-verdicts. Without labelled URLs of both classes nothing can be learned and all is allowed with score 0.5.
+Null or malformed URLs have empty host and path and are judged like any other. URLs are read whole; repeated rows get equal
+verdicts; two rules of equal length that fit would be decided by the later one. Without labelled URLs of both classes
+nothing can be learned and all is allowed with score 0.5. An empty table gives no rows. Of clashing columns, the
+table's own host, path, rule, verdict, llr and score are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import ascii_lower, materialize, table
+from verivane.llm.common import ascii_lower, materialize, small_side, table
 
 #: Verdict, host, path.
 RULES = [
@@ -32,7 +34,6 @@ RULES = [
 ORDER = 4  #: longest context in characters
 GAMMA = 2.0
 ALPHABET = 256  #: size of the uniform distribution that the lowest order falls back to
-MIN_SHARE = 5e-5
 FOLDS = 5
 START, END = "\x02", "\x03"
 
@@ -56,62 +57,61 @@ def by_rule(rules: list[tuple[str, str, str]]):
     return rule, verdict
 
 
-def positions(strings: DataFrame) -> DataFrame:
-    """A row for each character and the closing mark of s: `at` is its place in the padded string `t`."""
+def windows(strings: DataFrame) -> DataFrame:
+    """A row for each character and the closing mark of s: w, itself after the ORDER characters before."""
     t = F.concat(F.lit(START * ORDER), F.col("s"), F.lit(END))
-    return strings.withColumn("t", t).withColumn("at", F.explode(F.sequence(F.lit(ORDER + 1), F.length("t"))))
+    at = F.sequence(F.lit(1), F.length("s") + 1)
+    return strings.withColumn("__t", t).withColumn("__at", F.explode(at)).withColumn("w", F.substring(F.col("__t"), F.col("__at"), F.lit(ORDER + 1))).drop("__t", "__at")
 
 
-def gram(k: int):
-    """The character at `at` with k characters before it."""
-    return F.substring(F.col("t"), F.col("at") - k, F.lit(k + 1))
-
-
-def context(k: int):
-    return F.substring(F.col("t"), F.col("at") - k, F.lit(k))
+def suffix(k: int):
+    """The last character of a window with k characters before it."""
+    return F.substring(F.col("w"), F.lit(ORDER + 1 - k), F.lit(k + 1))
 
 
 def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of kept grams, and of their contexts; labelled has s, accepted (boolean), n (how often s occurs)."""
-    grams = positions(labelled).select("accepted", "n", F.explode(F.array(*[gram(k) for k in range(ORDER + 1)])).alias("g"))
-    a, r = F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n")))
-    counts = materialize(grams.groupBy("g").agg(a.alias("a"), r.alias("r")), "url-grams")
-    total = counts.where(F.length("g") == 1).agg(F.sum("a").alias("a"), F.sum("r").alias("r")).first()
-    least = lambda n: max(2.0, MIN_SHARE * (n or 0))
-    kept = counts.select(
-        "g",
-        F.when(F.col("a") >= least(total["a"]), F.col("a")).otherwise(0).cast("double").alias("a"),
-        F.when(F.col("r") >= least(total["r"]), F.col("r")).otherwise(0).cast("double").alias("r"),
-    ).where("a > 0 or r > 0")
-    contexts = kept.groupBy(F.expr("substring(g, 1, length(g) - 1)").alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    return kept, contexts
+    """Counts of grams (g: context and character), and of contexts, in accepted (a) and rejected (r) URLs; labelled has s, accepted
+    (boolean), n (how often s occurs)."""
+    of = lambda accepted: F.sum(F.when(F.col("accepted") == accepted, F.col("n")).otherwise(0)).cast("double")
+    seen = windows(labelled).groupBy("w").agg(of(True).alias("a"), of(False).alias("r"))
+    total = lambda df: df.groupBy("g").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    grams = materialize(total(seen.select("a", "r", F.explode(F.array(*[suffix(k) for k in range(ORDER + 1)])).alias("g"))), "url-grams")
+    return grams, materialize(total(grams.select("a", "r", F.expr("substring(g, 1, length(g) - 1)").alias("g"))), "url-contexts")
+
+
+def ratios(seen: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """w, ratio (log of accepted to rejected probability) of each distinct window of seen (w)."""
+    parts = [F.struct(F.lit(k).alias("k"), suffix(k).alias("g")) for k in range(ORDER + 1)]
+    each = seen.select("w").distinct().select("w", F.inline(F.array(*parts))).withColumn("c", F.expr("substring(g, 1, length(g) - 1)"))
+    each = each.join(small_side(grams.select("g", F.col("a").alias("ga"), F.col("r").alias("gr"))), "g", "left")
+    each = each.join(small_side(contexts.select(F.col("g").alias("c"), F.col("a").alias("ca"), F.col("r").alias("cr"))), "c", "left").na.fill(0.0)
+    orders = each.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("k", "ga", "gr", "ca", "cr"))).alias("orders"))
+    start = F.struct(F.lit(1.0 / ALPHABET).alias("p"), F.lit(1.0 / ALPHABET).alias("q"))
+    up = lambda acc, x: F.struct(((x["ga"] + GAMMA * acc["p"]) / (x["ca"] + GAMMA)).alias("p"), ((x["gr"] + GAMMA * acc["q"]) / (x["cr"] + GAMMA)).alias("q"))
+    return orders.select("w", F.aggregate("orders", start, up, lambda acc: F.log(acc["p"] / acc["q"])).alias("ratio"))
 
 
 def llr(strings: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """s, and its log-likelihood difference by character."""
-    at = positions(strings.select("s"))
-    pa = pr = F.lit(1.0 / ALPHABET)
-    for k in range(ORDER + 1):
-        g = grams.select(F.col("g").alias(f"g{k}"), F.col("a").alias(f"ga{k}"), F.col("r").alias(f"gr{k}"))
-        c = contexts.where(F.length("g") == k).select(F.col("g").alias(f"c{k}"), F.col("a").alias(f"ca{k}"), F.col("r").alias(f"cr{k}"))
-        at = at.join(F.broadcast(g.where(F.length(f"g{k}") == k + 1)), gram(k) == F.col(f"g{k}"), "left")
-        at = at.join(F.broadcast(c), context(k) == F.col(f"c{k}"), "left")
-        zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
-        at = at.withColumns({f"pa{k}": (zero(f"ga{k}") + GAMMA * pa) / (zero(f"ca{k}") + GAMMA), f"pr{k}": (zero(f"gr{k}") + GAMMA * pr) / (zero(f"cr{k}") + GAMMA)})
-        pa, pr = F.col(f"pa{k}"), F.col(f"pr{k}")
-    return at.groupBy("s").agg(F.avg(F.log(pa / pr)).alias("llr"))
+    """s, and its log-likelihood difference by character; strings: distinct s."""
+    places = windows(strings.select("s"))
+    known = materialize(ratios(places, grams, contexts), "url-ratios")
+    return places.join(small_side(known), "w").groupBy("s").agg(F.avg("ratio").alias("llr"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict, llr and score (calibrated probability of acceptance); keeps all other columns."""
+    spark = pages.sparkSession
     rule, verdict = by_rule(rules)
-    clash = [c for c in ("host", "path", "rule", "verdict", "llr", "score") if c in pages.columns]
-    judged = parts(pages.drop(*clash), url).withColumns({"rule": rule, "verdict": verdict, "s": F.concat("host", "path")})
-    strings = judged.groupBy("s", "verdict").agg(F.count("*").alias("n"))
-    fold = F.pmod(F.xxhash64("s"), F.lit(FOLDS)) == 0
+    added = ("host", "path", "rule", "verdict", "llr", "score")
+    judged = parts(pages.drop(*[c for c in added if c in pages.columns]), url).withColumns({"rule": rule, "verdict": verdict})
+    strings = judged.groupBy(F.concat("host", "path").alias("s"), "verdict").agg(F.count("*").alias("n"))
+    # Dealt out by number, so that few long strings don't end in one task.
+    strings = materialize(strings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s"), "url-strings")
     labelled = strings.where(F.col("verdict").isNotNull()).withColumn("accepted", F.col("verdict") == "allow")
-    grams, contexts = (materialize(x, "url-model") for x in train(labelled.where(~fold)))
-    seen = llr(labelled.where(fold), grams, contexts).join(labelled.where(fold), "s")
+    fold = F.pmod(F.xxhash64("s"), F.lit(FOLDS)) == 0
+    grams, contexts = train(labelled.where(~fold))
+    scored = materialize(llr(strings.where(F.col("verdict").isNull() | fold).select("s").distinct(), grams, contexts), "url-scores")
+    seen = labelled.where(fold).join(small_side(scored), "s")
     stats = {
         x["accepted"]: x
         for x in seen.groupBy("accepted").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("llr")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("llr") * F.col("llr")) / F.sum("n")).alias("square")).collect()
@@ -122,11 +122,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url
         n = yes["n"] + no["n"]
         variance = max(1e-6, sum(x["n"] * (x["square"] - x["mean"] ** 2) for x in (yes, no)) / n)
         slope, middle = (yes["mean"] - no["mean"]) / variance, (yes["mean"] + no["mean"]) / 2
-        probability = 1 / (1 + F.exp(-slope * (F.col("llr") - middle)))
-    unruled = llr(strings.where(F.col("verdict").isNull()), grams, contexts)
-    score = F.when(F.col("rule").isNull(), F.coalesce(probability, F.lit(0.5))).otherwise(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0))
-    out = judged.join(unruled, "s", "left").withColumn("score", score)
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))).drop("s")
+        probability = F.coalesce(1 / (1 + F.exp(-slope * (F.col("llr") - middle))), F.lit(0.5))
+    ruled = judged.where(F.col("rule").isNotNull()).withColumns({"llr": F.lit(None).cast("double"), "score": F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)})
+    rest = judged.where(F.col("rule").isNull()).withColumn(_OWN, F.concat("host", "path")).join(small_side(scored.withColumnRenamed("s", _OWN)), _OWN, "left").drop(_OWN)
+    rest = rest.withColumn("score", probability).withColumn("verdict", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
+    return ruled.unionByName(rest)
+
+
+_OWN = "__url_string"  #: joined to a caller's table and dropped again
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
