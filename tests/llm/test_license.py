@@ -52,3 +52,27 @@ def test_notices_wrapped_over_lines(docs):
     apart = ["\n".join(x + " zebra" * 40 for x in l.TEMPLATES[5][1].split()), "released by all\n" + "zebra " * 9 + "\nunder the license"]
     got = [(r["labels"], r["score"]) for r in sorted(l.scan(docs([mit, bsd, f"{'zebra ' * 50}\n{narrow}\nzebra", *apart])).collect(), key=lambda r: r["doc_id"])]
     assert got == [("mit", 1.0), ("bsd", 1.0), ("bsd", 1.0), ("", 0.0), ("", 0.0)]
+
+
+def test_wrapped_notices_same_as_sql(spark, docs, tmp_path):
+    """The twin has the same windows: notices with line ends anywhere, words left out and words between."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(6)
+    texts = [None, "", "\n", "mit license\nmit\nlicense"]
+    for _, t in l.TEMPLATES:
+        for gap in (0.0, 0.1, 0.3):
+            w = [x + (rng.choice((" zebra", " the", "")) if rng.random() < gap else "") for x in t.split() if rng.random() < 0.9]
+            texts.append("".join(x + rng.choice((" ", " ", "\n", "\r\n# ")) for x in w) + "\nend")
+    df = docs(texts)
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    same(l.scan(df), c, l.ORACLE_SQL["op9_license_scan"])
+    assert sum(r["labels"] != "" for r in l.scan(df).collect()) > 12
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "released under the mit license", 3, 4, 5), (1, "released under the mit license", 3, 4, 5)], "doc_id long, text string, h long, g long, n_words long")
+    assert [(r["doc_id"], r["n_words"], r["labels"]) for r in l.scan(df).collect()] == [(1, 5, "mit")] * 2

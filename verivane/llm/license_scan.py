@@ -11,7 +11,12 @@ few short texts: only they are broadcast.
 Notices are often wrapped: a text of several lines also holds T if ceil(words of T / THRESHOLD) words in a row do, wherever
 its lines end. Only texts whose whole token set holds T are looked through. Inside one line such a run adds nothing to the line.
 
-Null texts count as empty. Repeated rows get equal results. Documents without a match have score 0.
+Each text is read once: its places and its lines' tokens of the vocabulary are written, and all else starts from there; texts that
+may hold a wrapped notice are read again. Equal texts are searched once.
+
+Null texts count as empty. Texts and lines are read whole, whatever their length. Tokens held by equally many blocks are
+ordered by themselves. Repeated rows get equal results. Documents without a match have score 0. An empty table gives no
+rows. Only doc_id and text are read, other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import ascii_lower, table
+from verivane.llm.common import ascii_lower, materialize, small_side, table, text_hashes
 
 #: Fixed phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -46,18 +51,21 @@ WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def places(text, phrases):
-    """Columns of the phrases' places in a text: n_base, first_word, last_word, base_labels; and n_words."""
+def tokens(text):
+    """Lower-cased words; an empty one may stand at either end."""
+    return F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def places(text, n_words, phrases):
+    """Columns of the phrases' places in a text: n_base, first_word, last_word, base_set."""
     words = lambda c: F.regexp_count(c, F.lit(f"{WORD}+"))
     either = "|".join(GAP.join(p.split()) for p, _ in phrases)
     pattern = rf"(?i)(?<!{WORD})(?:{either})(?!{WORD})"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    n_words = words(text).cast("long")
     some = F.size(found) > 0
     label = lambda m: reduce(lambda e, p: F.when(m.rlike("(?i)^" + GAP.join(p[0].split()) + "$"), p[1]).otherwise(e), phrases, F.lit(None))
     return {
-        "n_words": n_words,
         "n_base": F.size(found).cast("long"),
         "first_word": F.when(some, words(F.element_at(between, 1)).cast("long")),
         "last_word": F.when(some, n_words - words(F.element_at(between, -1)) - words(F.element_at(found, -1))),
@@ -65,39 +73,47 @@ def places(text, phrases):
     }
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """A row for each line that holds tokens of the vocabulary: `b` has them in the vocabulary's order."""
-    line = docs.select("doc_id", "h", F.explode(F.split("text", "\n")).alias("line"))
-    tokens = F.split(ascii_lower(F.col("line")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return line.select("doc_id", "h", F.array_intersect(F.array(*[F.lit(v) for v in vocabulary]), tokens).alias("b")).where(F.size("b") > 0)
+def read(docs: DataFrame, vocabulary: list[str], phrases) -> DataFrame:
+    """doc_id, h and g (hash of the text), n_words, places(), lines (tokens of the vocabulary, in its order, of each line that has some), wrapped
+    (whether there are several lines), written."""
+    text = F.col("text")
+    known = F.array(*[F.lit(v) for v in vocabulary])
+    lines = F.transform(F.transform(F.split(text, "\n"), tokens), lambda w: F.struct(F.size(F.array_remove(w, "")).alias("n"), F.array_intersect(known, w).alias("b")))
+    once = docs.select("doc_id", *text_hashes(), "text", lines.alias("each"))
+    n_words = F.aggregate("each", F.lit(0).cast("long"), lambda sum, x: sum + x["n"])
+    once = once.select("doc_id", "h", "g", "text", "each", n_words.alias("n_words"))
+    held = F.filter(F.transform("each", lambda x: x["b"]), lambda b: F.size(b) > 0)
+    columns = {**places(text, F.col("n_words"), phrases), "lines": held, "wrapped": F.size("each") > 1}
+    return materialize(once.select("doc_id", "h", "g", "n_words", *[v.alias(k) for k, v in columns.items()]), "license-lines")
 
 
-def wrapped(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """doc_id, h, label (null below the threshold), share of each template that a text of several lines might hold: the most
-    of its tokens in a run of words."""
-    rows = []
+def wrapped(docs: DataFrame, lines: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """h, g, label, share of each template that a text of several lines holds: the most of its tokens in a run of words."""
+    known = []
     for label, text in templates:
         words = re.findall(r"[0-9a-z]+", text)
         t = sorted(set(words))
-        rows.append((label, math.ceil(threshold * len(t) - 1e-9), math.ceil(len(words) / threshold - 1e-9), t))
-    index = docs.sparkSession.createDataFrame(rows, "label string, least int, width int, t array<string>")
-    everything = F.array(*[F.lit(w) for w in sorted({w for r in rows for w in r[3]})])
-    texts = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", "h", F.split(ascii_lower(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+").alias("w"))
-    texts = texts.select("doc_id", "h", "w", F.array_intersect(everything, "w").alias("own"))
-    maybe = texts.join(F.broadcast(index), F.size(F.array_intersect("own", "t")) >= F.col("least"))
+        least, width = math.ceil(threshold * len(t) - 1e-9), math.ceil(len(words) / threshold - 1e-9)
+        known.append(F.struct(F.lit(label).alias("label"), F.lit(least).alias("least"), F.lit(width).alias("width"), F.array(*map(F.lit, t)).alias("t")))
+    several = lines.where(F.col("wrapped") & (F.size("lines") > 0)).select("h", "g", F.array_distinct(F.flatten("lines")).alias("own"))
+    maybe = several.select("h", "g", F.filter(F.array(*known), lambda t: F.size(F.array_intersect("own", t["t"])) >= t["least"]).alias("maybe")).where(F.size("maybe") > 0)
+    maybe = materialize(maybe.dropDuplicates(["h", "g"]), "license-wrapped")
+    texts = docs.select(*text_hashes(), "text").join(small_side(maybe), ["h", "g"]).select("h", "g", tokens(F.col("text")).alias("w"), "maybe").dropDuplicates(["h", "g"])
+    each = texts.select("h", "g", "w", F.inline("maybe"))
     starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_contains("t", F.element_at("w", i)))
     most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("w", i, F.col("width")), "t"))))
-    maybe = maybe.select("doc_id", "h", "label", "least", most.alias("most"), F.size("t").alias("size"))
-    return maybe.select("doc_id", "h", F.when(F.col("most") >= F.col("least"), F.col("label")).alias("label"), F.when(F.col("most") >= F.col("least"), F.col("most") / F.col("size")).alias("share"))
+    each = each.select("h", "g", "label", "least", most.alias("most"), F.size("t").alias("size"))
+    return each.where("most >= least").select("h", "g", "label", (F.col("most") / F.col("size")).alias("share"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = [(label, sorted(set(re.findall(r"[0-9a-z]+", t)))) for label, t in templates]
     everything = sorted({w for _, s in sets for w in s})
-    counted = {x["w"]: x["n"] for x in blocks(docs, everything).select(F.explode("b").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    lines = read(docs, everything, phrases)
+    counted = {x["w"]: x["n"] for x in lines.select(F.explode(F.flatten("lines")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(everything, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
@@ -106,16 +122,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         least = math.ceil(threshold * len(s) - 1e-9)
         rows += [(w, i, label, least, s) for i, w in enumerate(s[: len(s) - least + 1])]
     index = spark.createDataFrame(rows, "w string, i int, label string, least int, t array<string>")
-    b = blocks(docs, order).where(F.size("b") >= min(r[3] for r in rows))
-    hits = b.select("doc_id", "h", "b", F.posexplode("b").alias("j", "w")).join(F.broadcast(index), "w")
+    b = lines.select("h", "g", F.explode("lines").alias("b")).where(F.size("b") >= min(r[3] for r in rows)).distinct()
+    b = b.withColumn("b", F.array_intersect(F.array(*map(F.lit, order)), "b"))
+    hits = b.select("h", "g", "b", F.posexplode("b").alias("j", "w")).join(F.broadcast(index), "w")
     after_b, after_t = F.size("b") - F.col("j"), F.size("t") - F.col("i")  # the shared token and what follows it
     hits = hits.where((F.col("j") <= F.size("b") - F.col("least")) & (F.least(after_b, after_t) >= F.col("least")))
     overlap = F.size(F.array_intersect("b", "t"))
-    found = hits.where(overlap >= F.col("least")).select("doc_id", "h", "label", (overlap / F.size("t")).alias("share"))
-    found = found.unionByName(wrapped(docs, templates, threshold)).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
-    base = docs.select("doc_id", "h", *[v.alias(k) for k, v in places(F.col("text"), phrases).items()])
-    found = found.withColumnsRenamed({"doc_id": "d", "h": "k"})
-    out = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["h"] == found["k"]), "left")
+    found = hits.where(overlap >= F.col("least")).select("h", "g", "label", (overlap / F.size("t")).alias("share"))
+    found = found.unionByName(wrapped(docs, lines, templates, threshold)).groupBy("h", "g").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
+    out = lines.join(small_side(materialize(found, "license-found")), ["h", "g"], "left")
     joined = lambda c: F.array_join(F.array_sort(c), ",")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -130,21 +145,28 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same by comparing each line with each template, and each place with each phrase."""
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES)
+    """The same by comparing each line, and each run of words of texts of several lines, with each template, and each place with each phrase."""
+    values = ", ".join(f"('{label}', {sorted(set(t.split()))}, {math.ceil(len(t.split()) / THRESHOLD - 1e-9)})" for label, t in TEMPLATES)
     words = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     at = lambda p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
     case = "CASE " + " ".join(f"WHEN {at(p)} THEN '{label}'" for p, label in PHRASES) + " END"
     return rf"""
-WITH templates(label, t) AS (VALUES {values}),
+WITH templates(label, t, width) AS (VALUES {values}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+runs AS (
+  SELECT doc_id, label, t, list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i])), lambda i: len(list_intersect(list_distinct(w[i : i + width - 1]), t)))) AS most
+  FROM (SELECT doc_id, w, list_distinct(w) AS b FROM docs WHERE contains(text, chr(10))), templates
+  WHERE len(list_intersect(b, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+),
 base AS (
   SELECT doc_id, len(w) AS n_words, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i - 1, 'label': {case}}}), lambda x: x.label IS NOT NULL) AS p FROM docs
 ),
 lines AS (SELECT doc_id, list_distinct({words.format("line")}) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
 found AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(b, t)) / len(t)) AS best
-  FROM lines, templates WHERE len(list_intersect(b, t)) >= ceil({THRESHOLD} * len(t) - 1e-9) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM (
+    SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM lines, templates WHERE len(list_intersect(b, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+    UNION ALL SELECT doc_id, label, most / len(t) FROM runs WHERE most >= ceil({THRESHOLD} * len(t) - 1e-9)
+  ) GROUP BY doc_id
 )
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.i)) AS first_word, list_max(list_transform(p, lambda x: x.i)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
