@@ -107,6 +107,101 @@ def test_stored_tables(spark, tmp_path):
     assert [(r["predicted_pm2_5"], r["actual_pm2_5"]) for r in tables.read(spark, root, "predictions").collect()] == [(3.0, 2.0)]
 
 
+def stored_rows(spark, root, name="predictions", **kw):
+    return sorted((r["city"], r["forecast_date"].isoformat(), r["predicted_pm2_5"]) for r in tables.read(spark, root, name, **kw).collect())
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame([(c, date(y, 1, 1), p, None, "m", None) for c, y, p in rows], TABLES["predictions"])
+
+
+def test_an_upsert_rewrites_only_its_parts_and_sets_created_at(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    tables.merge(batch(spark, ("a", 2023, 1.0), ("a", 2024, 2.0), ("b", 2024, 3.0)), root, "predictions")
+    first = {(r["city"], r["forecast_date"].year): r["created_at"] for r in tables.read(spark, root, "predictions").collect()}
+    before = tables._parts(spark, root, "predictions", 1)
+    tables.merge(batch(spark, ("a", 2024, 5.0)), root, "predictions")
+    after = tables._parts(spark, root, "predictions", 2)
+    assert len(before) == 3 and sum(before[k] != after[k] for k in before) == 1
+    assert stored_rows(spark, root) == [("a", "2023-01-01", 1.0), ("a", "2024-01-01", 5.0), ("b", "2024-01-01", 3.0)]
+    assert stored_rows(spark, root, city="b") == [("b", "2024-01-01", 3.0)]
+    second = {(r["city"], r["forecast_date"].year): r["created_at"] for r in tables.read(spark, root, "predictions").collect()}
+    assert None not in first.values() and second["a", 2024] > first["a", 2024] and second["b", 2024] == first["b", 2024]
+    for p in range(4):
+        tables.merge(batch(spark, ("a", 2024, float(p))), root, "predictions")
+    assert len(list((tmp_path / "predictions/log").glob("*.json"))) == tables.KEPT  # old versions go
+    assert stored_rows(spark, root)[1:] == [("a", "2024-01-01", 3.0), ("b", "2024-01-01", 3.0)]
+
+
+@pytest.mark.parametrize("step", ["_write", "_commit"])
+def test_a_crash_between_the_steps_loses_nothing(spark, tmp_path, monkeypatch, step):
+    root = f"file://{tmp_path}"
+    tables.merge(batch(spark, ("a", 2024, 1.0)), root, "predictions")
+    inner = getattr(tables, step)
+
+    def crash(*args):
+        if step == "_write":
+            inner(*args)  # data are there, no version yet
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, step, crash)
+        for write in (lambda: tables.merge(batch(spark, ("a", 2024, 2.0)), root, "predictions"), lambda: tables.replace(batch(spark, ("b", 2024, 2.0)), root, "predictions")):
+            with pytest.raises(OSError):
+                write()
+            assert stored_rows(spark, root) == [("a", "2024-01-01", 1.0)]
+    tables.merge(batch(spark, ("b", 2024, 4.0)), root, "predictions")
+    assert stored_rows(spark, root) == [("a", "2024-01-01", 1.0), ("b", "2024-01-01", 4.0)]
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    tables.merge(batch(spark, ("a", 2024, 1.0)), root, "predictions")
+    with pytest.raises(tables.Conflict):
+        tables._commit(spark, root, "predictions", {}, 0)
+    assert stored_rows(spark, root) == [("a", "2024-01-01", 1.0)]
+
+
+def test_keys_are_enforced(spark, tmp_path):
+    for rows in ([("a", 2024, 1.0), ("a", 2024, 2.0)],):
+        with pytest.raises(ValueError):
+            tables.merge(batch(spark, *rows), f"file://{tmp_path}", "predictions")
+    null = batch(spark, ("a", 2024, 1.0)).withColumn("model", F.lit(None).cast("string"))
+    with pytest.raises(ValueError):
+        tables.merge(null, f"file://{tmp_path}", "predictions")
+
+
+def test_smoothing_equals_the_recursion(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.random() * 50 for _ in range(400)]
+    got = [r["predicted_pm2_5"] for r in backtest.walkforward_ses(observations(spark, values)).orderBy("forecast_date").collect()]
+    level, want = values[0], []
+    for v in values:
+        want.append(level)
+        level = 0.3 * v + 0.7 * level
+    assert got == pytest.approx(want[30:], rel=1e-12)
+
+
+def test_the_ladder_smooths_where_nothing_can_be_fitted(spark):
+    got = [r["predicted_pm2_5"] for r in backtest.walkforward_ar1(observations(spark, [5.0] * 32 + [9.0, 1.0])).orderBy("forecast_date").collect()]
+    assert got[:3] == pytest.approx([5.0, 5.0, 5.0]) and got[3] == pytest.approx(0.3 * 9 + 0.7 * 5)
+
+
+def test_scored_only_asks_for_the_actual_alone(spark):
+    p = spark.createDataFrame([("a", START, None, 2.0, "m"), ("a", START, 1.0, None, "n")], PRED)
+    assert [r["model"] for r in serve.prediction_log(p, scored_only=True).collect()] == ["m"]
+
+
+def test_a_later_forecast_is_not_tomorrows(spark):
+    obs = observations(spark, [1.0])
+    p = spark.createDataFrame([("a", START + timedelta(3), 1.0, None, "m"), ("a", START + timedelta(1), 1.0, None, "n")], PRED)
+    report = quality.readiness_report(obs, features.features(obs), p, ["m", "n"], "2024-01-01")
+    checks = {r["check"]: r["passed"] for r in report.collect()}
+    assert not checks["m forecast exists"] and checks["n forecast exists"] and checks["n forecast is for the next day"]
+
+
 def test_scoring_is_strict_and_repeatable(spark):
     obs = observations(spark, [1.0, None, 3.0])
     p = spark.createDataFrame([("a", START + timedelta(d), 2.0 if d else None, None, "m") for d in range(4)], PRED)

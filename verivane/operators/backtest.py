@@ -5,7 +5,7 @@ No training set is copied: what a forecast may know is a frame that ends one row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -58,30 +58,33 @@ def walkforward_ols(observations: DataFrame, min_train: int = MIN_TRAIN) -> Data
 
 
 def walkforward_ar1(observations: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
-    """AR(1) on first differences, fitted on the rows before; without a fit, the last value. Null readings are left out."""
+    """AR(1) on first differences, fitted on the rows before; where nothing can be fitted (no difference so far), exponential smoothing,
+    and at last the last value. Null readings are left out."""
     y = observations.where("pm2_5 is not null").select("city", "as_of", F.col("pm2_5").alias("y"))
     d = y.select("*", F.row_number().over(series()).alias("n"), F.lag("y").over(series()).alias("y1"), (F.col("y") - F.lag("y").over(series())).alias("d"))
     d = d.select("*", F.lag("d").over(series()).alias("d1"))
     sums = d.select("*", F.sum(F.col("d") * F.col("d1")).over(before()).alias("top"), F.sum(F.when(F.col("d").isNotNull(), F.col("d1") * F.col("d1"))).over(before()).alias("bottom"))
     phi = F.try_divide("top", "bottom")
-    predicted = F.when(F.coalesce("bottom", F.lit(0.0)) > 0, F.col("y1") + phi * F.col("d1")).otherwise(F.col("y1"))
+    smooth = F.coalesce(smoothed(F.col("y")), F.col("y1"))
+    predicted = F.when(F.coalesce("bottom", F.lit(0.0)) > 0, F.col("y1") + phi * F.col("d1")).otherwise(smooth)
     return sums.where(F.col("n") > min_train).select("city", F.col("as_of").alias("forecast_date"), predicted.alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"))
 
 
-def walkforward_ses(observations: DataFrame, alpha: float = 0.3, min_train: int = MIN_TRAIN) -> DataFrame:
-    """Simple exponential smoothing of the readings that are there; a series (a row a day at most) is one group."""
+ALPHA = 0.3
 
-    def smooth(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("as_of")
-        y = g["pm2_5"].to_numpy()
-        level, levels = y[0], np.empty(len(y))
-        for i, v in enumerate(y):
-            levels[i] = level
-            level = alpha * v + (1 - alpha) * level
-        return pd.DataFrame({"city": g["city"], "forecast_date": g["as_of"], "predicted_pm2_5": levels, "actual_pm2_5": y})[min_train:]
-
-    rows = observations.where("pm2_5 is not null").select("city", "as_of", "pm2_5")
-    return rows.groupBy("city").applyInPandas(smooth, "city string, forecast_date date, predicted_pm2_5 double, actual_pm2_5 double")
+
+def smoothed(y: Column, alpha: float = ALPHA) -> Column:
+    """The exponentially smoothed level of the rows before this one. What lies further back than the frame weighs less than 1e-18."""
+    rows = math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    seen = F.collect_list(y).over(series().rowsBetween(-rows, -1))
+    return F.aggregate(seen, F.get(seen, F.lit(0)), lambda level, v: alpha * v + (1 - alpha) * level)
+
+
+def walkforward_ses(observations: DataFrame, alpha: float = ALPHA, min_train: int = MIN_TRAIN) -> DataFrame:
+    """Simple exponential smoothing of the readings that are there."""
+    rows = observations.where("pm2_5 is not null").select("city", "as_of", F.col("pm2_5").alias("y"))
+    rows = rows.select("*", F.row_number().over(series()).alias("n"), smoothed(F.col("y"), alpha).alias("level"))
+    return rows.where(F.col("n") > min_train).select("city", F.col("as_of").alias("forecast_date"), F.coalesce("level", "y").alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"))
 
 
 def walkforward_ridge(training: DataFrame, penalty: float = 1.0, min_train: int = MIN_TRAIN) -> DataFrame:

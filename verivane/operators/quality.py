@@ -76,17 +76,20 @@ def readiness_report(observations: DataFrame, features: DataFrame, ledger: DataF
     """city, check, passed: freshness, features up to date and whole, forecasts there, whole and for the next day."""
     obs = observations.groupBy("city").agg(F.max("as_of").alias("latest"))
     feat = latest_nulls(features).select("city", F.col("as_of").alias("features_at"), "n_null")
-    at = [F.max(F.when(F.col("model") == m, F.struct("forecast_date", "predicted_pm2_5"))).alias(f"m{i}") for i, m in enumerate(models)]
-    all_rows = obs.join(feat, "city", "left").join(ledger.groupBy("city").agg(*at), "city", "left")
     tomorrow = F.date_add("latest", 1)
+    at = [x for i, m in enumerate(models) for x in (
+        F.max(F.when(F.col("model") == m, F.col("forecast_date"))).alias(f"last{i}"),
+        F.bool_or((F.col("model") == m) & (F.col("forecast_date") == tomorrow) & F.col("predicted_pm2_5").isNotNull()).alias(f"there{i}"),
+    )]
+    all_rows = obs.join(feat, "city", "left").join(ledger.join(obs, "city").groupBy("city").agg(*at), "city", "left")
     checks = {
         "observations fresh": F.datediff(day(today), "latest") <= 1,
         "features match observations": F.col("features_at") == F.col("latest"),
         "latest features whole": F.col("n_null") == 0,
     }
     for i, m in enumerate(models):
-        checks[f"{m} forecast exists"] = (F.col(f"m{i}.forecast_date") >= tomorrow) & F.col(f"m{i}.predicted_pm2_5").isNotNull()
-        checks[f"{m} forecast is for the next day"] = F.col(f"m{i}.forecast_date") == tomorrow
+        checks[f"{m} forecast exists"] = F.col(f"there{i}")
+        checks[f"{m} forecast is for the next day"] = F.col(f"last{i}") == tomorrow
     return all_rows.select("city", F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])))
 
 

@@ -29,14 +29,15 @@ def latest_forecast(ledger: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def prediction_log(ledger: DataFrame, model: str | None = None, limit: int | None = None, scored_only: bool = False) -> DataFrame:
-    """Newest first; an empty model name is no filter."""
+    """Newest first; an empty model name is no filter; scored_only: those whose actual is known."""
     rows = ledger
     if model:
         rows = rows.where(F.col("model") == model)
     if scored_only:
-        rows = rows.where("actual_pm2_5 is not null and predicted_pm2_5 is not null")
+        rows = rows.where("actual_pm2_5 is not null")
     rows = rows.withColumn("error", absolute_error())
-    return rows.orderBy(F.desc("forecast_date"), "model", "city").limit(limit) if limit else rows
+    rows = rows.orderBy(F.desc("forecast_date"), "model", "city")
+    return rows.limit(limit) if limit else rows
 
 
 def evaluation(ledger: DataFrame, today: str, days: int = 30) -> DataFrame:

@@ -27,7 +27,7 @@ def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles settled to four places, 32-bit integers widened, for comparison between engines."""
+    """Doubles settled to four places, for comparison between engines."""
     out: dict[str, Column] = {c: settled(F.col(c)) for c, t in df.dtypes if t == "double"}
     return df.withColumns(out) if out else df
 
@@ -188,7 +188,7 @@ def score_returning(x: Inputs) -> DataFrame:
 
 @query
 def score_yesterday(x: Inputs) -> DataFrame:
-    return ledger.score_day(x.ledger, x.observations, "2001-08-01")
+    return ledger.score_day(x.ledger, x.observations, "2001-07-30")
 
 
 @query
@@ -281,7 +281,7 @@ def training_matrix(x: Inputs) -> DataFrame:
 
 @query
 def gbt_forecast(x: Inputs) -> DataFrame:
-    return models.forecast(models.fit(x.training, rounds=5), x.features)
+    return models.forecast(models.fit(x.training), x.features)
 
 
 # ---- serving -----------------------------------------------------------------------------------------

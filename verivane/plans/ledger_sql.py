@@ -133,7 +133,7 @@ scored AS (
 )"""
 sql("score_pending", SCORED, f"SELECT city, model, newly, {_results} FROM scored")
 sql("score_returning", SCORED, f"SELECT city, model, {_results} FROM scored WHERE newly")
-sql("score_yesterday", SCORED, f"SELECT city, model, {_results} FROM scored WHERE newly AND forecast_date = DATE '2001-08-01'")
+sql("score_yesterday", SCORED, f"SELECT city, model, {_results} FROM scored WHERE newly AND forecast_date = DATE '2001-07-30'")
 sql("score_daily_metrics", SCORED, f"""
 SELECT forecast_date AS score_date, model, {r('avg(e)', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')}, count(e) AS sample_size
 FROM (SELECT *, abs(actual_pm2_5 - predicted_pm2_5) AS e FROM scored WHERE newly) GROUP BY 1, 2""")
@@ -153,7 +153,11 @@ sql("walkforward_ar1", OBS, f"""
 , y AS (SELECT city, as_of, pm2_5 AS y, row_number() OVER w AS n, lag(pm2_5) OVER w AS y1, pm2_5 - lag(pm2_5) OVER w AS d FROM obs WHERE pm2_5 IS NOT NULL WINDOW w AS (PARTITION BY city ORDER BY as_of)),
 d AS (SELECT *, lag(d) OVER (PARTITION BY city ORDER BY as_of) AS d1 FROM y),
 s AS (SELECT *, sum(d * d1) OVER b AS top, sum(CASE WHEN d IS NOT NULL THEN d1 * d1 END) OVER b AS bottom FROM d WINDOW b AS (PARTITION BY city ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT city, as_of AS forecast_date, {r('CASE WHEN coalesce(bottom, 0) > 0 THEN y1 + top / bottom * d1 ELSE y1 END', 'predicted_pm2_5')}, {r('y', 'actual_pm2_5')} FROM s WHERE n > 30""")
+, l AS (
+  SELECT city, n, y, y AS before, y AS level FROM y WHERE n = 1
+  UNION ALL SELECT y.city, y.n, y.y, l.level, 0.3 * y.y + (1 - 0.3) * l.level FROM l JOIN y ON y.city = l.city AND y.n = l.n + 1
+)
+SELECT s.city, as_of AS forecast_date, {r('CASE WHEN coalesce(bottom, 0) > 0 THEN y1 + top / bottom * d1 ELSE l.before END', 'predicted_pm2_5')}, {r('s.y', 'actual_pm2_5')} FROM s JOIN l ON l.city = s.city AND l.n = s.n WHERE s.n > 30""", recursive=True)
 sql("walkforward_ses", OBS, f"""
 , y AS (SELECT city, as_of, pm2_5 AS y, row_number() OVER (PARTITION BY city ORDER BY as_of) AS n FROM obs WHERE pm2_5 IS NOT NULL),
 s AS (
@@ -183,7 +187,7 @@ SELECT count(*) AS rows, {' + '.join(f'count(*) - count({c})' for c in FEATURE_C
 sql("latest_forecast", LEDGER, f"""
 SELECT city, model, {_results}, CASE WHEN actual_pm2_5 IS NOT NULL THEN 'verified' ELSE 'pending' END AS status FROM ledger QUALIFY row_number() OVER (PARTITION BY city, model ORDER BY forecast_date DESC) = 1""")
 sql("prediction_log", LEDGER, f"SELECT city, model, {_results}, {r('e', 'error')} FROM judged ORDER BY judged.forecast_date DESC, judged.model, judged.city LIMIT 200")
-sql("prediction_log_scored", LEDGER, f"SELECT city, model, {_results}, {r('e', 'error')} FROM judged WHERE model = 'rolling_7' AND e IS NOT NULL")
+sql("prediction_log_scored", LEDGER, f"SELECT city, model, {_results}, {r('e', 'error')} FROM judged WHERE model = 'rolling_7' AND judged.actual_pm2_5 IS NOT NULL")
 sql("evaluation_30d", LEDGER, f"""
 SELECT city, model, count(e) AS scored, count(*) - count(e) AS pending, {r('avg(e)', 'mae')}, {r('sqrt(avg(e * e))', 'rmse')} FROM judged WHERE forecast_date >= DATE '{TODAY}' - 30 GROUP BY 1, 2""")
 sql("leaderboard", LEDGER, f"""
@@ -238,7 +242,7 @@ _checks = {
     "features match observations": "n.as_of = o.latest",
     "latest features whole": "n.n_null = 0",
 } | {k: v for m in ("persistence", "rolling_7") for k, v in {
-    f"{m} forecast exists": f"(SELECT arg_max(predicted_pm2_5 IS NOT NULL AND forecast_date >= o.latest + 1, forecast_date) FROM ledger l WHERE l.city = o.city AND l.model = '{m}')",
+    f"{m} forecast exists": f"(SELECT count(*) > 0 FROM ledger l WHERE l.city = o.city AND l.model = '{m}' AND l.forecast_date = o.latest + 1 AND l.predicted_pm2_5 IS NOT NULL)",
     f"{m} forecast is for the next day": f"(SELECT max(forecast_date) FROM ledger l WHERE l.city = o.city AND l.model = '{m}') = o.latest + 1",
 }.items()}
 REPORT = f"""{LEDGER}, {LATEST_NULLS}, last_obs AS (SELECT city, max(as_of) AS latest FROM obs GROUP BY 1),

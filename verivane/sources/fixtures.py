@@ -12,6 +12,9 @@ from verivane.schema import WEATHER
 from verivane.sources.constants import OPEN_FROM
 
 
+PIECE = 5000
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -40,9 +43,11 @@ class Inputs:
 
     @cached_property
     def payload_lines(self) -> DataFrame:
-        """JSON of parallel arrays, one object for each city and UTC day, as a fetch of one day lands it."""
+        """JSON of parallel arrays for each city and UTC day, in pieces of about PIECE readings, as several fetches land them."""
         r = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), "pm2_5", "pm10")
-        days = self.readings.groupBy("city", F.to_date("ts").alias("d")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+        rows = self.readings.withColumn("d", F.to_date("ts"))
+        sizes = rows.groupBy("city", "d").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+        days = rows.join(sizes, ["city", "d"]).groupBy("city", "d", F.pmod(F.xxhash64("ts", "pm2_5", "pm10"), "pieces").alias("piece")).agg(F.sort_array(F.collect_list(r)).alias("r"))
         hourly = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("time", "pm2_5", "pm10")])
         return days.select(F.to_json(F.struct("city", hourly.alias("hourly"))).alias("payload"))
 

@@ -1,13 +1,16 @@
-"""Stored tables: fixed schemas, description, and upserts written as new snapshots."""
+"""Stored tables: fixed schemas, description, and upserts that rewrite the parts they touch, as atomic versions."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructType
 
 from verivane.operators.ledger import upsert
 from verivane.schema import KEYS, TABLES
@@ -27,36 +30,127 @@ def describe(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+# ---- stored snapshots --------------------------------------------------------------------------------
+#
+# <root>/<name>/data/<id>/part_bucket=<b>/part_year=<y>/ holds rows, written once and never changed.
+# <root>/<name>/log/<version>.json says which folder holds each part. A version comes into being by one rename that fails
+# where the name is taken: readers see a version whole or not at all, and of two writers at once one fails.
+
+BUCKETS = 16  #: of cities
+KEPT = 2  #: versions that stay for readers that have begun
+
+
+class Conflict(RuntimeError):
+    """Someone else has written a version in between."""
+
+
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in _names(spark, f"{root}/{name}/log") if n.endswith(".json"))
+
+
+def _parts(spark: SparkSession, root: str, name: str, version: int) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{root}/{name}/log/{version:012d}.json", wholetext=True).first()[0]) if version else {}
+
+
+def _date_column(schema: StructType) -> str:
+    return next(f.name for f in schema if isinstance(f.dataType, DateType))
 
 
-def read_snapshot(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
-    """The stored rows; none before the first write."""
-    path = f"{root}/{name}"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+def _placed(df: DataFrame, date: str) -> DataFrame:
+    """With the part that each row belongs to."""
+    bucket = F.pmod(F.xxhash64("city"), F.lit(BUCKETS)) if "city" in df.columns else F.lit(0)
+    return df.withColumns({"part_bucket": bucket.cast("int"), "part_year": F.year(date)})
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return read_snapshot(spark, root, name, TABLES[name])
+def _read(spark: SparkSession, root: str, name: str, schema: StructType, parts: dict[str, str]) -> DataFrame:
+    paths = [f"{root}/{name}/data/{folder}/{part}" for part, folder in sorted(parts.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_snapshot(spark: SparkSession, root: str, name: str, schema: StructType, city: str | None = None) -> DataFrame:
+    """The stored rows, of one city or all; none before the first write. Only the city's parts are opened."""
+    parts = _parts(spark, root, name, max(_versions(spark, root, name), default=0))
+    if city is None:
+        return _read(spark, root, name, schema, parts)
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(city)), F.lit(BUCKETS))).first()[0]
+    return _read(spark, root, name, schema, {k: v for k, v in parts.items() if k.startswith(f"part_bucket={bucket}/")}).where(F.col("city") == city)
+
+
+def read(spark: SparkSession, root: str, name: str, city: str | None = None) -> DataFrame:
+    return read_snapshot(spark, root, name, TABLES[name], city)
+
+
+def _write(df: DataFrame, root: str, name: str) -> dict[str, str]:
+    """Writes rows into a folder of their own; which parts they have there."""
+    spark, folder = df.sparkSession, uuid.uuid4().hex
+    path = f"{root}/{name}/data/{folder}"
+    placed = _placed(df, _date_column(df.schema))
+    placed.repartition("part_bucket", "part_year").write.partitionBy("part_bucket", "part_year").parquet(path)
+    return {f"{b}/{y}": folder for b in _names(spark, path) if b.startswith("part_") for y in _names(spark, f"{path}/{b}") if y.startswith("part_")}
+
+
+def _commit(spark: SparkSession, root: str, name: str, parts: dict[str, str], before: int) -> None:
+    """Makes parts the version after `before`, then clears what no kept version needs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    log = f"{root}/{name}/log"
+    fs, fresh = _fs(spark, f"{log}/{uuid.uuid4().hex}.tmp")
+    out = fs.create(fresh, False)
+    out.write(bytearray(json.dumps(parts).encode()))
+    out.close()
+    plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{log}/{before + 1:012d}.json"), plain)
+    except Py4JJavaError as e:
+        fs.delete(fresh, False)
+        raise Conflict(f"{name} has been written since version {before}") from e
+    versions = _versions(spark, root, name)
+    kept, gone = versions[-KEPT:], versions[:-KEPT]
+    needed = set().union(*[_parts(spark, root, name, v).values() for v in kept])
+    dropped = set().union(*[_parts(spark, root, name, v).values() for v in gone]) - needed
+    for path in [f"{root}/{name}/data/{f}" for f in dropped] + [f"{log}/{v:012d}.json" for v in gone]:
+        fs.delete(_fs(spark, path)[1], True)
 
 
 def replace(df: DataFrame, root: str, name: str) -> None:
-    """Writes a snapshot beside the table, then swaps it in; readers see the old or the new one, never a mixture."""
-    spark = df.sparkSession
-    path, fresh, old = f"{root}/{name}", f"{root}/_{name}-{uuid.uuid4().hex}", f"{root}/_{name}-old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
+    """Writes all rows as a new version."""
+    before = max(_versions(df.sparkSession, root, name), default=0)
+    _commit(df.sparkSession, root, name, _write(df, root, name), before)
+
+
+def update(touched: DataFrame, root: str, name: str, schema: StructType, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Rewrites the parts that hold the (city, date) pairs of touched, with change(their stored rows); others stay as they are.
+    touched: rows with the table's city, if it has one, and a date."""
+    spark = touched.sparkSession
+    before = max(_versions(spark, root, name), default=0)
+    parts = _parts(spark, root, name, before)
+    found = _placed(touched, _date_column(touched.schema)).select("part_bucket", "part_year").distinct().collect()  # at most BUCKETS a year
+    names = {f"part_bucket={r[0]}/part_year={r[1]}" for r in found}
+    if not names:
+        return
+    stored = _read(spark, root, name, schema, {k: v for k, v in parts.items() if k in names})
+    written = _write(change(stored).select(schema.names), root, name)
+    _commit(spark, root, name, {k: v for k, v in parts.items() if k not in names} | written, before)
+
+
+def check_keys(df: DataFrame, keys: list[str]) -> None:
+    """Raises where a key is null or comes twice."""
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    if not df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | null).isEmpty():
+        raise ValueError(f"null or repeated keys {keys}")
 
 
 def merge(incoming: DataFrame, root: str, name: str, keep: list[str] | None = None) -> None:
-    """Upserts a batch on the table's key; columns in `keep` hold on to what is stored."""
-    stored = read(incoming.sparkSession, root, name)
-    replace(upsert(stored, incoming, KEYS[name], keep=keep).select([f.name for f in TABLES[name]]), root, name)
+    """Upserts a batch on the table's key and sets created_at of its rows to now; columns in `keep` hold on to what is stored."""
+    check_keys(incoming, KEYS[name])
+    fresh = incoming.withColumn("created_at", F.current_timestamp())
+    update(incoming, root, name, TABLES[name], lambda stored: upsert(stored, fresh, KEYS[name], keep=keep))

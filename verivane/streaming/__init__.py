@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verivane.operators.ledger import score_pending, upsert
-from verivane.sources.tables import read_snapshot, replace
+from verivane.sources.tables import read_snapshot, replace, update
 
 
 def _drain(stream: DataFrame, each, checkpoint: str, mode: str) -> None:
@@ -14,27 +14,26 @@ def _drain(stream: DataFrame, each, checkpoint: str, mode: str) -> None:
 
 
 def stream_daily_means(readings: DataFrame, root: str, lateness: str = "2 days") -> DataFrame:
-    """Runs until the input is used up. Each batch upserts the days it changed; a day stays open for late readings for as
+    """Runs until the input is used up. Each batch upserts the days it changed, in the parts that hold them; a day stays open for late readings for as
     long as the watermark allows. A batch that is run again writes the same rows: the upsert is idempotent."""
     spark = readings.sparkSession
     days = readings.withWatermark("ts", lateness).groupBy("city", F.window("ts", "1 day")).agg(F.avg("pm2_5").alias("pm2_5"), F.avg("pm10").alias("pm10"), F.count("*").alias("hours"))
     days = days.select("city", F.to_date("window.start").alias("as_of"), "pm2_5", "pm10", "hours")
 
     def each(batch: DataFrame, _: int) -> None:
-        replace(upsert(read_snapshot(spark, root, "daily", days.schema), batch, ["city", "as_of"]), root, "daily")
+        update(batch, root, "daily", days.schema, lambda stored: upsert(stored, batch, ["city", "as_of"]))
 
     _drain(days, each, f"{root}/_checkpoint-daily", "update")
     return read_snapshot(spark, root, "daily", days.schema)
 
 
 def stream_scores(observations: DataFrame, ledger: DataFrame, root: str) -> DataFrame:
-    """Scores pending forecasts with each arriving batch of observations; returns the ledger at the end."""
+    """Scores pending forecasts with each arriving batch of observations, in the parts of the batch's days; returns the ledger at the end."""
     spark = observations.sparkSession
     replace(ledger, root, "ledger")
 
     def each(batch: DataFrame, _: int) -> None:
-        stored = read_snapshot(spark, root, "ledger", ledger.schema)
-        replace(score_pending(stored, batch).drop("newly").select(stored.columns), root, "ledger")
+        update(batch.select("city", "as_of"), root, "ledger", ledger.schema, lambda stored: score_pending(stored, batch).drop("newly"))
 
     _drain(observations, each, f"{root}/_checkpoint-scores", "append")
     return read_snapshot(spark, root, "ledger", ledger.schema)
