@@ -9,7 +9,10 @@ reads the samples back. Features of the samples, in blocks of bounded size with
 3. hysteresis over a frame's energy: a segment starts above HIGH dB and goes on until below LOW dB, both from the peak;
 4. tensors of the fixed shape (SPAN frames, MELS), the last one filled up with FLOOR, each with its time span.
 
-Null texts count as empty, which makes one padded payload. Equal texts have equal values.
+Null texts count as empty, which makes one padded payload. Texts of any length are stored whole and worked on in blocks. Equal texts
+and repeated rows have equal values. Of frames of equal energy each is judged alone. A null media value has null features. An empty
+table gives no rows. Only doc_id and text are read of documents, whatever other columns are called; of a clash in
+audio_features(), the table's own frames, segments and tensors are replaced.
 """
 
 from __future__ import annotations
@@ -176,6 +179,13 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (max(PAD, -(-len(data) // PAD) * PAD) - len(data)), len(data)
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """Slices of the batches, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
 def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
     """Of a table with WAVE files: its other columns, frames, segments (array of start and end seconds), tensors (Arrow stream)."""
     keep = [c for c in media.columns if c not in (column, "frames", "segments", "tensors")]
@@ -183,7 +193,7 @@ def audio_features(media: DataFrame, column: str = "media") -> DataFrame:
     step = HOP * DOWN / (RATE * UP)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             mels = [None if m is None else log_mel(_whole(load(m)[0])) for m in b[column]]
             yield b[keep].assign(
                 frames=pd.array([None if m is None else len(m) for m in mels], "Int64"),
@@ -198,7 +208,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """doc_id and its text as a WAVE file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             yield pd.DataFrame({"doc_id": b["doc_id"], "media": [store(text_payload(t)[0]) for t in b["text"]]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, media binary")
