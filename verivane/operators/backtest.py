@@ -87,21 +87,25 @@ def walkforward_ses(observations: DataFrame, alpha: float = ALPHA, min_train: in
     return rows.where(F.col("n") > min_train).select("city", F.col("as_of").alias("forecast_date"), F.coalesce("level", "y").alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"))
 
 
+STEPS = 1024  #: small systems solved at once
+
+
 def walkforward_ridge(training: DataFrame, penalty: float = 1.0, min_train: int = MIN_TRAIN) -> DataFrame:
-    """Ridge regression on all features, refitted before each row: running sums of products, one small system a row."""
+    """Ridge regression on all features, refitted before each row: running sums of products, one small system a row, solved many at a time."""
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("as_of")
         x = np.nan_to_num(g[FEATURE_COLUMNS].to_numpy(np.float64))
         x, y = np.c_[x, np.ones(len(x))], g["target"].to_numpy(np.float64)
-        xx, xy = np.zeros((x.shape[1],) * 2), np.zeros(x.shape[1])
-        ridge = penalty * np.eye(x.shape[1])
+        xx, xy = penalty * np.eye(x.shape[1]), np.zeros(x.shape[1])
         out = np.full(len(y), np.nan)
-        for i in range(len(y)):
-            if i >= min_train:
-                out[i] = x[i] @ np.linalg.solve(xx + ridge, xy)
-            xx += np.outer(x[i], x[i])
-            xy += x[i] * y[i]
+        for at in range(0, len(y), STEPS):  # all steps of a stretch at once
+            part, target = x[at : at + STEPS], y[at : at + STEPS]
+            products, sums = np.cumsum(part[:, :, None] * part[:, None, :], axis=0), np.cumsum(part * target[:, None], axis=0)
+            before_xx = xx + np.concatenate([np.zeros((1, *xx.shape)), products[:-1]])
+            before_xy = xy + np.concatenate([np.zeros((1, len(xy))), sums[:-1]])
+            out[at : at + STEPS] = (part * np.linalg.solve(before_xx, before_xy[:, :, None])[:, :, 0]).sum(1)
+            xx, xy = xx + products[-1], xy + sums[-1]
         return pd.DataFrame({"city": g["city"], "forecast_date": g["target_date"], "predicted_pm2_5": out, "actual_pm2_5": y})[min_train:]
 
     rows = training.select("city", "as_of", "target_date", "target", *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS])
