@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import materialize, small, table, text_hashes
+from verivane.llm.common import BROADCAST_ROWS, materialize, small, table, text_hashes
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ipv6", "secret", "ssn"]  #: in order of report
@@ -338,6 +338,9 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.record_batch(columns, names=b.schema.names[:-1])
 
+    # Broadcast only while all spans together are few.
+    few = (spans.agg(F.sum(F.size(_OWN[2]))).first()[0] or 0) <= BROADCAST_ROWS
+    spans = F.broadcast(spans) if few else spans
     h, g = text_hashes(docs["text"])
     hit = docs.join(spans, (h == spans[_OWN[0]]) & (g == spans[_OWN[1]]), "left").drop(*_OWN[:2])
     out = hit.mapInArrow(run, docs.schema)
