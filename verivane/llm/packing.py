@@ -154,15 +154,31 @@ def fitness(solution: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return float((f * f).mean())
 
 
-def repaired(groups: list[list[int]], displaced: list[int], lengths: list[int], capacity: int, frozen: int = 0) -> np.ndarray:
-    """The solution of these sequences and displaced pieces. Where a longer displaced piece (at most the room longer) can take the
-    place of one in a sequence, but for the first `frozen`, the best such exchange is made; then the rest is best-fitted."""
-    waiting = sorted((lengths[i], i) for i in displaced)
+def repaired(parents: list[tuple[np.ndarray, np.ndarray]], lengths: list[int], array: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """The solution of the pieces that each parent keeps (solution, kept; whole sequences), the others displaced. Where a longer displaced
+    piece, by the room at most, can take the place of one in a sequence of the last parent, the best such exchange is made; then the
+    rest is best-fitted. Full sequences stay as they are."""
+    out = np.full(len(lengths), -1, np.int32)
+    number, open_groups = 0, []
+    for k, (solution, kept) in enumerate(parents):
+        where = np.flatnonzero(kept)
+        fill = np.bincount(solution[where], array[where], minlength=1)
+        full = fill == capacity
+        mine = full[solution[where]]
+        out[where[mine]] = number + (np.cumsum(full) - 1)[solution[where[mine]]]
+        number += int(full.sum())
+        rest = where[~mine]
+        rest = rest[np.argsort(solution[rest], kind="stable")]
+        ends = np.flatnonzero(np.diff(solution[rest])) + 1
+        open_groups += [(k == len(parents) - 1, g.tolist()) for g in np.split(rest, ends)] if len(rest) else []
+    taken = np.logical_or.reduce([kept for _, kept in parents])
+    waiting = sorted((lengths[i], i) for i in np.flatnonzero(~taken).tolist())
+    rng.shuffle(open_groups)
     bins = Bins(capacity)
-    for k, group in enumerate(groups):
+    for free, group in open_groups:
         fill = sum(lengths[i] for i in group)
         room = capacity - fill
-        if k >= frozen and room and waiting and len(waiting) <= len(lengths) // 2:
+        if free and waiting:
             best = (0, 0, 0)
             for i, item in enumerate(group):
                 at = bisect.bisect_right(waiting, (lengths[item] + room, len(lengths))) - 1
@@ -177,14 +193,9 @@ def repaired(groups: list[list[int]], displaced: list[int], lengths: list[int],
         bins.add(group, fill)
     for length, i in reversed(waiting):
         bins.put(i, length)
-    return bins.numbers(len(lengths))
-
-
-def sequences(solution: np.ndarray, kept: np.ndarray) -> list[list[int]]:
-    """The kept pieces of each sequence that has some."""
-    where = np.flatnonzero(kept)
-    where = where[np.argsort(solution[where], kind="stable")]
-    return [g.tolist() for g in np.split(where, np.flatnonzero(np.diff(solution[where])) + 1)] if len(where) else []
+    for k, items in enumerate(bins.items):
+        out[items] = number + k
+    return out
 
 
 def crossover(a: np.ndarray, b: np.ndarray, lengths: list[int], capacity: int, rng: random.Random) -> np.ndarray:
@@ -197,20 +208,17 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: list[int], capacity: int, r
     injected = chosen[b]
     dissolved = np.zeros(int(a.max()) + 1, bool)
     dissolved[a[injected]] = True
-    whole, rest = sequences(b, injected), sequences(a, ~dissolved[a])
-    rng.shuffle(rest)
-    return repaired(whole + rest, np.flatnonzero(dissolved[a] & ~injected).tolist(), lengths, capacity, len(whole))
+    return repaired([(b, injected), (a, ~dissolved[a] & ~injected)], lengths, array, capacity, rng)
 
 
 def mutation(a: np.ndarray, lengths: list[int], capacity: int, rng: random.Random) -> np.ndarray:
     """The emptiest sequence and a few others are dissolved."""
-    fill = fills(a, np.asarray(lengths))
+    array = np.asarray(lengths)
+    fill = fills(a, array)
     dissolved = np.zeros(len(fill), bool)
     dissolved[rng.sample(range(len(fill)), max(1, len(fill) // 20))] = True
     dissolved[int(fill.argmin())] = True
-    rest = sequences(a, ~dissolved[a])
-    rng.shuffle(rest)
-    return repaired(rest, np.flatnonzero(dissolved[a]).tolist(), lengths, capacity)
+    return repaired([(a, ~dissolved[a])], lengths, array, capacity, rng)
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int | None = None) -> list[np.ndarray]:
