@@ -36,11 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Writes a table to the shared folder, with a folder for each value of the columns `by`, and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,7 +69,7 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that materialize() wrote, once nothing reads it any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub("(/[^/=]*=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verivane.llm import audio, brown_lm, decontaminate, dedup, html_extract, license_scan, packing, pii, quality, url_filter
+from verivane.llm import audio, brown_lm, decontaminate, dedup, hard_negatives, html_extract, license_scan, nearest, packing, pii, quality, url_filter, whitening
 
-MODULES = [quality, packing, dedup, html_extract, brown_lm, url_filter, decontaminate, audio, license_scan, pii]
+MODULES = [quality, packing, dedup, html_extract, brown_lm, url_filter, decontaminate, audio, license_scan, pii, whitening, hard_negatives, nearest]
 
 
 def queries() -> dict:
