@@ -67,7 +67,7 @@ def test_bounds_hold_and_are_reached():
 
 
 def test_blocks_far_away_are_not_read(spark, monkeypatch):
-    for name, size in (("BLOCK", 16), ("PART", 64)):
+    for name, size in (("BLOCK", 16), ("PART", 256), ("TILE", 256)):
         monkeypatch.setattr(hard_negatives, name, size)
     draw = np.random.default_rng(4)
     centres = np.eye(8) * 200
@@ -76,8 +76,8 @@ def test_blocks_far_away_are_not_read(spark, monkeypatch):
     inner = hard_negatives.needed
     monkeypatch.setattr(hard_negatives, "needed", lambda *a: seen.append(inner(*a).count()) or inner(*a))
     assert mined(spark, rows, positives=2, negatives=3) == brute(rows, 2, 3)
-    blocks = 1600 // 16
-    assert seen[0] < blocks / 2  # positives: beyond the anchors' own parts, few blocks can hold a better one
+    pairs = (1600 // 16) * -(-1600 // 256)  # of blocks and tiles
+    assert seen[0] < pairs / 4  # positives: beyond the anchors' own parts, few blocks can hold a better one
 
 
 def test_odd_rows_and_clashing_names(spark):
