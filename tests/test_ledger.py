@@ -184,9 +184,55 @@ def test_smoothing_equals_the_recursion(spark):
     assert got == pytest.approx(want[30:], rel=1e-12)
 
 
-def test_the_ladder_smooths_where_nothing_can_be_fitted(spark):
-    got = [r["predicted_pm2_5"] for r in backtest.walkforward_ar1(observations(spark, [5.0] * 32 + [9.0, 1.0])).orderBy("forecast_date").collect()]
-    assert got[:3] == pytest.approx([5.0, 5.0, 5.0]) and got[3] == pytest.approx(0.3 * 9 + 0.7 * 5)
+def test_the_ladder_takes_the_fitted_level_where_no_ar_term_can_be_fitted(spark):
+    obs = observations(spark, [5.0] * 32 + [9.0, 1.0, 2.0])
+    rows = {r["n"]: r for r in backtest.recursions(obs).collect()}
+    assert rows[33]["ar"] is None and rows[34]["ar"] is None and rows[35]["ar"] is not None
+    assert rows[34]["weight"] == 1.0  # all weights have made the same error so far
+    got = [r["predicted_pm2_5"] for r in backtest.walkforward_ar1(obs).orderBy("forecast_date").collect()]
+    assert got == [5.0, 5.0, 5.0, 9.0, rows[35]["ar"]]
+
+
+def bank_of(values, weights):
+    """Forecast and weight before each value: every weight's recursion from the start, by its definition."""
+    out = []
+    for t in range(len(values)):
+        scored = []
+        for w in weights:
+            level, squares = values[0], 0.0
+            for v in values[:t]:
+                squares += (v - level) ** 2
+                level = w * v + (1 - w) * level
+            scored.append((round(squares, 6), abs(w - 1), w, level))
+        out.append(min(scored)[2:])
+    return out
+
+
+def test_the_moving_average_is_fitted_anew_before_each_row(spark):
+    import random
+
+    rng = random.Random(2)
+    walk = [50.0]
+    for _ in range(79):
+        walk.append(walk[-1] + rng.gauss(0, 3))
+    noise = [50 + rng.gauss(0, 3) for _ in range(80)]
+    weights = [k / 20 for k in range(1, 40)]
+    for values in (walk, noise):
+        got = backtest.walkforward_ma1(observations(spark, values)).orderBy("forecast_date").collect()
+        want = bank_of(values, weights)[30:]
+        assert [r["weight"] for r in got] == pytest.approx([w for w, _ in want])
+        assert [r["predicted_pm2_5"] for r in got] == pytest.approx([p for _, p in want])
+    assert got[-1]["weight"] < 0.3  # noise around a level asks for much smoothing
+    assert backtest.walkforward_ma1(observations(spark, walk)).orderBy(F.desc("forecast_date")).first()["weight"] > 0.6  # a walk for little
+
+
+def test_recursions_keep_series_apart_and_skip_nulls(spark):
+    a = [float((i * 37) % 50) for i in range(40)]
+    alone = backtest.recursions(observations(spark, a)).drop("city").collect()
+    both = backtest.recursions(observations(spark, a).unionByName(observations(spark, [None] + [v + 7 for v in a] + [None], city="b")))
+    assert sorted(both.where("city = 'a'").drop("city").collect()) == sorted(alone)
+    assert [r["n"] for r in both.where("city = 'b'").orderBy("as_of").collect()] == list(range(1, 41))
+    assert backtest.recursions(observations(spark, [None, None])).collect() == []
 
 
 def test_scored_only_asks_for_the_actual_alone(spark):
@@ -278,7 +324,7 @@ def test_readiness(spark):
 def test_walk_forward_knows_only_the_past(spark):
     values = [float((i * 37) % 50) for i in range(45)]
     changed = values[:40] + [1000.0] * 5
-    for method in (backtest.walkforward_ols, backtest.walkforward_ar1, backtest.walkforward_ses):
+    for method in (backtest.walkforward_ols, backtest.walkforward_ar1, backtest.walkforward_ma1, backtest.walkforward_ses):
         before = lambda v: [(r["forecast_date"], round(r["predicted_pm2_5"], 6)) for r in method(observations(spark, v)).where("forecast_date <= date'2024-02-09'").orderBy("forecast_date").collect()]  # noqa: E731, B023
         assert before(values) == before(changed) != []
 

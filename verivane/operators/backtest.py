@@ -1,4 +1,4 @@
-"""Alignment of features with the next day's target, and walk-forward backtests by running sums.
+"""Alignment of features with the next day's target, and walk-forward backtests by running sums and recursions.
 
 No training set is copied: what a forecast may know is a frame that ends one row before it.
 """
@@ -57,17 +57,51 @@ def walkforward_ols(observations: DataFrame, min_train: int = MIN_TRAIN) -> Data
     return fitted.where(F.col("n") > min_train).select("city", F.date_add("as_of", 1).alias("forecast_date"), (F.col("intercept") + F.col("slope") * F.col("x")).alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"))
 
 
+#: Weights of the last error in a level: 1 + theta of an ARIMA(0,1,1) for theta from -0.95 to 0.95.
+WEIGHTS = [k / 20 for k in range(1, 40)]
+RECURSIONS = "city string, as_of date, n int, y double, last double, ar double, ma double, weight double"
+
+
+def recursions(observations: DataFrame, weights: list[float] = WEIGHTS) -> DataFrame:
+    """What the rows before each reading say of it, in one ordered pass over a series: `last`, the last value; `ar`, AR(1) on first differences with
+    least squares so far, null where no difference has varied; `ma`, ARIMA(0,1,1), a bank of levels (one a weight) that each error corrects, of
+    which the one with the least squared errors so far counts (ties: the weight nearest 1, then the smaller; its value is in `weight`). Null readings are left out; the first row of a
+    series has its own value as last and ma."""
+    bank = np.array(sorted(weights, key=lambda w: (abs(w - 1), w)))
+
+    def carry(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("as_of", kind="stable")
+        y = g["y"].to_numpy(np.float64)
+        last = np.r_[y[:1], y[:-1]]
+        d = y - last
+        d1 = np.r_[0.0, d[:-1]]
+        ahead = lambda v: np.r_[0.0, np.cumsum(v)[:-1]]  # noqa: E731  # sums of the rows before
+        top, bottom = ahead(d * d1), ahead(d1 * d1)
+        ar = np.where(bottom > 0, last + np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0) * d1, np.nan)
+        ma, weight = np.empty_like(y), np.empty_like(y)
+        level, squares = np.full(len(bank), y[0]), np.zeros(len(bank))
+        for i, value in enumerate(y):
+            best = int(squares.argmin())
+            ma[i], weight[i] = level[best], bank[best]
+            error = value - level
+            level = level + bank * error
+            squares = squares + error * error
+        return pd.DataFrame({"city": g["city"], "as_of": g["as_of"], "n": np.arange(1, len(y) + 1), "y": y, "last": last, "ar": ar, "ma": ma, "weight": weight})
+
+    rows = observations.where("pm2_5 is not null").select("city", "as_of", F.col("pm2_5").alias("y"))
+    return rows.groupBy("city").applyInPandas(carry, RECURSIONS).withColumn("ar", F.when(~F.isnan("ar"), F.col("ar")))
+
+
 def walkforward_ar1(observations: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
-    """AR(1) on first differences, fitted on the rows before; where nothing can be fitted (no difference so far), exponential smoothing,
-    and at last the last value. Null readings are left out."""
-    y = observations.where("pm2_5 is not null").select("city", "as_of", F.col("pm2_5").alias("y"))
-    d = y.select("*", F.row_number().over(series()).alias("n"), F.lag("y").over(series()).alias("y1"), (F.col("y") - F.lag("y").over(series())).alias("d"))
-    d = d.select("*", F.lag("d").over(series()).alias("d1"))
-    sums = d.select("*", F.sum(F.col("d") * F.col("d1")).over(before()).alias("top"), F.sum(F.when(F.col("d").isNotNull(), F.col("d1") * F.col("d1"))).over(before()).alias("bottom"))
-    phi = F.try_divide("top", "bottom")
-    smooth = F.coalesce(smoothed(F.col("y")), F.col("y1"))
-    predicted = F.when(F.coalesce("bottom", F.lit(0.0)) > 0, F.col("y1") + phi * F.col("d1")).otherwise(smooth)
-    return sums.where(F.col("n") > min_train).select("city", F.col("as_of").alias("forecast_date"), predicted.alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"))
+    """A ladder: AR(1) on first differences; where that can't be fitted, ARIMA(0,1,1); at last the last value."""
+    predicted = F.coalesce("ar", "ma", "last").alias("predicted_pm2_5")
+    return recursions(observations).where(F.col("n") > min_train).select("city", F.col("as_of").alias("forecast_date"), predicted, F.col("y").alias("actual_pm2_5"))
+
+
+def walkforward_ma1(observations: DataFrame, min_train: int = MIN_TRAIN) -> DataFrame:
+    """ARIMA(0,1,1), fitted anew before each row."""
+    rows = recursions(observations).where(F.col("n") > min_train)
+    return rows.select("city", F.col("as_of").alias("forecast_date"), F.col("ma").alias("predicted_pm2_5"), F.col("y").alias("actual_pm2_5"), "weight")
 
 
 ALPHA = 0.3

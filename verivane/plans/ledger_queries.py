@@ -236,6 +236,11 @@ def walkforward_ar1(x: Inputs) -> DataFrame:
     return backtest.walkforward_ar1(x.observations)
 
 
+@query
+def walkforward_ma1(x: Inputs) -> DataFrame:
+    return backtest.walkforward_ma1(x.observations)
+
+
 @query
 def walkforward_ses(x: Inputs) -> DataFrame:
     return backtest.walkforward_ses(x.observations)

@@ -149,15 +149,19 @@ sql("naive_backtest", TRAINING, f"SELECT city, {_results} FROM naive")
 _metrics = f"count(abs(actual_pm2_5 - predicted_pm2_5)) AS samples, {r('avg(abs(actual_pm2_5 - predicted_pm2_5))', 'mae')}, {r('sqrt(avg((actual_pm2_5 - predicted_pm2_5) * (actual_pm2_5 - predicted_pm2_5)))', 'rmse')}"
 sql("naive_backtest_metrics", TRAINING, f"SELECT city, {_metrics} FROM naive GROUP BY 1")
 sql("walkforward_ols", TRAINING, f"SELECT city, {_results} FROM ols")
-sql("walkforward_ar1", OBS, f"""
-, y AS (SELECT city, as_of, pm2_5 AS y, row_number() OVER w AS n, lag(pm2_5) OVER w AS y1, pm2_5 - lag(pm2_5) OVER w AS d FROM obs WHERE pm2_5 IS NOT NULL WINDOW w AS (PARTITION BY city ORDER BY as_of)),
-d AS (SELECT *, lag(d) OVER (PARTITION BY city ORDER BY as_of) AS d1 FROM y),
+BANK = f"""{OBS},
+y AS (SELECT city, as_of, pm2_5 AS y, row_number() OVER w AS n, lag(pm2_5) OVER w AS y1, pm2_5 - lag(pm2_5) OVER w AS d FROM obs WHERE pm2_5 IS NOT NULL WINDOW w AS (PARTITION BY city ORDER BY as_of)),
+bank AS (
+  SELECT city, n, k / 20.0::DOUBLE AS weight, y AS before, y AS level, 0.0::DOUBLE AS squares_before, 0.0::DOUBLE AS squares FROM y, range(1, 40) r(k) WHERE n = 1
+  UNION ALL SELECT b.city, y.n, weight, level, level + weight * (y - level), squares, squares + (y - level) * (y - level) FROM bank b JOIN y ON y.city = b.city AND y.n = b.n + 1
+),
+ma AS (SELECT city, n, before, weight FROM bank QUALIFY row_number() OVER (PARTITION BY city, n ORDER BY squares_before, abs(weight - 1), weight) = 1)"""
+sql("walkforward_ar1", BANK, f"""
+, d AS (SELECT *, lag(d) OVER (PARTITION BY city ORDER BY as_of) AS d1 FROM y),
 s AS (SELECT *, sum(d * d1) OVER b AS top, sum(CASE WHEN d IS NOT NULL THEN d1 * d1 END) OVER b AS bottom FROM d WINDOW b AS (PARTITION BY city ORDER BY as_of ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-, l AS (
-  SELECT city, n, y, y AS before, y AS level FROM y WHERE n = 1
-  UNION ALL SELECT y.city, y.n, y.y, l.level, 0.3 * y.y + (1 - 0.3) * l.level FROM l JOIN y ON y.city = l.city AND y.n = l.n + 1
-)
-SELECT s.city, as_of AS forecast_date, {r('CASE WHEN coalesce(bottom, 0) > 0 THEN y1 + top / bottom * d1 ELSE l.before END', 'predicted_pm2_5')}, {r('s.y', 'actual_pm2_5')} FROM s JOIN l ON l.city = s.city AND l.n = s.n WHERE s.n > 30""", recursive=True)
+SELECT s.city, as_of AS forecast_date, {r('CASE WHEN coalesce(bottom, 0) > 0 THEN y1 + top / bottom * d1 ELSE ma.before END', 'predicted_pm2_5')}, {r('s.y', 'actual_pm2_5')} FROM s JOIN ma ON ma.city = s.city AND ma.n = s.n WHERE s.n > 30""", recursive=True)
+sql("walkforward_ma1", BANK, f"""
+SELECT y.city, as_of AS forecast_date, {r('before', 'predicted_pm2_5')}, {r('y', 'actual_pm2_5')}, {r('weight')} FROM y JOIN ma ON ma.city = y.city AND ma.n = y.n WHERE y.n > 30""", recursive=True)
 sql("walkforward_ses", OBS, f"""
 , y AS (SELECT city, as_of, pm2_5 AS y, row_number() OVER (PARTITION BY city ORDER BY as_of) AS n FROM obs WHERE pm2_5 IS NOT NULL),
 s AS (
