@@ -19,7 +19,7 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_all_queries_but_trained_models_have_a_twin():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"gbt_forecast", "walkforward_ridge"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"gbt_forecast", "walkforward_gbt", "walkforward_gbt_summary", "walkforward_ridge"}
 
 
 def test_flagship(spark):

@@ -284,6 +284,16 @@ def training_matrix(x: Inputs) -> DataFrame:
     return models.missing_share(x.training)
 
 
+@query
+def walkforward_gbt(x: Inputs) -> DataFrame:
+    return x.trees
+
+
+@query
+def walkforward_gbt_summary(x: Inputs) -> DataFrame:
+    return backtest.summary(x.naive, x.trees)
+
+
 @query
 def gbt_forecast(x: Inputs) -> DataFrame:
     return models.forecast(models.fit(x.training), x.features)

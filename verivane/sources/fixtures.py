@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.operators import backtest, features, ledger
+from verivane.operators import backtest, boosting, features, ledger
 from verivane.schema import WEATHER
 from verivane.sources.constants import OPEN_FROM
 
@@ -80,6 +80,10 @@ class Inputs:
     def naive(self) -> DataFrame:
         return backtest.naive_backtest(self.training)
 
+    @cached_property
+    def trees(self) -> DataFrame:
+        return boosting.walkforward_trees(self.training)
+
     @cached_property
     def ols(self) -> DataFrame:
         return backtest.walkforward_ols(self.observations)
