@@ -164,15 +164,13 @@ def paired(ledger: DataFrame, first: str, second: str) -> DataFrame:
 
 def summary(naive: DataFrame, model: DataFrame) -> DataFrame:
     """One row a series: samples, dates, both models' errors, improvement in percent, winner."""
-    side = lambda df, name: metrics(df, "city").withColumnsRenamed({"samples": f"{name}_samples", "mae": f"{name}_mae", "rmse": f"{name}_rmse"})
     keys = ["city", "forecast_date"]
     common = naive.select(*keys, "actual_pm2_5", F.col("predicted_pm2_5").alias("naive")).join(model.select(*keys, F.col("predicted_pm2_5").alias("model")), keys)
-    a = side(common.withColumn("predicted_pm2_5", F.col("naive")), "naive")
-    b = side(common.withColumn("predicted_pm2_5", F.col("model")), "model")
-    dates = common.groupBy("city").agg(F.min("forecast_date").alias("start_date"), F.max("forecast_date").alias("end_date"))
-    out = a.join(b, "city").join(dates, "city")
+    errors = {n: F.abs(F.col("actual_pm2_5") - F.col(n)) for n in ("naive", "model")}
+    sides = [x for n, e in errors.items() for x in (F.avg(e).alias(f"{n}_mae"), F.sqrt(F.avg(e * e)).alias(f"{n}_rmse"))]
+    out = common.groupBy("city").agg(F.count(errors["naive"]).alias("samples"), F.min("forecast_date").alias("start_date"), F.max("forecast_date").alias("end_date"), *sides)
     return out.select(
-        "city", F.col("naive_samples").alias("samples"), "start_date", "end_date", "naive_mae", "naive_rmse", "model_mae", "model_rmse",
+        "*",
         (F.try_divide(F.col("naive_mae") - F.col("model_mae"), F.col("naive_mae")) * 100).alias("improvement_percent"),
         F.when(F.col("model_mae") < F.col("naive_mae"), "model").otherwise("naive").alias("winner"),
     )

@@ -57,24 +57,28 @@ def grow(b: np.ndarray, r: np.ndarray, allowed: np.ndarray, s: Settings) -> tupl
     """A tree on bins b and residuals r: for each level, the feature and last bin to the left of each node; and the leaves' means."""
     n, f = b.shape
     width = s.bins + 1
+    cells, weights = b + np.arange(f) * width, np.repeat(r, f)
     node, levels = np.zeros(n, np.int64), []
     for depth in range(s.depth):
         nodes = 1 << depth
-        cell = ((node[:, None] * f + np.arange(f)) * width + b).ravel()
-        shape = (nodes, f, width)
-        count = np.bincount(cell, minlength=nodes * f * width).reshape(shape).cumsum(2).astype(float)
-        total = np.bincount(cell, np.repeat(r, f), minlength=nodes * f * width).reshape(shape).cumsum(2)
+        cell, shape = (cells + node[:, None] * (f * width)).ravel(), (nodes, f, width)
+        count = np.bincount(cell, minlength=nodes * f * width).reshape(shape).cumsum(2, dtype=np.float64)
+        total = np.bincount(cell, weights, minlength=nodes * f * width).reshape(shape).cumsum(2)
         size, sums = count[:, :, -1:], total[:, :, -1:]
-        right, rest = size - count, sums - total
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = total**2 / count + rest**2 / right - sums**2 / size
-        gain[~((count >= s.leaf) & (right >= s.leaf)) | ~allowed[None, :, None]] = -1.0
+        right = size - count
+        fits = (count >= s.leaf) & (right >= s.leaf) & allowed[None, :, None]
+        if not fits.any():
+            break
+        gain = np.full(shape, -1.0)
+        n_left, n_right, left = count[fits], right[fits], total[fits]
+        whole, every = np.broadcast_to(sums, shape)[fits], np.broadcast_to(size, shape)[fits]
+        gain[fits] = left**2 / n_left + (whole - left) ** 2 / n_right - whole**2 / every
         best = gain.reshape(nodes, -1).argmax(1)
         feature, cut = best // width, best % width
         cut = np.where(gain.reshape(nodes, -1)[np.arange(nodes), best] > 1e-12, cut, width)  # else all rows go left
         levels.append((feature, cut))
         node = node * 2 + (b[np.arange(n), feature[node]] > cut[node])
-    leaves = 1 << s.depth
+    leaves = 1 << len(levels)
     count = np.bincount(node, minlength=leaves)
     return levels, np.bincount(node, r, minlength=leaves) / np.maximum(count, 1)
 
@@ -139,4 +143,7 @@ def walkforward_trees(training: DataFrame, min_train: int = MIN_TRAIN, every: in
             out.append(pd.DataFrame({"city": key[0], "forecast_date": ahead["target_date"], "cutoff": cutoff, "predicted_pm2_5": predicted, "actual_pm2_5": ahead["target"]}))
         return pd.concat(out)
 
-    return dealt.groupBy("city", "fold").cogroup(models.toDF(*models.columns).groupBy("city", "fold")).applyInPandas(fit, FORECASTS)
+    # Few bytes, much work: a fixed number of partitions, which adaptive planning leaves as it is.
+    tasks = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = lambda df: df.repartition(tasks, "city", "fold").groupBy("city", "fold")
+    return apart(dealt).cogroup(apart(models.toDF(*models.columns))).applyInPandas(fit, FORECASTS)
