@@ -81,6 +81,13 @@ def score_pending(ledger: DataFrame, observations: DataFrame) -> DataFrame:
     return joined.withColumn("newly", newly).withColumn("actual_pm2_5", F.coalesce("actual_pm2_5", "_seen")).drop("_seen")
 
 
+def with_scores(ledger: DataFrame, settled: DataFrame) -> DataFrame:
+    """The ledger with the actuals of settled forecasts (city, forecast_date, model, actual_pm2_5) where it has none."""
+    keys = ["city", "forecast_date", "model"]
+    joined = ledger.join(settled.where("actual_pm2_5 is not null").select(*keys, F.col("actual_pm2_5").alias("_seen")), keys, "left")
+    return joined.withColumn("actual_pm2_5", F.coalesce("actual_pm2_5", "_seen")).drop("_seen")
+
+
 def newly_scored(ledger: DataFrame, observations: DataFrame) -> DataFrame:
     return score_pending(ledger, observations).where("newly").drop("newly")
 

@@ -16,7 +16,7 @@ from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS
 from verivane.sources import payloads, tables
 from verivane.sources.constants import SHIFT, TODAY
 from verivane.sources.fixtures import Inputs, readings_of
-from verivane.sources.shared import shared_folder
+from verivane.sources.shared import land, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -447,13 +447,26 @@ def stream_daily_mean(x: Inputs) -> DataFrame:
     return streaming.stream_daily_means(readings_of(stream), f"{shared_folder(x.spark)}/stream-{uuid.uuid4().hex}")
 
 
+def arriving(x: Inputs, rows: DataFrame, by: Column, root: str, name: str, files: int) -> DataFrame:
+    """rows as a stream of files in the order of `by`, one a batch."""
+    land(rows, by, f"{root}/{name}", files)
+    return x.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+
+
 @query
 def stream_score(x: Inputs) -> DataFrame:
     root = f"{shared_folder(x.spark)}/stream-{uuid.uuid4().hex}"
-    seen = x.observations.select("city", "as_of", "pm2_5")
-    seen.repartition(4, "city", "as_of").write.parquet(f"{root}/arriving")
-    arriving = x.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/arriving")
-    return streaming.stream_scores(arriving, x.ledger, root)
+    forecasts = arriving(x, x.ledger, F.col("forecast_date"), root, "forecasts", 4)
+    seen = arriving(x, x.observations.select("city", "as_of", "pm2_5"), F.col("as_of"), root, "observations", 4)
+    return ledger.with_scores(x.ledger, streaming.stream_scores(forecasts, seen, root))
+
+
+@query
+def stream_features(x: Inputs) -> DataFrame:
+    # Days arrive up to a week out of order.
+    root = f"{shared_folder(x.spark)}/stream-{uuid.uuid4().hex}"
+    mixed = F.date_add("as_of", F.pmod(F.xxhash64("city", "as_of"), F.lit(8)).cast("int"))
+    return streaming.stream_features(arriving(x, x.observations, mixed, root, "observations", 4), root).drop("version", "late")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,3 +259,4 @@ sql("prediction_summary", LEDGER, "SELECT model, count(*) AS rows, min(forecast_
 
 sql("stream_daily_mean", READINGS, f"SELECT city, CAST(ts AS DATE) AS as_of, {r('avg(pm2_5)', 'pm2_5')}, {r('avg(pm10)', 'pm10')}, count(*) AS hours FROM readings GROUP BY 1, 2")
 sql("stream_score", SCORED, f"SELECT city, model, {_results} FROM scored")
+sql("stream_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
