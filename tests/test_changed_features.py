@@ -1,0 +1,83 @@
+"""Features after corrections: only the rows that a changed day reaches, equal to a full recomputation."""
+
+import random
+from datetime import timedelta
+
+import pytest
+
+from tests.test_ledger import OBS, START
+from tests.test_streaming import made, same_features
+from verivane.operators import features, ledger
+from verivane.schema import KEYS, TABLES
+from verivane.sources import tables
+
+DAYS = "city string, as_of date"
+
+
+def days(spark, *at):
+    return spark.createDataFrame([(c, START + timedelta(d)) for c, d in at], DAYS)
+
+
+def reach(data, changed):
+    """By definition: the day's own row and the 29 rows after it; of a day without a row the 30 after it."""
+    out = set()
+    for city, d in changed:
+        line = sorted(r[1] for r in data if r[0] == city)
+        day = START + timedelta(d)
+        after = [x for x in line if x >= day]
+        out |= {(city, x) for x in after[: features.ROWS]}
+    return out
+
+
+@pytest.mark.parametrize("changed", [[("a", 50)], [("a", 0), ("b", 99)], [("a", 3), ("a", 90), ("b", 40)], [("a", 20)], [("c", 1)], [("nowhere", 1)]])
+def test_only_reached_rows_and_these_equal_a_full_recomputation(spark, changed):
+    data = made(130, 1, gaps=(20, 21, 60)) + made(100, 2, "b") + made(4, 3, "c")
+    obs = spark.createDataFrame(data, OBS)
+    want = reach(data, changed)
+    assert {tuple(r) for r in features.reached(obs, days(spark, *changed, *changed)).collect()} == want
+    full = features.features(obs)
+    same_features(features.changed_features(obs, days(spark, *changed)), full.join(spark.createDataFrame(list(want), DAYS), ["city", "as_of"]))
+
+
+def test_days_that_come_change_and_go(spark):
+    rng = random.Random(4)
+    before = {r[1]: r for r in made(120, 5)}
+    now = dict(before)
+    line = sorted(before)
+    changed = rng.sample(range(120), 5)
+    for k, d in enumerate(changed):
+        if k % 2:
+            del now[line[d]]
+        else:
+            now[line[d]] = (*now[line[d]][:2], 500.0 + k, None, 1.0, 2.0, 3.0)
+    del before[line[70]]  # came later
+    table = lambda rows: spark.createDataFrame(list(rows.values()), OBS)
+    stored, obs = features.features(table(before)), table(now)
+    fresh = features.changed_features(obs, days(spark, *[("a", d) for d in [*changed, 70]]))
+    gone = stored.select("city", "as_of").join(obs.select("city", "as_of"), ["city", "as_of"], "left_anti")
+    same_features(ledger.upsert(stored.join(gone, ["city", "as_of"], "left_anti"), fresh, KEYS["features"]), features.features(obs))
+
+
+def test_a_correction_rewrites_only_the_parts_it_reaches(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = made(800, 6) + made(800, 7, "b")
+    table = lambda data: spark.createDataFrame([(*r, None) for r in data], TABLES["observations"])
+    tables.merge(table(rows), root, "observations")
+    tables.refresh_features(spark, root, table(rows).select("city", "as_of"))
+    same_features(tables.read(spark, root, "features"), features.features(table(rows)))
+    before = tables._parts(spark, root, "features", 1)
+    k = next(i for i, r in enumerate(rows) if r[0] == "a" and r[1] == START + timedelta(400))  # within the second year
+    rows[k] = (*rows[k][:2], 77.0, *rows[k][3:])
+    tables.merge(table([rows[k]]), root, "observations")
+    tables.refresh_features(spark, root, table([rows[k]]).select("city", "as_of"))
+    after = tables._parts(spark, root, "features", 2)
+    assert sum(before[p] != after[p] for p in before) == 1 and len(before) > 3
+    same_features(tables.read(spark, root, "features"), features.features(table(rows)))
+    stamps = {r["created_at"] for r in tables.read(spark, root, "features", "b").collect()}
+    assert len(stamps) == 1
+
+
+def test_nothing_changed(spark):
+    obs = spark.createDataFrame(made(40, 8), OBS)
+    assert features.changed_features(obs, spark.createDataFrame([], DAYS)).collect() == []
+    assert features.changed_features(obs.where("false"), days(spark, ("a", 1))).collect() == []

@@ -119,6 +119,25 @@ def features_full(x: Inputs) -> DataFrame:
 QUERIES["features"] = QUERIES.pop("features_full")
 
 
+def corrected(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Stored features of observations that were corrected later (the 17th of a quarter's first month) or came later (the 3rd), and these days."""
+    late = (F.month("as_of") % 3 == 1) & (F.dayofmonth("as_of") == 3)
+    wrong = (F.month("as_of") % 3 == 1) & (F.dayofmonth("as_of") == 17)
+    first = x.observations.where(~late).withColumn("pm2_5", F.when(wrong, 0.0).otherwise(F.col("pm2_5")))
+    return features.features(first), x.observations.where(late | wrong).select("city", "as_of")
+
+
+@query
+def reached_rows(x: Inputs) -> DataFrame:
+    return features.reached(x.observations, corrected(x)[1])
+
+
+@query
+def incremental_features(x: Inputs) -> DataFrame:
+    stored, changed = corrected(x)
+    return ledger.upsert(stored, features.changed_features(x.observations, changed), ["city", "as_of"])
+
+
 @query
 def date_gaps(x: Inputs) -> DataFrame:
     return features.date_gaps(x.observations)

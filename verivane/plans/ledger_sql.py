@@ -96,6 +96,10 @@ sql("lag_features", FEAT, f"SELECT city, as_of, {each(LAGS)} FROM feat")
 sql("rolling_features", FEAT, f"SELECT city, as_of, {each(ROLLS)} FROM feat")
 sql("calendar_features", OBS, f"SELECT city, as_of, {CALENDAR} FROM obs")
 sql("features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
+sql("incremental_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
+sql("reached_rows", OBS, """
+, n AS (SELECT city, as_of, row_number() OVER (PARTITION BY city ORDER BY as_of) AS n, extract(month FROM as_of) % 3 = 1 AND extract(day FROM as_of) IN (3, 17) AS changed FROM obs)
+SELECT city, as_of FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.city = a.city AND b.changed AND a.n - b.n BETWEEN 0 AND 29)""")
 sql("date_gaps", OBS, """
 SELECT * FROM (SELECT city, lag(as_of) OVER w AS prev_date, as_of, as_of - lag(as_of) OVER w AS gap_days FROM obs WINDOW w AS (PARTITION BY city ORDER BY as_of)) WHERE gap_days > 1""")
 sql("latest_features", FEAT, f"SELECT city, as_of, {_features} FROM feat QUALIFY row_number() OVER (PARTITION BY city ORDER BY as_of DESC) = 1")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructType
 
+from verivane.operators.features import changed_features
 from verivane.operators.ledger import upsert
 from verivane.schema import KEYS, TABLES
 
@@ -154,3 +155,16 @@ def merge(incoming: DataFrame, root: str, name: str, keep: list[str] | None = No
     check_keys(incoming, KEYS[name])
     fresh = incoming.withColumn("created_at", F.current_timestamp())
     update(incoming, root, name, TABLES[name], lambda stored: upsert(stored, fresh, KEYS[name], keep=keep))
+
+
+def refresh_features(spark: SparkSession, root: str, changed: DataFrame) -> None:
+    """Brings the stored features up to date with the stored observations after the days `changed` (city, as_of) came, changed or went: of the
+    observations, the parts of the changed cities are read, of the features, the parts that hold a reached row are written."""
+    parts = _parts(spark, root, "observations", max(_versions(spark, root, "observations"), default=0))
+    buckets = {f"part_bucket={r[0]}/" for r in _placed(changed, "as_of").select("part_bucket").distinct().collect()}  # at most BUCKETS
+    observations = _read(spark, root, "observations", TABLES["observations"], {k: v for k, v in parts.items() if k.startswith(tuple(buckets))})
+    fresh = changed_features(observations, changed).withColumn("created_at", F.current_timestamp())
+    keys = KEYS["features"]
+    gone = changed.select(*keys).join(observations.select(*keys), keys, "left_anti")
+    touched = fresh.select(*keys).unionByName(gone)
+    update(touched, root, "features", TABLES["features"], lambda stored: upsert(stored.join(gone, keys, "left_anti"), fresh, keys))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from verivane.operators.features import calendar_columns
+from verivane.operators.features import ROWS, calendar_columns
 from verivane.operators.ledger import latest, upsert
 from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS, WEATHER
 from verivane.sources.tables import read_snapshot, update
@@ -66,7 +66,6 @@ def _appended(spark: SparkSession, rows: DataFrame, root: str, name: str, schema
 
 # ---- features ----------------------------------------------------------------------------------------
 
-ROWS = max(n for _, n in ROLLS.values())  #: rows that a row's features reach back to, itself included
 RING = "version long, gone long, days array<int>, cells array<double>"
 KEPT = f"city string, as_of date, version long, late boolean, {', '.join(f'{c} double' for c in [*LAGS, *ROLLS, *WEATHER])}"
 
@@ -90,8 +89,8 @@ def stream_features(observations: DataFrame, root: str, lateness: int = 10) -> D
 
     The state of a series is a ring: the days that a late reading may still change, and the ROWS before them that their features reach back to;
     how many rows have left it is counted, for the warm-up of the means. A reading that comes in, or corrects its day, gives new versions of its own row and of those after
-    it, from the ring alone. What comes too late to be placed is returned as a row with late = true and null features: these days, and the ROWS after
-    them, are for features.features() to compute. The sink only appends; a batch that is run again after a crash is written once."""
+    it, from the ring alone. What comes too late to be placed is returned as a row with late = true and null features: these days, and what they
+    reach, are for features.changed_features() to compute. The sink only appends; a batch that is run again after a crash is written once."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         warnings.filterwarnings("ignore", "The behavior of DataFrame concatenation", FutureWarning)  # Spark's own, for each batch of states
