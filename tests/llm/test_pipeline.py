@@ -41,7 +41,7 @@ def test_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
+    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 13
 
 
 def folder(spark, path, documents, small):

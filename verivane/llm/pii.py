@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verivane.llm.common import BROADCAST_ROWS, materialize, small, table, text_hashes
+from verivane.llm.common import materialize, small, table, text_hashes
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ipv6", "secret", "ssn"]  #: in order of report
@@ -324,26 +324,48 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 #: Columns that are joined to a caller's table and dropped again.
-_OWN = [f"__pii_{c}" for c in ("h", "g", "spans")]
+_OWN = [f"__pii_{c}" for c in ("h", "g", "added")]
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets, and n_chars brought up to date; other columns stay."""
-    spans = materialize(find(docs).where(F.size("spans") > 0).select("h", "g", "spans").toDF(*_OWN).dropDuplicates(_OWN[:2]), "pii-spans")
+    """docs with each span of the text replaced by its kind in brackets, and n_chars brought up to date; other columns stay.
+
+    Base spans depend on the text alone and are replaced in the pass that finds them. Only texts with a candidate that is free of base spans, and so may have
+    been selected, are shuffled to their selected spans, by the text's hash, at any size of either."""
+    added = judged(materialize(scan(docs), "pii-scan")).toDF(*_OWN)
     text_at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pass_over(undecided: bool):
+        """The rows with a free candidate as they are, or all others with their base spans replaced."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small(batches):
+                texts, keep = [], []
+                for t in b.column(text_at).to_pylist():
+                    found, failed = patterns(t or "")
+                    taken = sorted(s for k in BASE for s in found[k])
+                    free = any(not _overlaps(taken, start, end) for _, start, end, _ in generate(t or "", found, failed))
+                    keep.append(free == undecided)
+                    texts.append(t if undecided or not taken else redacted(t, [{"kind": k, "start": x, "end": y} for k in BASE for x, y in found[k]]))
+                columns = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(b.columns)]
+                yield pa.record_batch(columns, names=b.schema.names).filter(pa.array(keep))
+
+        return run
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            texts = [t if not s else redacted(t, s) for t, s in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.record_batch(columns, names=b.schema.names[:-1])
-
-    # Broadcast only while all spans together are few.
-    few = (spans.agg(F.sum(F.size(_OWN[2]))).first()[0] or 0) <= BROADCAST_ROWS
-    spans = F.broadcast(spans) if few else spans
-    h, g = text_hashes(docs["text"])
-    hit = docs.join(spans, (h == spans[_OWN[0]]) & (g == spans[_OWN[1]]), "left").drop(*_OWN[:2])
-    out = hit.mapInArrow(run, docs.schema)
+            texts = []
+            for t, more in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                found, _ = patterns(t or "")
+                spans = all_spans([{"kind": k, "start": x, "end": y} for k in BASE for x, y in found[k]], more or [])
+                texts.append(redacted(t, [dict(zip(("kind", "start", "end"), s)) for s in spans]) if spans else t)
+            yield pa.record_batch([pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
+
+    decided = docs.mapInArrow(pass_over(False), docs.schema)
+    open_rows = docs.mapInArrow(pass_over(True), docs.schema)
+    h, g = text_hashes(open_rows["text"])
+    hit = open_rows.join(added, (h == added[_OWN[0]]) & (g == added[_OWN[1]]), "left").drop(*_OWN[:2])
+    out = decided.unionByName(hit.mapInArrow(replace, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
