@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from verivane import streaming
 from verivane.functions import day, local_day, settled
-from verivane.operators import backtest, features, ingest, ledger, models, quality, serve
+from verivane.operators import backtest, features, history, ingest, ledger, models, quality, serve
 from verivane.plans.ledger_sql import ORACLE_SQL
 from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS
 from verivane.sources import payloads, tables
-from verivane.sources.constants import SHIFT, TODAY
+from verivane.sources.constants import AS_OF, SHIFT, TODAY
 from verivane.sources.fixtures import Inputs, readings_of
 from verivane.sources.shared import land, shared_folder
 
@@ -456,6 +456,33 @@ def prediction_summary(x: Inputs) -> DataFrame:
     return quality.prediction_summary(x.ledger)
 
 
+# ---- as-of reads ---------------------------------------------------------------------------------------
+
+
+def times_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t.startswith("timestamp")})
+
+
+@query
+def forecast_versions(x: Inputs) -> DataFrame:
+    return times_as_text(history.versions(x.forecast_log, history.FORECAST))
+
+
+@query
+def ledger_as_of(x: Inputs) -> DataFrame:
+    return times_as_text(history.as_of(x.forecast_log, F.lit(AS_OF).cast("timestamp_ntz"), history.FORECAST))
+
+
+@query
+def late_publications(x: Inputs) -> DataFrame:
+    return times_as_text(history.late_publications(x.forecast_log, x.observation_log))
+
+
+@query
+def published_before_outcome(x: Inputs) -> DataFrame:
+    return times_as_text(history.published_before_outcome(x.forecast_log, x.observation_log))
+
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 

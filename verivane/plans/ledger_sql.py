@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS, WEATHER
-from verivane.sources.constants import OPEN_FROM, SHIFT, TODAY
+from verivane.sources.constants import AS_OF, OPEN_FROM, SHIFT, TODAY
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -259,6 +259,36 @@ sql("readiness_report", REPORT, 'SELECT city, check_name AS "check", passed FROM
 sql("readiness_summary", REPORT, "SELECT city, bool_and(passed) AS ready, count(*) FILTER (passed) AS n_passed, count(*) AS n_checks FROM report GROUP BY 1")
 sql("prediction_summary", LEDGER, "SELECT model, count(*) AS rows, min(forecast_date) AS first_date, max(forecast_date) AS last_date FROM ledger GROUP BY 1")
 
+# ---- as-of reads ---------------------------------------------------------------------------------------
+
+LOGS = f"""{LEDGER},
+first_log AS (
+  SELECT city, forecast_date, model, predicted_pm2_5, CAST(forecast_date - 1 AS TIMESTAMP) + to_hours((extract(day FROM forecast_date) * 7 + extract(month FROM forecast_date) * 5) % 72) AS created_at FROM ledger
+),
+forecast_log AS (SELECT * FROM first_log UNION ALL SELECT city, forecast_date, model, predicted_pm2_5 + 1, created_at + INTERVAL 20 HOUR FROM first_log WHERE extract(day FROM forecast_date) % 3 = 0),
+observation_log AS (
+  SELECT city, as_of, pm2_5, CAST(as_of + 1 AS TIMESTAMP) + INTERVAL 2 HOUR AS created_at FROM obs
+  UNION ALL SELECT city, as_of, pm2_5 + 5, CAST(as_of + 2 AS TIMESTAMP) + INTERVAL 2 HOUR FROM obs WHERE extract(day FROM as_of) = 1
+),
+arrived AS (
+  SELECT city, as_of AS forecast_date, created_at AS arrived_at, pm2_5 AS actual_pm2_5 FROM observation_log WHERE pm2_5 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY city, as_of ORDER BY created_at) = 1
+)"""
+_time = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c.rpartition('.')[2]}"
+sql("forecast_versions", LOGS, f"""
+SELECT city, forecast_date, model, {r('predicted_pm2_5')}, {_time('created_at')}, {_time('valid_from')}, {_time('valid_to')}
+FROM (SELECT *, created_at AS valid_from, lead(created_at) OVER (PARTITION BY city, forecast_date, model ORDER BY created_at) AS valid_to FROM forecast_log)""")
+sql("ledger_as_of", LOGS, f"""
+SELECT city, forecast_date, model, {r('predicted_pm2_5')}, {_time('created_at')} FROM (
+  SELECT * FROM forecast_log WHERE created_at <= TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY city, forecast_date, model ORDER BY created_at DESC) = 1)""")
+sql("late_publications", LOGS, f"""
+SELECT f.city, f.forecast_date, f.model, {r('f.predicted_pm2_5', 'predicted_pm2_5')}, {_time('f.created_at')}, {_time('a.arrived_at')}, {r('a.actual_pm2_5', 'actual_pm2_5')}
+FROM forecast_log f JOIN arrived a ON a.city = f.city AND a.forecast_date = f.forecast_date WHERE f.created_at >= a.arrived_at""")
+sql("published_before_outcome", LOGS, f"""
+SELECT d.city, d.forecast_date, d.model, {_time('d.arrived_at')}, {r('d.actual_pm2_5', 'actual_pm2_5')}, {r('f.predicted_pm2_5', 'predicted_pm2_5')}, {_time('f.created_at')}
+FROM (SELECT DISTINCT l.city, l.forecast_date, l.model, a.arrived_at, a.actual_pm2_5 FROM forecast_log l JOIN arrived a ON a.city = l.city AND a.forecast_date = l.forecast_date) d
+LEFT JOIN LATERAL (SELECT predicted_pm2_5, created_at FROM forecast_log f WHERE f.city = d.city AND f.forecast_date = d.forecast_date AND f.model = d.model AND f.created_at < d.arrived_at ORDER BY created_at DESC LIMIT 1) f ON TRUE""")
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 sql("stream_daily_mean", READINGS, f"SELECT city, CAST(ts AS DATE) AS as_of, {r('avg(pm2_5)', 'pm2_5')}, {r('avg(pm10)', 'pm10')}, count(*) AS hours FROM readings GROUP BY 1, 2")

@@ -64,6 +64,21 @@ class Inputs:
         rolling = self.features.select("city", F.date_add("as_of", 1).alias("forecast_date"), F.lit("rolling_7").alias("model"), F.col("pm2_5_roll_7").alias("predicted_pm2_5"))
         return ledger.persistence(self.observations).unionByName(rolling)
 
+    @cached_property
+    def forecast_log(self) -> DataFrame:
+        """Versions of the forecasts: written up to three days from the day before theirs on, some written again 20 hours later."""
+        hours = (F.dayofmonth("forecast_date") * 7 + F.month("forecast_date") * 5) % 72
+        first = self.forecasts.withColumn("created_at", F.date_sub("forecast_date", 1).cast("timestamp_ntz") + F.make_dt_interval(hours=hours))
+        again = first.where(F.dayofmonth("forecast_date") % 3 == 0)
+        return first.unionByName(again.withColumns({"created_at": F.col("created_at") + F.expr("interval 20 hours"), "predicted_pm2_5": F.col("predicted_pm2_5") + 1}))
+
+    @cached_property
+    def observation_log(self) -> DataFrame:
+        """Observations as they came in, two hours after their day; on the first of a month once more, corrected, a day later."""
+        first = self.observations.select("city", "as_of", "pm2_5", (F.date_add("as_of", 1).cast("timestamp_ntz") + F.expr("interval 2 hours")).alias("created_at"))
+        again = first.where(F.dayofmonth("as_of") == 1)
+        return first.unionByName(again.withColumns({"pm2_5": F.col("pm2_5") + 5, "created_at": F.col("created_at") + F.expr("interval 1 day")}))
+
     @cached_property
     def ledger(self) -> DataFrame:
         return ledger.with_actuals(self.forecasts, self.observations, before=OPEN_FROM)
