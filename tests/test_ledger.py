@@ -159,6 +159,10 @@ def test_two_writers_at_once(spark, tmp_path):
     tables.merge(batch(spark, ("a", 2024, 1.0)), root, "predictions")
     with pytest.raises(tables.Conflict):
         tables._commit(spark, root, "predictions", {}, 0)
+    written = tables._write(batch(spark, ("b", 2024, 2.0)), root, "predictions")
+    with pytest.raises(tables.Conflict):
+        tables._commit(spark, root, "predictions", written, 0)
+    assert len(list((tmp_path / "predictions/data").iterdir())) == 1  # what the loser wrote is gone
     assert stored_rows(spark, root) == [("a", "2024-01-01", 1.0)]
 
 

@@ -138,6 +138,31 @@ def incremental_features(x: Inputs) -> DataFrame:
     return ledger.upsert(stored, features.changed_features(x.observations, changed), ["city", "as_of"])
 
 
+def stored(x: Inputs) -> str:
+    """A folder of stored tables: observations, of which some come and some are corrected after the features were computed, and features brought up to date."""
+    root = f"{shared_folder(x.spark)}/stored-{uuid.uuid4().hex}"
+    changed = corrected(x)[1]
+    late = x.observations.join(changed, ["city", "as_of"])
+    first = x.observations.join(late.where("day(as_of) = 3").select("city", "as_of"), ["city", "as_of"], "left_anti")
+    tables.merge(first.withColumn("pm2_5", F.when(F.dayofmonth("as_of") == 17, 0.0).otherwise(F.col("pm2_5"))), root, "observations")
+    tables.refresh_features(x.spark, root, first.select("city", "as_of"))
+    again = x.observations.where(F.dayofmonth("as_of").isin(3, 17))
+    tables.merge(again, root, "observations")
+    tables.refresh_features(x.spark, root, again.select("city", "as_of"))
+    return root
+
+
+@query
+def stored_features(x: Inputs) -> DataFrame:
+    return tables.read(x.spark, stored(x), "features").drop("created_at")
+
+
+@query
+def leakage_report_stored(x: Inputs) -> DataFrame:
+    root = stored(x)
+    return quality.leakage_report(tables.read(x.spark, root, "features"), tables.read(x.spark, root, "observations"))
+
+
 @query
 def date_gaps(x: Inputs) -> DataFrame:
     return features.date_gaps(x.observations)

@@ -97,6 +97,7 @@ sql("rolling_features", FEAT, f"SELECT city, as_of, {each(ROLLS)} FROM feat")
 sql("calendar_features", OBS, f"SELECT city, as_of, {CALENDAR} FROM obs")
 sql("features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
 sql("incremental_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
+sql("stored_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
 sql("reached_rows", OBS, """
 , n AS (SELECT city, as_of, row_number() OVER (PARTITION BY city ORDER BY as_of) AS n, extract(month FROM as_of) % 3 = 1 AND extract(day FROM as_of) IN (3, 17) AS changed FROM obs)
 SELECT city, as_of FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.city = a.city AND b.changed AND a.n - b.n BETWEEN 0 AND 29)""")
@@ -228,6 +229,7 @@ _leak = lambda stored: " UNION ALL ".join(
     f"WHERE NOT (s.{c} IS NULL AND f.{c} IS NULL OR coalesce(abs(CAST(s.{c} AS DOUBLE) - CAST(f.{c} AS DOUBLE)) <= 1e-9, FALSE))" for c in FEATURE_COLUMNS
 )
 sql("leakage_report", FEAT, _leak("feat"))
+sql("leakage_report_stored", FEAT, _leak("feat"))
 _changed = {"pm2_5_lag_1": "CASE WHEN extract(day FROM as_of) = 15 THEN 0.0 ELSE pm2_5_lag_1 END", "pm2_5_roll_7": "CASE WHEN extract(day FROM as_of) <> 10 THEN pm2_5_roll_7 END", "day_of_week": "CASE WHEN extract(day FROM as_of) = 5 THEN 0 ELSE day_of_week END"}
 sql("leakage_report_dirty", FEAT, f"""
 , dirty AS (SELECT city, as_of, {', '.join(f'{_changed[c]} AS {c}' if c in _changed else c for c in FEATURE_COLUMNS)} FROM feat)

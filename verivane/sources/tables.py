@@ -35,7 +35,8 @@ def describe(tables: dict[str, DataFrame]) -> DataFrame:
 #
 # <root>/<name>/data/<id>/part_bucket=<b>/part_year=<y>/ holds rows, written once and never changed.
 # <root>/<name>/log/<version>.json says which folder holds each part. A version comes into being by one rename that fails
-# where the name is taken: readers see a version whole or not at all, and of two writers at once one fails.
+# where the name is taken: readers see a version whole or not at all, and of two writers at once one fails. HDFS and local disks
+# rename in that way; on an object store the log folder has to lie on a store that can.
 
 BUCKETS = 16  #: of cities
 KEPT = 2  #: versions that stay for readers that have begun
@@ -113,6 +114,11 @@ def _commit(spark: SparkSession, root: str, name: str, parts: dict[str, str], be
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{log}/{before + 1:012d}.json"), plain)
     except Py4JJavaError as e:
         fs.delete(fresh, False)
+        there = _versions(spark, root, name)
+        if before + 1 > max(there, default=0):
+            raise
+        for folder in set(parts.values()).difference(*[_parts(spark, root, name, v).values() for v in there]):  # no version will need what was written
+            fs.delete(_fs(spark, f"{root}/{name}/data/{folder}")[1], True)
         raise Conflict(f"{name} has been written since version {before}") from e
     versions = _versions(spark, root, name)
     kept, gone = versions[-KEPT:], versions[:-KEPT]
