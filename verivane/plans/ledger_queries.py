@@ -14,7 +14,7 @@ from verivane.operators import backtest, features, history, ingest, ledger, mode
 from verivane.plans.ledger_sql import ORACLE_SQL
 from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS
 from verivane.sources import payloads, tables
-from verivane.sources.constants import AS_OF, SHIFT, TODAY
+from verivane.sources.constants import AS_OF, OPEN_FROM, SHIFT, TODAY
 from verivane.sources.fixtures import Inputs, readings_of
 from verivane.sources.shared import land, shared_folder
 
@@ -508,6 +508,22 @@ def published_before_outcome(x: Inputs) -> DataFrame:
     return times_as_text(history.published_before_outcome(x.forecast_log, x.observation_log))
 
 
+def served(x: Inputs) -> DataFrame:
+    """The ledger as it is read: the newest version of each forecast with the time it was written, and actuals."""
+    newest = ledger.latest(x.forecast_log, history.FORECAST, "created_at")
+    return ledger.with_actuals(newest, x.observations, before=OPEN_FROM)
+
+
+@query
+def prediction_log_created(x: Inputs) -> DataFrame:
+    return times_as_text(serve.prediction_log(served(x), limit=200))
+
+
+@query
+def latest_forecast_created(x: Inputs) -> DataFrame:
+    return times_as_text(serve.latest_forecast(served(x)))
+
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 

@@ -291,6 +291,17 @@ SELECT d.city, d.forecast_date, d.model, {_time('d.arrived_at')}, {r('d.actual_p
 FROM (SELECT DISTINCT l.city, l.forecast_date, l.model, a.arrived_at, a.actual_pm2_5 FROM forecast_log l JOIN arrived a ON a.city = l.city AND a.forecast_date = l.forecast_date) d
 LEFT JOIN LATERAL (SELECT predicted_pm2_5, created_at FROM forecast_log f WHERE f.city = d.city AND f.forecast_date = d.forecast_date AND f.model = d.model AND f.created_at < d.arrived_at ORDER BY created_at DESC LIMIT 1) f ON TRUE""")
 
+SERVED = f"""{LOGS},
+served AS (
+  SELECT n.city, n.forecast_date, n.model, n.predicted_pm2_5, n.created_at, CASE WHEN n.forecast_date < DATE '{OPEN_FROM}' THEN o.pm2_5 END AS actual_pm2_5
+  FROM (SELECT * FROM forecast_log QUALIFY row_number() OVER (PARTITION BY city, forecast_date, model ORDER BY created_at DESC) = 1) n LEFT JOIN obs o ON o.city = n.city AND o.as_of = n.forecast_date
+)"""
+sql("prediction_log_created", SERVED, f"""
+SELECT city, model, {_results}, {_time('created_at')}, {r('abs(actual_pm2_5 - predicted_pm2_5)', 'error')} FROM served s ORDER BY s.forecast_date DESC, s.model, s.city LIMIT 200""")
+sql("latest_forecast_created", SERVED, f"""
+SELECT city, model, {_results}, {_time('created_at')}, CASE WHEN actual_pm2_5 IS NOT NULL THEN 'verified' ELSE 'pending' END AS status FROM served
+QUALIFY row_number() OVER (PARTITION BY city, model ORDER BY served.forecast_date DESC) = 1""")
+
 # ---- streams -----------------------------------------------------------------------------------------
 
 sql("stream_daily_mean", READINGS, f"SELECT city, CAST(ts AS DATE) AS as_of, {r('avg(pm2_5)', 'pm2_5')}, {r('avg(pm10)', 'pm10')}, count(*) AS hours FROM readings GROUP BY 1, 2")
