@@ -34,8 +34,8 @@ def brute(rows, items):
         w = tokens(t)
         for i, (size, k, r) in runs.items():
             b, best = Counter(r), 0.0
-            for at in range(len(w) - size + 1):
-                own = [tuple(w[at + x : at + x + k]) for x in range(size - k + 1)]
+            for at in range(max(0, len(w) - size) + 1):
+                own = [tuple(w[at + x : at + x + k]) for x in range(min(size, len(w)) - k + 1)]
                 if not holders.keys() & set(own):
                     continue
                 a = Counter(own)
@@ -66,6 +66,16 @@ def test_same_as_brute_force(spark, docs):
     assert got == want and len(want) > 20
 
 
+def test_documents_shorter_than_the_item(spark, docs):
+    """As a document that lost words at its ends, or some inside, and as the same with words before it."""
+    item = [f"v{i}" for i in range(40)]
+    rows = [(n, " ".join(w)) for n, w in enumerate((item[:-1], item[1:], item[2:-2], ["x", "y", *item[:-1]], item[:20], item[:3], []))]
+    items = [(1, " ".join(item)), (2, " ".join(item[:4])), (3, "v1 v2")]
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"]) for r in d.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == brute(rows, items).keys() and {(n, 1) for n in range(4)} <= got.keys() and (4, 1) not in got
+    assert got[0, 1] == (0, 39) and got[2, 1] == (0, 36) and got[3, 1][1] == 40
+
+
 def test_given_tables(small):
     rows = [tuple(r) for r in small("documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in small("benchmark").select("item_id", "text").collect()]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from verivane.llm import html_extract as h
@@ -126,3 +128,22 @@ def test_odd_quotes_take_linear_time():
     for page in ("<a '\" >" * 60000, "<a x='\" >" * 60000, "<p x=\"" * 60000, "<a x=" * 60000, "<a = = =" * 40000):
         h.main_text(page)
     h.main_text("<div>" * 60000 + STORY + "</p></span>" * 60000)
+
+
+@pytest.mark.parametrize("name", ["post category-notices", "tag-advertising", "category-search", "post comments-open", "post-share", "legal-news"])
+def test_an_article_is_not_erased_by_its_subject(name):
+    prose = " ".join([STORY] * 4)
+    page = f"<body><header><h1>The Daily</h1></header><nav><a href=x>Home</a></nav><article class='{name}'><h2>Road</h2><p>{prose}</p><p>So it is.</p></article><footer>The end of it</footer></body>"
+    assert h.main_text(page) == f"Road {prose} So it is."
+
+
+def test_a_comment_in_an_article_of_its_own_goes():
+    page = f"<body><article class=post><h1>Road</h1><p>{STORY}</p></article><article class='comment even'><p>{STORY} {STORY}</p></article></body>"
+    assert h.main_text(page) == f"Road {STORY}"
+
+
+def test_unmatched_end_tags_take_linear_time():
+    start = time.perf_counter()
+    h.main_text("<div>" * 20000 + "</p></span></ul>" * 80000)
+    h.main_text("<div><ul>" * 20000 + "</ul></li></table>" * 20000 + STORY)
+    assert time.perf_counter() - start < 8

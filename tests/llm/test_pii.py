@@ -85,6 +85,17 @@ def test_overlaps():
     assert pii.redacted("abcdef", [span("x", 1, 5, 1), span("y", 2, 4, 1)]) == "a[X]f"
 
 
+def test_a_candidate_in_a_long_base_span_is_not_free():
+    """However many shorter base spans lie between the start of the one that holds it and the candidate."""
+    text = "a@1.2.3.4-5.6.7.8-9.1.2.3-4.5.6.7-8.9.1.2-1234567890123.com and 1234567890123"
+    *_, base, candidates = pii.scan_text(text)
+    assert len(base) > 5
+    for c in candidates:
+        inside = any(b["start"] < c["end"] and c["start"] < b["end"] for b in base)
+        assert c["free"] == (not inside)
+    assert {c["free"] for c in candidates} == {True, False}
+
+
 def test_a_rare_kind_is_found_among_many_of_a_common_one(docs, monkeypatch):
     monkeypatch.setattr(pii, "TRAIN_ROWS", 300, raising=False)
     monkeypatch.setattr(pii, "STRATUM_ROWS", 300, raising=False)

@@ -3,7 +3,7 @@
 Words are runs of letters and digits in lower case, shingles five of them (an item of fewer is one shingle). A shingle weighs
 more the fewer items of the whole benchmark hold it: 1 + ln(items / items with it). These counts are kept in SLOTS slots by
 the shingle's hash, so that their table is bounded whatever the benchmark's size; shingles that share a slot count as one there.
-A window has as many words as an item; every place in a document is a window's start, but for windows whose shingles known to the
+A window has as many words as an item, or the whole document if that is shorter; every place in a document is a window's start, but for windows whose shingles known to the
 benchmark weigh less than the threshold's share of the lightest item of that size: their similarity to any is below it.
 
 - The 64-bit SimHash of a window is the sign of its shingles' weighted bit sums, by differences of running sums.
@@ -123,9 +123,9 @@ class Index:
                 continue
             heavy = np.concatenate([[0], np.cumsum(np.where(known, weight, 0))])
             for size, (ids, prints, tables, least) in self.groups.items():
-                span = size - width + 1
-                if min(WIDTH, size) != width or len(runs) < span:
+                if min(WIDTH, size) != width:
                     continue
+                span = min(size - width + 1, len(runs))  # a shorter document is one window
                 starts = np.flatnonzero(heavy[span:] - heavy[:-span] >= least)
                 if not len(starts):
                     continue
@@ -142,7 +142,7 @@ class Index:
                     for at, k in zip(near_by[x[close]].tolist(), y[close].tolist()):
                         s = self.similarity(runs[at : at + span], int(ids[k]))
                         if s >= THRESHOLD and s > best.get(int(ids[k]), (0.0, 0, 0))[0]:
-                            best[int(ids[k])] = (s, at, size)
+                            best[int(ids[k])] = (s, at, span + width - 1)
         return [(self.names[k], at, size, s) for k, (s, at, size) in sorted(best.items())]
 
 

@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Blocks inside menus, footers, sidebars, forms and the like, by tag, role or a word of
 the class or id, are boilerplate, but for a wrapper that holds the page's prose: if most of the page's long, unlinked text
-and its heading or `main` are inside, the name says nothing about it, nor do names like `with-sidebar`. An `article` or `main`
+and its heading or `main` are inside, the name says nothing about it, nor do names like `with-sidebar`; nor does it about an `article` with most of the
+prose, on a page where nothing else is marked as one. An `article` or `main`
 element, or the text outside all of them, is the body if it holds most of the prose; the other side is not.
 
 Pass one judges each remaining block alone: linked blocks are bad; long ones with many stop words good, with some near good, with
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,6 +143,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
     out: list[Block] = []
     root = inside = Element("", None)
     elements = [root]
+    opened: Counter[str] = Counter()  # tags of the elements that `inside` is in, itself included
     in_link, heading, at = False, "", 0
     ends, unclosed = skips(page), False
     words: list[str] = []
@@ -189,12 +192,12 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                     inside = Element(tag, inside, role(tag, m["rest"]))
                     inside.titled = tag == "main"
                     elements.append(inside)
-                else:
-                    above = inside
-                    while above.parent is not None and above.tag != tag:
-                        above = above.parent
-                    if above.parent is not None:
-                        inside = above.parent
+                    opened[tag] += 1
+                elif opened[tag]:  # what is climbed past is closed, so that no element is climbed twice
+                    closed = ""
+                    while closed != tag:
+                        closed, inside = inside.tag, inside.parent
+                        opened[closed] -= 1
     read(at, len(page))
     end()
     for b in out:
@@ -217,11 +220,13 @@ def body_of(found: list[Block], elements: list[Element]) -> tuple[Element | None
     bad: set[int] = set()
     mark: dict[int, Element | None] = {}  # the outermost marked element that each is in
     page = elements[0]
+    # An article that is named for its subject or its place is the page's own if it has most of the prose and none is named otherwise.
+    named = any(e.says == FOR and e.prose for e in elements)
     for e in elements:
         above = mark.get(id(e.parent)) if e.parent else None
         # A wrapper of the page's prose and its heading is not what its name says.
-        wrapper = 2 * e.prose > page.prose and (e.titled or e.tag in ("div", "section", "form") and e.prose > max(4 * LONG, 0.9 * page.prose))
-        says = SAYS_NOTHING if e.says == AGAINST and wrapper else e.says
+        wrapper = 2 * e.prose > page.prose and (e.titled or e.tag in ("div", "section", "form") and e.prose > max(4 * LONG, 0.9 * page.prose) or e.tag == "article" and not named)
+        says = (FOR if e.tag == "article" else SAYS_NOTHING) if e.says == AGAINST and wrapper else e.says
         if e.parent and id(e.parent) in bad or says == AGAINST or says == HEADER and above is None and not wrapper:
             bad.add(id(e))
         mark[id(e)] = above or (e if says == FOR and id(e) not in bad else None)

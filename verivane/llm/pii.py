@@ -21,6 +21,7 @@ base spans are reported. An empty table gives no rows. Other columns may have an
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -177,7 +178,7 @@ def scan_text(text: str | None) -> tuple:
     text = text or ""
     found, failed = patterns(text)
     base = [(k, *s) for k in BASE for s in found[k]]
-    taken = sorted(s for k in BASE for s in found[k])
+    taken = merged(found)
     candidates = []
     generated = generate(text, found, failed)
     for form, start, end, label in generated:
@@ -187,12 +188,21 @@ def scan_text(text: str | None) -> tuple:
     return *(len(found[k]) for k in BASE), sha, [dict(zip(("kind", "start", "end"), b)) for b in base], candidates
 
 
-def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """taken: sorted; few overlap each other."""
-    import bisect
+def merged(found: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """What the base spans cover: intervals in order, none of which overlaps another."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(s for k in BASE for s in found[k]):
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
 
+def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """taken: as merged() gives them, so that of those that start before the end, the last one reaches furthest."""
     i = bisect.bisect_left(taken, (end, -1))
-    return any(e > start for _, e in taken[max(0, i - len(BASE)) : i])
+    return i > 0 and taken[i - 1][1] > start
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -294,8 +304,6 @@ def select(added: list) -> list[tuple[str, int, int]]:
     """Of overlapping spans the most probable."""
     out: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
-    import bisect
-
     for a in sorted(added, key=lambda a: (-a["p"], a["start"], a["end"], a["kind"])):
         i = bisect.bisect_left(taken, (a["end"], -1))
         if i == 0 or taken[i - 1][1] <= a["start"]:  # taken ones don't overlap
@@ -343,7 +351,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts, keep = [], []
                 for t in b.column(text_at).to_pylist():
                     found, failed = patterns(t or "")
-                    taken = sorted(s for k in BASE for s in found[k])
+                    taken = merged(found)
                     free = any(not _overlaps(taken, start, end) for _, start, end, _ in generate(t or "", found, failed))
                     keep.append(free == undecided)
                     texts.append(t if undecided or not taken else redacted(t, [{"kind": k, "start": x, "end": y} for k in BASE for x, y in found[k]]))
