@@ -42,7 +42,7 @@ def in_memory(x, y):
     def confident(models, good, bad):
         found, new = [], set()
         for v in (0, 1):
-            s = models[v].logit(x[v])
+            s = models[v].logit(x[v]) if models[v] else np.zeros(len(x[v]))
             own = []
             for sure, size in ((s, good), (-s, bad)):
                 rows = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] > q.SURE and i not in taken][:size]
@@ -66,11 +66,41 @@ def test_views_teach_each_other():
         pool = (a[80:], m[80:])
         for out, rounds in ((alone, 0), (taught, 3)):
             model = q.CoTrained(a[:80], m[:80], y[:80], in_memory(pool, y), rounds=rounds, growth=300)
-            assert len(model.history) == rounds and all(sum(n) for n in model.history)
+            assert len(model.history) == rounds and all(sum(n[:2]) for n in model.history)
             out.append(((model.scores(*pool)[2] >= 0.5) == y[80:]).mean())
     assert np.mean(taught) > np.mean(alone) + 0.01, (alone, taught)
 
 
+def test_a_view_without_signal_does_no_harm():
+    """With noise for metadata and classes of one to six, co-training is on average as good as the labels alone, and on no draw much worse."""
+    alone, taught = [], []
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(3000) < 6 / 7).astype(int)
+        a = np.c_[y + rng.normal(0, 0.25, 3000), rng.normal(size=(3000, 30))].astype(np.float32)
+        m = np.eye(20, dtype=np.float32)[rng.integers(0, 20, 3000)]
+        for out, rounds in ((alone, 0), (taught, 3)):
+            model = q.CoTrained(a[:120], m[:120], y[:120], in_memory((a[120:], m[120:]), y), rounds=rounds, growth=300)
+            out.append(((model.scores(a[120:], m[120:])[2] >= 0.5) == y[120:]).mean())
+    assert np.mean(taught) > np.mean(alone) - 0.003 and min(np.subtract(taught, alone)) > -0.02, (alone, taught)
+
+
+@pytest.mark.parametrize("share", [25, 1])
+def test_rounds_lose_nothing_on_the_given_tables(spark, monkeypatch, share):
+    """About 80 and all 2000 labels of half the labelled documents, judged on the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2 * share))
+    docs = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi") if share == 1 else docs
+    stored = q.materialize(q.views(docs), "views")
+    right = []
+    for rounds in (0, 3):
+        monkeypatch.setattr(q.CoTrained.__init__, "__defaults__", (rounds, q.GROWTH))
+        found = q.scores(stored, q.fit(stored, labels.where(place == 0)), 0.5)
+        right.append(found.join(labels.where(place % 2 == 1), "doc_id").agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("int"))).first()[0])
+    print("accuracy by labels alone, with rounds:", share, right)
+    assert right[1] >= right[0] and right[1] > 0.9
+
+
 def test_pseudo_labels_come_from_all_rows(spark):
     """The most confident rows of all tasks, once each; those taken before don't come again."""
     rng = np.random.default_rng(3)

@@ -1,10 +1,13 @@
 """Quality classifier by co-training: what a text holds, and what is known about it.
 
 The first view is the text's content: shares of character kinds, word and line statistics, repetition, and a hashed bag of
-words. The second is its metadata: source, language, length in characters. Each has a logistic regression. In each round both
-score all unlabelled documents, and the GROWTH ones that each is most sure of, in both classes in the proportion of the
-labelled ones, are added to the other's training set. Then both are calibrated on a held-out fold; the sum
-of their calibrated logits, itself calibrated, scores every document: P(good). 0.5 and above is kept.
+words. The second is its metadata: source, language, length in characters. Each has a logistic regression, calibrated by models of
+three quarters of the labels on the fourth. In each round both score all unlabelled documents, and the GROWTH ones that each is most sure of (calibrated logit
+above SURE), in both classes in the proportion of the labelled ones, are added to the other's training set.
+
+A view teaches only if its held-out loss is below that of the classes' shares by more than LIFT standard errors, so that a view
+without signal teaches nothing; what a view has learned from the other it keeps only if its own held-out loss falls as surely by it, else it
+stays as it was. In the end the sum of the calibrated logits, itself calibrated, scores every document: P(good). 0.5 and above is kept.
 
 Views are computed once and written (content in 16 bits a feature); rounds and scores read them. The labelled sample is bounded: at
 most LABELLED documents, the smallest by a hash of doc_id. Pseudo-labels come from all unlabelled rows: each task keeps its
@@ -32,7 +35,8 @@ from verivane.llm.common import NOT_ALNUM, materialize, mix64, run_hashes, small
 LABELLED, ROUNDS, GROWTH = 8000, 3, 400
 BAG, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
 OWN_ROWS = 200  #: labelled rows for each unit of the views' penalty
-FOLD = 4  #: one labelled document in so many calibrates
+FOLD = 4  #: parts of the labelled documents; each is judged by models of the others, for calibration
+LIFT = 1.0  #: standard errors by which a view that teaches is better than the classes' shares, and one that has learned than before
 
 
 # ---- views -----------------------------------------------------------------------------------------
@@ -145,43 +149,72 @@ class Logistic:
         return (np.c_[(x - self.mean) / self.scale, np.ones(len(x))].clip(-10, 10) @ self.w).clip(-30, 30)
 
 
-#: Of two models (by content, by metadata): for each, what it is most sure of among unlabelled rows not taken before, good and bad
-#: ones in that order: (content, metadata) of their rows. Arguments: the models, how many good, how many bad.
-Confident = Callable[[list[Logistic], int, int], list[list[tuple[np.ndarray, np.ndarray]]]]
+def loss(logit: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row, in nats."""
+    return np.logaddexp(0, np.where(y == 1, -logit, logit))
+
+
+def surely_less(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether losses a of the same rows are less than b by more than LIFT standard errors."""
+    gain = b - a
+    return bool(gain.mean() > LIFT * gain.std() / np.sqrt(len(gain)))
+
+
+class View:
+    """A view's model of labelled and pseudo-labelled rows, calibrated by models that have not seen the labelled rows which they judge."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, more: list[tuple[np.ndarray, np.ndarray]]):
+        """more: pseudo-labelled rows and their labels."""
+        fold, penalty = np.arange(len(y)) % FOLD, max(1.0, len(y) / OWN_ROWS)
+        all_x, all_y = np.concatenate([x, *(a for a, _ in more)]), np.concatenate([y, *(b for _, b in more)])
+        unseen = np.empty(len(y))
+        for k in np.unique(fold):
+            rest = np.r_[fold != k, np.ones(len(all_y) - len(y), bool)]
+            unseen[fold == k] = Logistic(all_x[rest], all_y[rest], penalty).logit(x[fold == k])
+        self.model = Logistic(all_x, all_y, penalty)
+        self.calibrated = Logistic(unseen[:, None], y)
+        self.unseen = self.calibrated.logit(unseen[:, None])
+        self.loss = loss(self.unseen, y)
+        share = y.mean()
+        self.teaches = surely_less(self.loss, loss(np.full(len(y), np.log(share / (1 - share))), y))
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.calibrated.logit(self.model.logit(x)[:, None])
+
+
+#: Of two views (content, metadata): for each, what it is most sure of among unlabelled rows not taken before, good and bad
+#: ones in that order: (content, metadata) of their rows; nothing of a view that is None. Arguments: the views, how many good, how many bad.
+Confident = Callable[[list[View | None], int, int], list[list[tuple[np.ndarray, np.ndarray]]]]
 
 
 class CoTrained:
     def __init__(self, content: np.ndarray, metadata: np.ndarray, quality: np.ndarray, confident: Confident, rounds: int = ROUNDS, growth: int = GROWTH):
         """Labelled rows, quality 1 or 0."""
-        known = np.arange(len(quality))
-        held = known[known % FOLD == 0]
-        if len(np.unique(quality[held])) < 2:
-            held = known
-        own = np.setdiff1d(known, held)
-        own = own if len(np.unique(quality[own])) == 2 else known
-        x = [[content[own]], [metadata[own]]]
-        y = [[quality[own].astype(float)], [quality[own].astype(float)]]
-        share = quality[own].mean()
-        self.history = []  #: how many rows each round has added to each view's training set
-        for k in range(rounds + 1):
-            self.views = [Logistic(np.concatenate(x[v]), np.concatenate(y[v]), max(1.0, len(own) / OWN_ROWS)) for v in (0, 1)]
-            if k == rounds:
+        labels, x = quality.astype(float), (content, metadata)
+        share = labels.mean()
+        more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        self.views = [View(x[v], labels, more[v]) for v in (0, 1)]
+        self.history = []  #: how many rows each round has added to each view's training set, and whether the view kept what it learned
+        for _ in range(rounds):
+            if not any(v.teaches for v in self.views):
                 break
-            found = confident(self.views, max(1, round(growth * share)), max(1, round(growth * (1 - share))))
-            for v in (0, 1):  # what this view is sure of teaches the other
-                for label, rows in zip((1.0, 0.0), found[v]):
-                    x[1 - v].append(rows[1 - v])
-                    y[1 - v].append(np.full(len(rows[0]), label))
-            self.history.append(tuple(sum(len(rows[0]) for rows in found[v]) for v in (1, 0)))
-            if not any(self.history[-1]):
+            found = confident([v if v.teaches else None for v in self.views], max(1, round(growth * share)), max(1, round(growth * (1 - share))))
+            before, added, kept = self.views, [], []
+            self.views = list(before)
+            for v in (0, 1):  # what the other view is sure of teaches this one
+                learned = [(rows[v], np.full(len(rows[0]), label)) for label, rows in zip((1.0, 0.0), found[1 - v])]
+                added.append(sum(len(y) for _, y in learned))
+                taught = View(x[v], labels, more[v] + learned) if added[v] else before[v]
+                kept.append(added[v] > 0 and surely_less(taught.loss, before[v].loss))
+                if kept[v]:
+                    self.views[v], more[v] = taught, more[v] + learned
+            self.history.append((*added, *kept))
+            if not any(added):
                 break
-        labels = quality[held].astype(float)
-        inputs = (content[held], metadata[held])
-        self.calibrated = [Logistic(self.views[v].logit(inputs[v])[:, None], labels) for v in (0, 1)]
-        self.both = Logistic(np.c_[tuple(self.view(v, inputs[v]) for v in (0, 1))], labels)
+        self.both = Logistic(np.c_[self.views[0].unseen, self.views[1].unseen], labels)
 
     def view(self, v: int, x: np.ndarray) -> np.ndarray:
-        return self.calibrated[v].logit(self.views[v].logit(x)[:, None])
+        return self.views[v].logit(x)
 
     def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) by content, by metadata, by both."""
@@ -190,17 +223,17 @@ class CoTrained:
         return p(a), p(b), p(self.both.logit(np.c_[a, b]))
 
 
-SURE = 2.0  #: logit from which a view is sure
+SURE = 1.5  #: calibrated logit from which a view is sure
 _TOP = "view int, good boolean, sure double, h long, g long, a binary, m binary"
 
 
-def most_confident(pool: DataFrame, models: list[Logistic], sizes: tuple[int, int], taken: np.ndarray) -> DataFrame:
+def most_confident(pool: DataFrame, models: list[View | None], sizes: tuple[int, int], taken: np.ndarray) -> DataFrame:
     """view, good, sure, h, g, a, m: of each task the rows that each view is most sure of, in each class; of equal rows one."""
     sent = pool.sparkSession.sparkContext.broadcast((models, taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, taken = sent.value
-        best: dict[tuple[int, bool], dict[tuple[int, int], tuple[float, bytes, bytes]]] = {(v, good): {} for v in (0, 1) for good in (True, False)}
+        best: dict[tuple[int, bool], dict[tuple[int, int], tuple[float, bytes, bytes]]] = {(v, good): {} for v in (0, 1) if models[v] for good in (True, False)}
         for b in small(batches, 4000):
             x = unpacked(b.column(3).to_pylist(), b.column(4).to_pylist())
             fresh = ~np.isin(b.column(1).to_numpy(), taken)
@@ -233,7 +266,7 @@ def fit(stored: DataFrame, labels: DataFrame) -> CoTrained | None:
     pool = stored.join(small_side(known.select("d")), "d", "left_anti")
     taken = np.empty(0, np.int64)
 
-    def confident(models: list[Logistic], good: int, bad: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    def confident(models: list[View | None], good: int, bad: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
         nonlocal taken
         tops = materialize(most_confident(pool, models, (good, bad), taken), "confident")
         found = []
