@@ -18,16 +18,20 @@ def series() -> WindowSpec:
     return Window.partitionBy("city").orderBy("as_of")
 
 
-def lag_columns() -> dict[str, Column]:
-    """The row before counts only if it is the day before."""
-    adjacent = F.datediff("as_of", F.lag("as_of").over(series())) == 1
-    return {name: F.when(adjacent, F.lag(source).over(series())) for name, source in LAGS.items()}
-
-
-def rolling_columns(before: str | Column | None = None) -> dict[str, Column]:
-    """Means over the last n rows including today's, nulls skipped; null before the n-th row. before: how many rows of the series lie before those given."""
-    row = F.row_number().over(series()) + (F.lit(0) if before is None else F.coalesce(before, F.lit(0)))
-    return {name: F.when(row >= n, F.avg(source).over(series().rowsBetween(1 - n, 0))) for name, (source, n) in ROLLS.items()}
+def lag_columns(line: WindowSpec | None = None) -> dict[str, Column]:
+    """The row before counts only if it is the day before. line: the window, if not the whole series."""
+    line = series() if line is None else line
+    adjacent = F.datediff("as_of", F.lag("as_of").over(line)) == 1
+    return {name: F.when(adjacent, F.lag(source).over(line)) for name, source in LAGS.items()}
+
+
+def rolling_columns(before: str | Column | None = None, line: WindowSpec | None = None, row: Column | None = None) -> dict[str, Column]:
+    """Means over the last n rows including today's, nulls skipped; null before the n-th row. before: how many rows of the series lie before those given;
+    line: the window, if not the whole series; row: a row's number in its series, if known."""
+    line = series() if line is None else line
+    if row is None:
+        row = F.row_number().over(line) + (F.lit(0) if before is None else F.coalesce(before, F.lit(0)))
+    return {name: F.when(row >= n, F.avg(source).over(line.rowsBetween(1 - n, 0))) for name, (source, n) in ROLLS.items()}
 
 
 def calendar_columns(date: str = "as_of") -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from verivane import streaming
 from verivane.functions import day, local_day, settled
-from verivane.operators import backtest, features, history, ingest, ledger, models, quality, serve
+from verivane.operators import backtest, features, history, ingest, ledger, long_series, models, quality, serve
 from verivane.plans.ledger_sql import ORACLE_SQL
 from verivane.schema import FEATURE_COLUMNS, LAGS, MEASURES, ROLLS
 from verivane.sources import payloads, tables
@@ -163,6 +163,11 @@ def leakage_report_stored(x: Inputs) -> DataFrame:
     return quality.leakage_report(tables.read(x.spark, root, "features"), tables.read(x.spark, root, "observations"))
 
 
+@query
+def features_long_series(x: Inputs) -> DataFrame:
+    return long_series.long_features(x.observations)
+
+
 @query
 def date_gaps(x: Inputs) -> DataFrame:
     return features.date_gaps(x.observations)
@@ -275,6 +280,11 @@ def walkforward_ols(x: Inputs) -> DataFrame:
     return x.ols
 
 
+@query
+def walkforward_ols_long_series(x: Inputs) -> DataFrame:
+    return long_series.long_walkforward_ols(x.observations)
+
+
 @query
 def walkforward_ar1(x: Inputs) -> DataFrame:
     return backtest.walkforward_ar1(x.observations)
@@ -386,6 +396,11 @@ def rolling_accuracy(x: Inputs) -> DataFrame:
     return serve.rolling_accuracy(x.ledger)
 
 
+@query
+def rolling_accuracy_long_series(x: Inputs) -> DataFrame:
+    return long_series.long_rolling_accuracy(x.ledger)
+
+
 @query
 def concentration_bands(x: Inputs) -> DataFrame:
     return serve.bands(x.observations)

@@ -307,3 +307,8 @@ QUALIFY row_number() OVER (PARTITION BY city, model ORDER BY served.forecast_dat
 sql("stream_daily_mean", READINGS, f"SELECT city, CAST(ts AS DATE) AS as_of, {r('avg(pm2_5)', 'pm2_5')}, {r('avg(pm10)', 'pm10')}, count(*) AS hours FROM readings GROUP BY 1, 2")
 sql("stream_score", SCORED, f"SELECT city, model, {_results} FROM scored")
 sql("stream_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
+
+# ---- long series: the same results by blocks -----------------------------------------------------------
+
+for _name in ("features", "rolling_accuracy", "walkforward_ols"):
+    ORACLE_SQL[f"{_name}_long_series"] = ORACLE_SQL[_name]
