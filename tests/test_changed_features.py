@@ -58,7 +58,8 @@ def test_days_that_come_change_and_go(spark):
     same_features(ledger.upsert(stored.join(gone, ["city", "as_of"], "left_anti"), fresh, KEYS["features"]), features.features(obs))
 
 
-def test_a_correction_rewrites_only_the_parts_it_reaches(spark, tmp_path):
+def test_a_correction_rewrites_only_the_parts_it_reaches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 150)
     root = f"file://{tmp_path}"
     rows = made(800, 6) + made(800, 7, "b")
     table = lambda data: spark.createDataFrame([(*r, None) for r in data], TABLES["observations"])

@@ -98,6 +98,8 @@ sql("calendar_features", OBS, f"SELECT city, as_of, {CALENDAR} FROM obs")
 sql("features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
 sql("incremental_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
 sql("stored_features", FEAT, f"SELECT city, as_of, {_features} FROM feat")
+sql("stored_window", OBS, f"SELECT city, as_of, {each(MEASURES)} FROM obs WHERE as_of BETWEEN DATE '1995-11-20' AND DATE '1996-02-10'")
+sql("stored_digests", FEAT, "SELECT CAST(extract(year FROM as_of) AS INTEGER) AS year, count(*) AS rows, min(as_of) AS first_date, max(as_of) AS last_date, 0 AS differing FROM feat GROUP BY 1")
 sql("reached_rows", OBS, """
 , n AS (SELECT city, as_of, row_number() OVER (PARTITION BY city ORDER BY as_of) AS n, extract(month FROM as_of) % 3 = 1 AND extract(day FROM as_of) IN (3, 17) AS changed FROM obs)
 SELECT city, as_of FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.city = a.city AND b.changed AND a.n - b.n BETWEEN 0 AND 29)""")
@@ -230,6 +232,8 @@ _leak = lambda stored: " UNION ALL ".join(
 )
 sql("leakage_report", FEAT, _leak("feat"))
 sql("leakage_report_stored", FEAT, _leak("feat"))
+_later = "CASE WHEN extract(day FROM as_of) = 15 AND as_of >= DATE '1996-01-01' THEN 0.0 ELSE pm2_5_lag_1 END AS pm2_5_lag_1"
+sql("leakage_report_since", FEAT, f", later AS (SELECT city, as_of, {', '.join(_later if c == 'pm2_5_lag_1' else c for c in FEATURE_COLUMNS)} FROM feat) {_leak('later')}")
 _changed = {"pm2_5_lag_1": "CASE WHEN extract(day FROM as_of) = 15 THEN 0.0 ELSE pm2_5_lag_1 END", "pm2_5_roll_7": "CASE WHEN extract(day FROM as_of) <> 10 THEN pm2_5_roll_7 END", "day_of_week": "CASE WHEN extract(day FROM as_of) = 5 THEN 0 ELSE day_of_week END"}
 sql("leakage_report_dirty", FEAT, f"""
 , dirty AS (SELECT city, as_of, {', '.join(f'{_changed[c]} AS {c}' if c in _changed else c for c in FEATURE_COLUMNS)} FROM feat)
