@@ -119,6 +119,75 @@ def test_every_word_is_clustered(small, monkeypatch):
     assert whole < perplexity()
 
 
+def test_rare_words_choose_their_classes(docs, monkeypatch):
+    """Words that occur once, with the same last two bytes, have the classes of the words that stand where they do."""
+    monkeypatch.setattr(b, "CORE", 52)
+    monkeypatch.setattr(b, "CLASSES", 4)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        x, y = (f"{w}{rng.integers(5)}{'abcde'[rng.integers(5)]}" for w in ("noun", "verb"))
+        rows.append(f"the {x} to {y} " * 4 + f"the n{i:05}zz to v{i:05}zz")
+    rows = [(i, t) for i, t in enumerate(rows)]
+    model, _ = b.learn(docs(rows))
+    place = {int(h): k for h, k in zip(model.states.head, model.states.of)}
+    of = lambda w: place[int(next(b.tokens([w.encode()]))[0][0])]
+    train = [i for i, _ in rows if not held_out(i)]
+    nouns, verbs = ({of(f"{c}{i:05}zz") for i in train} for c in "nv")
+    assert nouns and verbs and not nouns & verbs
+
+
+def test_the_tables_size_changes_no_result(docs, small, monkeypatch):
+    """Words outside the table have the classes and scores that they have in it."""
+    monkeypatch.setattr(b, "CORE", 30)
+    monkeypatch.setattr(b, "CLASSES", 8)
+    rows = [tuple(r) for r in small("documents").select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(ODD)]
+    got = []
+    for size in (40, 100_000):
+        monkeypatch.setattr(b, "TABLE", size)
+        got.append({r["doc_id"]: r for r in check(b.score(docs(rows)), rows)})
+    assert got[0].keys() == got[1].keys()
+    for i, r in got[0].items():
+        assert r["score"] == pytest.approx(got[1][i]["score"], rel=1e-9)
+
+
+def test_all_neighbours_count(docs, spark, monkeypatch):
+    """Contexts of all words, over chunks, pieces and batches, with seeds and others as neighbours."""
+    monkeypatch.setattr(b, "CLASSES", 2)
+    monkeypatch.setattr(b, "CHUNK", 7)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 40)) % 60) for _ in range(50)] + [None, "", "w1"]
+    number = lambda w: tuple(int(x[0]) for x in next(b.tokens([w.encode()]))[:2])
+    core = np.sort(np.array([number(f"w{i}")[0] for i in (1, 2, 3)], np.uint64))
+    seeds = b.Seeds(core, np.array([0, 1, 1, *range(2, b.TAIL + 3)]))
+    of = dict(zip(core.tolist(), seeds.of.tolist()))
+
+    def near(w):
+        if w is None:
+            return seeds.kinds - 1
+        h, t = number(w)
+        return of.get(h, seeds.classes + t % b.TAIL)
+
+    want, tokens = Counter(), Counter()
+    for t in texts:
+        line = [None, *words(t)]
+        for x, y in zip(line, line[1:]):
+            if y is not None:
+                tokens[number(y)] += 1
+                want[number(y)[0], near(x)] += 1
+            if x is not None:
+                want[number(x)[0], seeds.kinds + near(y)] += 1
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = b.contexts(docs(texts).select("text"), spark.sparkContext.broadcast(seeds)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert {(r["w"] % (1 << 64), r["t"]): r["n"] for r in got} == tokens and len(got) == len(tokens)
+    assert {(r["w"] % (1 << 64), int(e) & 255): int(e) >> 8 for r in got for e in np.frombuffer(r["c"], np.int64)} == want
+
+
 def test_equally_frequent_words_fill_the_table(spark):
     counts = spark.createDataFrame([(i * 7919, 0, 3) for i in range(1000)], "w long, t int, n long")
     assert 800 < counts.where(b.most_frequent(counts, 900)).count() < 1000

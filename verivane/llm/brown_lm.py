@@ -6,17 +6,17 @@ crc32(doc_id as text) mod 7 is not 2 are for training; all of them count.
 1. Counts of all training tokens: summed in each task, then by word.
 2. Seeds: the CORE most frequent words are clustered by exchange on the driver: one at a time, each moves to the class, of
    CLASSES, that raises the likelihood of the class bigrams most, in sweeps until none moves. Their bigrams have a bounded size.
-3. Exchange for all words: how often the seeds of each class stand before and after a word, counted over all training texts and
-   gathered by word in Spark; each word moves to the class with the largest gain in likelihood, all at once, in SWEEPS
-   sweeps. Only seeds count as neighbours: rare words that moved at once by each other's classes would chase each other.
-   Words of LEAST tokens and more move one by one, if they are among the HEAD most frequent; all others move in GROUPS groups by
-   their last two bytes, with the contexts of all their tokens. So every word has a class by exchange; the end has its own.
-4. Score: log10 of P(class | class before) * P(word | class), summed. Transitions are counted over all training texts and smoothed
-   with the class's share; a word outside the table has one count more, and a class with groups one for the unseen. Tasks hold the
-   table (bounded); other words meet their counts in a join, as do the counts of the base score.
+3. Exchange for all words: what stands before and after a word, counted over all its training tokens and gathered by word in
+   Spark; each word, however rare, moves to the class with the largest gain in likelihood, all at once, in SWEEPS sweeps. Every
+   neighbour counts: a seed as its class among the seeds, the end as itself, any other word as one of TAIL groups by its last two
+   bytes, as in step 2. Neighbours keep these numbers: words that moved at once by each other's classes would chase each other.
+   The unseen share a class by their last two bytes, in GROUPS groups, that of the words with fewer than RARE tokens in it.
+4. The texts as classes: tasks hold the TABLE most frequent words (bounded), all other words meet their class and count in a join,
+   with the same result. Transitions are counted over all training texts and smoothed with the class's share.
+5. Score: log10 of P(class | class before) * P(word | class), summed; a class that the unseen may have has one count for them.
 
 Null and empty texts have one token, the end. Texts are read whole, in pieces of bounded size. Repeated rows get equal scores.
-Equally frequent words at the table's border are taken by their hash. Without training texts all counts are 0. A null
+Without training texts all counts are 0. A null
 doc_id trains. An empty table gives no rows. Only doc_id and text are read, other columns may have any names.
 """
 
@@ -31,9 +31,14 @@ from pyspark.sql import functions as F
 
 from verivane.llm.common import discard, materialize, mix64, slices, small, span_hashes, table, word_spans
 
-HEAD, CORE, CLASSES, SEED_SWEEPS, SWEEPS = 1 << 19, 1024, 64, 8, 2
-LEAST = 3  #: tokens from which a word has a class of its own choice
-GROUPS, TAIL = 1024, 32  #: of words outside the table; of words outside the core while that is clustered
+CORE, CLASSES, SEED_SWEEPS, SWEEPS = 1024, 64, 8, 2  #: two sweeps at least; at most 128 - TAIL classes, so that a neighbour's number and side fit a byte
+HEAD: int | None = None  #: words with a class of their own choice, the most frequent; None: all. Others go with their group
+TABLE = 1 << 19  #: words that tasks hold; changes no result
+PRIOR = 2.0  #: tokens that a word's group counts beside its own
+RARE = 3  #: tokens below which a word's contexts tell of the unseen of its group
+GROUPS, TAIL = 1024, 32  #: of unseen words; of words outside the core, as neighbours
+CHUNK = 1 << 20  #: tokens whose contexts a task sums at a time
+FEW = 16  #: tokens up to which gains are looked up
 BETA = 5.0  #: counts that a class's share is worth in its transitions
 END = int(mix64(np.array([0x656E64], np.uint64))[0])  #: the end's hash
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, false)"
@@ -205,87 +210,107 @@ def exchange(bigrams: np.ndarray, core: int, classes: int = CLASSES, sweeps: int
 
 
 class States:
-    """Numbers of words and of classes. States: places in the sorted table of head words, then groups, then the end."""
+    """Classes of words. States: places in the sorted table of words, then groups, then the end."""
 
-    def __init__(self, head: np.ndarray, classes: int, state: np.ndarray | None = None, seeds: np.ndarray | None = None):
-        """state: of each head word, its own place or its group's state; seeds: places of words that count as neighbours."""
+    def __init__(self, head: np.ndarray, classes: int):
         self.head, self.classes = head, classes
-        self.state = np.arange(len(head)) if state is None else state
-        self.near = np.zeros(len(head) + GROUPS + 1, bool)
-        self.near[np.arange(len(head)) if seeds is None else seeds] = True
-        self.near[-1] = True
         self.of = np.full(len(head) + GROUPS + 1, -1, np.int16)  # the class of each state, -1 while it has none
         self.of[-1] = classes
 
-    def __call__(self, h: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.of_places(place_of(h, self.head), t, end)
-
     def of_places(self, at: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
         """at: places in the table, -1 for other words."""
-        own = self.state[at] if len(self.head) else at
-        return np.where(end, len(self.of) - 1, np.where(at >= 0, own, len(self.head) + t))
+        return np.where(end, len(self.of) - 1, np.where(at >= 0, at, len(self.head) + t))
 
 
-def contexts(training: DataFrame, states) -> DataFrame:
-    """x (state), c (class before it, or classes + 1 + class after it), n: sums of each task; states: broadcast."""
+class Seeds:
+    """The core's words, sorted; their classes; the numbers of neighbours: classes, then groups of other words, then the end."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end_state = states.value.of.astype(np.int64), len(states.value.of) - 1
-        known = states.value.classes + 1
-        keys, counts, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
+    def __init__(self, core: np.ndarray, of: np.ndarray):
+        """of: as exchange() returns it."""
+        self.core, self.of = core, of[: len(core)]
+        self.classes = max(1, min(CLASSES, len(core)))
+        self.kinds = self.classes + TAIL + 1
 
-        def batch() -> pa.RecordBatch:
-            return pa.record_batch([pa.array((keys // (2 * known)).astype(np.int32)), pa.array((keys % (2 * known)).astype(np.int32)), pa.array(counts)], names=["x", "c", "n"])
+    def near(self, h: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
+        at = place_of(h, self.core)
+        own = self.of[at] if len(self.core) else at
+        return np.where(end, self.kinds - 1, np.where(at >= 0, own, self.classes + t % TAIL))
 
-        def summed() -> None:
-            nonlocal keys, counts
-            u, n = np.unique(np.concatenate([*waiting, np.empty(0, np.int64)]), return_counts=True)
-            waiting.clear()
-            both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-            keys = both
 
-        size = 0
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values of so many entries each."""
+    offsets = np.concatenate([[0], np.cumsum(lengths * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of binary values, and how many each has."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw.copy().view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def contexts(training: DataFrame, seeds) -> DataFrame:
+    """w, t, n (tokens), c of all words: c has, for each neighbour before (its number) and after (kinds + its number), that and, times
+    256, how often, as 64-bit integers."""
+    chunk = CHUNK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = seeds.value.kinds
+        start = [np.array([x]) for x in (np.uint64(END), GROUPS, kinds - 1, True)]  # a text begins after an end
+        held, size = [start], 0
+
+        def batch() -> pa.RecordBatch:
+            h, t, near, end = (np.concatenate(x) for x in zip(*held))
+            words, of = np.unique(h, return_inverse=True)
+            group = np.empty(len(words), np.int32)
+            group[of] = t
+            before, after = ~end[1:], ~end[:-1]  # ends have no contexts
+            key, n = np.unique(np.concatenate([of[1:][before] * 256 + near[:-1][before], of[:-1][after] * 256 + kinds + near[1:][after]]), return_counts=True)
+            seen, lengths = np.unique(key >> 8, return_counts=True)
+            return pa.record_batch([pa.array(words[seen].view(np.int64)), pa.array(group[seen]), packed((n << 8 | key & 255).astype(np.uint32), lengths)], names=["w", "t", "c"])
+
         for b in small(batches):
-            before = end_state
             for h, t, _, end in pieces(b):
-                s = np.concatenate([[before], states.value(h, t, end)])
-                before, c = s[-1], of[s]
-                near = (c >= 0) & states.value.near[s]
-                left = near[:-1] & (s[1:] != end_state)
-                right = near[1:] & (s[:-1] != end_state)
-                waiting += [s[1:][left] * (2 * known) + c[:-1][left], s[:-1][right] * (2 * known) + known + c[1:][right]]
-                size += len(s)
-                if size > 1 << 20:
-                    summed()
-                    size = 0
-                    if len(keys) > 1 << 20:
+                for at in range(0, len(h), chunk):
+                    x, y, z = (v[at : at + chunk] for v in (h, t, end))
+                    held.append([x, y, seeds.value.near(x, y, z), z])
+                    size += len(x)
+                    if size >= chunk:
                         yield batch()
-                        keys, counts = keys[:0], counts[:0]
-        summed()
-        yield batch()
-
-    return training.select("text").mapInArrow(run, "x int, c int, n long")
+                        held, size = [[v[-1:] for v in held[-1]]], 0
+        if size:
+            yield batch()
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = seeds.value.kinds
 
-def class_contexts(counted: DataFrame, states) -> np.ndarray:
-    """(2 * (classes + 1), classes): contexts of classes, as contexts() numbers them."""
-    classes = states.value.classes
-    shape = (2 * (classes + 1), classes)
+        def batch(w, t, c, lengths) -> pa.RecordBatch:
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            word = np.cumsum(np.concatenate([[False], w[1:] != w[:-1]]))
+            key, at = np.unique(np.repeat(word, lengths) * 256 + (c & 255).astype(np.int64), return_inverse=True)
+            n = np.bincount(at, c >> 8).astype(np.int64)
+            tokens = np.bincount(key >> 8, np.where(key & 255 < kinds, n, 0)).astype(np.int64)
+            return pa.record_batch([pa.array(w[first]), pa.array(t[first]), pa.array(tokens), packed(n << 8 | key & 255, np.bincount(key >> 8))], names=["w", "t", "n", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape[0] * classes)
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            x, c, n = (b.column(i).to_numpy() for i in range(3))
-            k = states.value.of[x].astype(np.int64)
-            total += np.bincount(c[k >= 0] * classes + k[k >= 0], n[k >= 0], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["i", "n"])
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), *unpacked(b.column(2), np.uint32)))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue
+            w, t, c, lengths = (np.concatenate(x) for x in zip(*held))
+            whole = int(np.searchsorted(w, w[-1]))  # the last word may go on
+            entries = int(lengths[:whole].sum())
+            yield batch(w[:whole], t[:whole], c[:entries], lengths[:whole])
+            held = [(w[whole:], t[whole:], c[entries:], lengths[whole:])]
+        if held:
+            yield batch(*(np.concatenate(x) for x in zip(*held)))
 
-    found = counted.mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most shape[0] * classes rows
-    out = np.zeros(shape[0] * classes)
-    out[found.column("i").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(shape)
+    counted = training.select("text").mapInArrow(count, "w long, t int, c binary")
+    return counted.repartition("w").sortWithinPartitions("w").mapInArrow(merge, "w long, t int, n long, c binary")
 
 
 def _xlog(v: np.ndarray) -> np.ndarray:
@@ -294,163 +319,261 @@ def _xlog(v: np.ndarray) -> np.ndarray:
 
 def gains(x: np.ndarray, c: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """States and (states, classes): what the likelihood of class bigrams gains by each in each class. x, c, n: all contexts of some
-    states, by state; own: the class of each row's state or -1, whose counts hold the state's already; table: of class_contexts()."""
-    half = len(table) // 2
+    states, by state; own: the class of each row's state or -1, whose counts hold the state's already; table: contexts of classes,
+    half of them those before."""
     key, at = np.unique(x.astype(np.int64) * len(table) + c, return_inverse=True)
-    n = np.bincount(at, n)
     first_own = np.zeros(len(key), np.int64)
     first_own[at] = own
-    x, c, own = key // len(table), key % len(table), first_own
-    base = table[c]
-    gain = _xlog(base + n[:, None]) - _xlog(base)
-    mine = np.flatnonzero(own >= 0)
-    held = base[mine, own[mine]]
-    gain[mine, own[mine]] = _xlog(held) - _xlog(np.maximum(held - n[mine], 0))
-    names, first = np.unique(x, return_index=True)
-    out = np.add.reduceat(gain, first, axis=0)
-    own = own[first]
-    mine = np.flatnonzero(own >= 0)
-    for side, sizes in ((c < half, table[:half].sum(0)), (c >= half, table[half:].sum(0))):
-        total = np.add.reduceat(np.where(side, n, 0), first)
-        part = _xlog(sizes + total[:, None]) - _xlog(sizes)
-        held = sizes[own[mine]]
-        part[mine, own[mine]] = _xlog(held) - _xlog(np.maximum(held - total[mine], 0))
-        out -= part
-    return names, out
-
-
-def moved(counted: DataFrame, states, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States and the class of each by exchange against all others."""
+    return Gains(table).of(key // len(table), key % len(table), np.bincount(at, n), first_own)
+
+
+class Gains:
+    """gains() of a table, with those of few tokens looked up."""
+
+    def __init__(self, table: np.ndarray, groups: np.ndarray | None = None):
+        """groups: contexts of groups, for `prior`: what each gains by PRIOR tokens in each class."""
+        self.table, self.half = table, len(table) // 2
+        self.sizes = table[: self.half].sum(0), table[self.half :].sum(0)
+        few = np.arange(FEW + 1)
+        self.steps = _xlog(table + few[:, None, None]) - _xlog(table)
+        self.size_steps = [_xlog(x + few[:, None]) - _xlog(x) for x in self.sizes]
+        self.prior = np.zeros((GROUPS, table.shape[1]))
+        if groups is not None and groups.any():
+            t, c = np.nonzero(groups)
+            names, gain = self.of(t, c, groups[t, c], np.full(len(t), -1))
+            self.prior[names] = PRIOR * gain / groups[names, : self.half].sum(1)[:, None]
+
+    def best(self, gain: np.ndarray) -> np.ndarray:
+        """Classes without tokens are left out: any word alone in one gains most, so that all words would move there at once."""
+        used = self.sizes[0] + self.sizes[1] > 0
+        return np.where(used, gain, -np.inf).argmax(1)
+
+    def of(self, x: np.ndarray, c: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each context of a state once."""
+        gain = self.steps[np.minimum(n, FEW).astype(np.int64), c]
+        many = np.flatnonzero(n > FEW)
+        base = self.table[c[many]]
+        gain[many] = _xlog(base + n[many, None]) - _xlog(base)
+        mine = np.flatnonzero(own >= 0)
+        held = self.table[c[mine], own[mine]]
+        gain[mine, own[mine]] = _xlog(held) - _xlog(np.maximum(held - n[mine], 0))
+        names, first = np.unique(x, return_index=True)
+        out = np.add.reduceat(gain, first, axis=0)
+        own = own[first]
+        mine = np.flatnonzero(own >= 0)
+        for side, sizes, steps in zip((c < self.half, c >= self.half), self.sizes, self.size_steps):
+            total = np.add.reduceat(np.where(side, n, 0), first)
+            part = steps[np.minimum(total, FEW).astype(np.int64)]
+            many = np.flatnonzero(total > FEW)
+            part[many] = _xlog(sizes + total[many, None]) - _xlog(sizes)
+            held = sizes[own[mine]]
+            part[mine, own[mine]] = _xlog(held) - _xlog(np.maximum(held - total[mine], 0))
+            out -= part
+        return names, out
+
+
+def moved(b: pa.RecordBatch, seeds: Seeds, sweeps: list[Gains]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's words (w, c, among others), the class of each after so many sweeps; word, context and count of their contexts."""
+    w = b.column("w").to_numpy().view(np.uint64)
+    entries, lengths = unpacked(b.column("c"), np.int64)
+    x, c, n = np.repeat(np.arange(len(w)), lengths), entries & 255, entries >> 8
+    at = place_of(w, seeds.core)
+    k = np.where(at >= 0, seeds.of[at], -1) if len(seeds.core) else at
+    for g in sweeps if len(w) else []:
+        k = g.best(g.of(x, c, n, k[x])[1] + g.prior[b.column("t").to_numpy()])
+    return k, x, c, n
+
+
+def summed(words: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
+    """The sums of what run() gives for batches of words: places in a table, and how much there."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape[0] * shape[1])
+        for b in small(batches, 2000):
+            at, n = run(b)
+            total += np.bincount(at, n, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["i", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+    found = words.mapInArrow(each, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most shape[0] * shape[1] rows
+    out = np.zeros(shape[0] * shape[1])
+    out[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(shape)
 
-        def best(x, c, n) -> pa.RecordBatch:
-            names, gain = gains(x, c, n, states.value.of[x].astype(np.int64), table)
-            return pa.record_batch([pa.array(names.astype(np.int32)), pa.array(gain.argmax(1).astype(np.int32))], names=["x", "k"])
 
-        for b in batches:
-            held = [np.concatenate([old, b.column(i).to_numpy()]) for i, old in enumerate(held)]
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last state may go on
-            if whole > 1 << 14:
-                yield best(*(v[:whole] for v in held))
-                held = [v[whole:] for v in held]
-        if len(held[0]):
-            yield best(*held)
+def class_contexts(words: DataFrame, seeds, sweeps) -> np.ndarray:
+    """(2 * kinds, classes): contexts of classes after so many sweeps."""
+    kinds, classes = 2 * seeds.value.kinds, seeds.value.classes
+
+    def run(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        k, x, c, n = moved(b, seeds.value, sweeps.value)
+        return c * classes + k[x], n
 
-    found = counted.repartition("x").sortWithinPartitions("x").mapInArrow(run, "x int, k int").toArrow()  # at most HEAD + GROUPS rows
-    return found.column("x").to_numpy(), found.column("k").to_numpy()
+    return summed(words.where("own"), run, (kinds, classes))
+
+
+def group_contexts(words: DataFrame, kinds: int) -> np.ndarray:
+    """(GROUPS, 2 * kinds): contexts of groups, by their rare words and those without a class of their own."""
+
+    def run(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        entries, lengths = unpacked(b.column("c"), np.int64)
+        return np.repeat(b.column("t").to_numpy().astype(np.int64), lengths) * 2 * kinds + (entries & 255), entries >> 8
+
+    return summed(words.where(~F.col("own") | (F.col("n") < RARE)), run, (GROUPS, 2 * kinds))
+
+
+def classed(words: DataFrame, seeds, sweeps, group: np.ndarray) -> DataFrame:
+    """w, t, n, k (class), own (whether of its own choice) of all words; group: the groups' classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 2000):
+            if b.num_rows:
+                k = moved(b, seeds.value, sweeps.value)[0]
+                own, t = (b.column(i).to_numpy(zero_copy_only=False) for i in ("own", "t"))
+                yield pa.record_batch([b.column("w"), b.column("t"), b.column("n"), pa.array(np.where(own, k, group[t]).astype(np.int32)), b.column("own")], names=["w", "t", "n", "k", "own"])
+
+    return words.mapInArrow(run, "w long, t int, n long, k int, own boolean")
 
 
 class Model:
-    """What tasks need: the head words' counts, classes and logarithms of bounded size."""
+    """What tasks need: the table's counts and classes, and logarithms of bounded size."""
 
-    def __init__(self, states: States, counts: np.ndarray, pairs: np.ndarray, groups: dict[int, tuple[int, int]], n: int, v: int, ends: int):
-        """pairs: bigram counts of classes; groups: count and number of words outside the table; ends: the end's count."""
+    def __init__(self, states: States, counts: np.ndarray, pairs: np.ndarray, groups: dict[int, tuple[int, int]], n: int, v: int, ends: int, rest: np.ndarray | float = 0.0):
+        """pairs: bigram counts of classes; groups: count and number of words that go with their group; ends: the end's count; rest:
+        counts by class of words of their own class outside the table."""
         self.states, self.counts, self.n, self.v, self.ends = states, counts, n, v, ends
         share = (pairs.sum(0) + 0.5) / (pairs.sum(0) + 0.5).sum()
         self.transition = np.log10((pairs + BETA * share) / (pairs.sum(1, keepdims=True) + BETA))
-        # Of P(word | class): all its words' counts, one more for each outside the table, and one for the unseen if it has a group.
+        # Of P(word | class): all its words' counts, one more for each that goes with a group, and one for the unseen if it has a group.
         head, group = states.of[: len(counts)], states.of[len(counts) : -1]
         outside = np.bincount(group, [float(sum(groups.get(t, (0, 0)))) for t in range(GROUPS)], minlength=states.classes + 1)
-        self.below = np.bincount(head, counts, minlength=states.classes + 1) + outside + np.isin(np.arange(states.classes + 1), group)
+        self.below = np.bincount(head, counts, minlength=states.classes + 1) + outside + np.isin(np.arange(states.classes + 1), group) + rest
         self.below[-1] = 1.0
 
 
 def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the counts of their tokens (w, t, n)."""
+    """The model of the training texts, and lines() of all."""
     context = docs.sparkSession.sparkContext
     training = docs.where(~F.expr(HELD_OUT)).select("text")
     counts = materialize(word_counts(training), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("t") == GROUPS).agg(F.sum("n")).first()[0] or 0
-    words = counts.where(F.col("t") < GROUPS)
-    in_head = most_frequent(words, HEAD)
-    head = words.where(in_head).select("w", "t", "n").toArrow()
-    w, t, k = (head.column(c).to_numpy() for c in ("w", "t", "n"))
-    order = np.argsort(w.view(np.uint64))
-    w, t, k = w.view(np.uint64)[order], t[order], k[order]
-    groups = {r["t"]: (r["n"], r["v"]) for r in words.where(~in_head).groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-
-    core_places = np.sort(np.lexsort((w, -k))[:CORE])
-    core = w[core_places]
+    in_head = F.lit(True) if HEAD is None else most_frequent(counts.where(F.col("t") < GROUPS), HEAD)
+    in_table = in_head & most_frequent(counts.where(F.col("t") < GROUPS), TABLE)
+    core = np.array([r["w"] for r in counts.where(F.col("t") < GROUPS).orderBy(F.desc("n"), "w").limit(CORE).collect()], np.int64)
+    core = np.sort(core.view(np.uint64))
+    discard(counts)
     size = len(core) + TAIL + 1
 
     def core_state(h: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
         at = place_of(h, core)
         return np.where(end, size - 1, np.where(at >= 0, at, len(core) + t % TAIL))
 
-    seeds = exchange(pair_counts(training, size, core_state), len(core), CLASSES, SEED_SWEEPS)[: len(core)]
-    classes = max(1, min(CLASSES, len(core)))
-    state = np.where(k >= LEAST, np.arange(len(w)), len(w) + t)
-    state[core_places] = core_places
-    states = States(w, classes, state, core_places)
-    states.of[core_places] = seeds
-    for _ in range(SWEEPS):
-        sent = context.broadcast(states)
-        counted = materialize(contexts(training, sent), "word-contexts")
-        x, new = moved(counted, sent, class_contexts(counted, sent))
-        states = States(w, classes, state, core_places)
-        states.of[:] = sent.value.of
-        states.of[x] = new
-        discard(counted)
-        sent.destroy()
-    # Groups without tokens are in the first class; words without seeds for neighbours, and those that move with their group, in that's.
-    group = states.of[len(w) : -1]
-    group[group < 0] = 0
-    lone = (states.of[: len(w)] < 0) | (state != np.arange(len(w)))
-    states.of[: len(w)][lone] = group[t[lone]]
-
-    of = context.broadcast(states)
-    pairs = pair_counts(training, classes + 1, lambda h, t, end: of.value.of[of.value(h, t, end)].astype(np.int64))
-    return Model(states, k, pairs, groups, n, v, ends), counts
+    bigrams = pair_counts(training, size, core_state)
+    number = exchange(bigrams, len(core), CLASSES, SEED_SWEEPS)
+    seeds = Seeds(core, number)
+    sent = context.broadcast(seeds)
+    words = materialize(contexts(training, sent), "word-contexts").withColumn("own", in_head)
+    onto = np.zeros((size, seeds.kinds))
+    onto[np.arange(size), number] = 1
+    pairs = onto.T @ bigrams @ onto
+    groups = group_contexts(words, seeds.kinds)
+    sweeps = [Gains(np.concatenate([pairs[:, : seeds.classes], pairs[: seeds.classes].T]), groups)]  # the seeds' contexts
+    for _ in range(SWEEPS - 1):
+        sweeps.append(Gains(class_contexts(words, sent, context.broadcast(sweeps[:])), groups))
+    group = sweeps[-1].best(sweeps[-1].prior)  # without tokens, the first class in use
+    learned = materialize(classed(words, sent, context.broadcast(sweeps), group), "word-classes")
+    discard(words)
+
+    table = learned.where(in_table).select("w", "n", "k").toArrow()
+    w, n_w, k = (table.column(x).to_numpy() for x in ("w", "n", "k"))
+    order = np.argsort(w.view(np.uint64))
+    states = States(w.view(np.uint64)[order], seeds.classes)
+    states.of[: len(w)], states.of[len(w) : -1] = k[order], group
+    others = learned.where(~in_table)
+    rest = np.zeros(seeds.classes + 1)
+    for r in others.where("own").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        rest[r["k"]] = r["n"]
+    grouped = {r["t"]: (r["n"], r["v"]) for r in others.where("not own").groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    found = lines(docs, context.broadcast((states, n_w[order], n, v, ends)), others)
+    return Model(states, n_w[order], line_pairs(found, seeds.classes), grouped, n, v, ends, rest), found
 
 
 # ---- scores ----------------------------------------------------------------------------------------
 
 
-def partial(docs: DataFrame, model) -> DataFrame:
-    """Sums over what tasks know of each row, and the other words: w, below (of P(word | class)), k (how often)."""
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, others array<struct<w:long,below:double,k:long>>"
-    other = pa.struct([("w", pa.int64()), ("below", pa.float64()), ("k", pa.int64())])
+def lines(docs: DataFrame, known, others: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, known, base (score), count (log10 of the words' counts, summed), line (a class for each token, a
+    byte each) of each row. known: the table; others: classed() words outside it."""
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, count double, line binary"
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "count", "line"]
+    place = pa.struct([("at", pa.int32()), ("w", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        rest = np.log10(m.n + (m.v + 1.0))
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As if other words were unseen; others: where they stand."""
+        states, counts, total, v, ends = known.value
         for b in small(batches):
             size = b.num_rows
-            n_tokens, known = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            base, score = np.zeros(size), np.zeros(size)
-            left: list[tuple[np.ndarray, ...]] = []
-            before = m.states.classes
+            n_tokens, found = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            base, log_count = np.zeros(size), np.zeros(size)
+            line, left = [np.empty(0, np.uint8)], [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
             for h, t, n, end in pieces(b):
-                at = place_of(h, m.states.head)
-                s = m.states.of_places(at, t, end)
-                found = (at >= 0) | end
-                count = np.where(end, m.ends, m.counts[at] if len(m.counts) else 0)
-                count = np.where(found, count, 0)
+                at = place_of(h, states.head)
+                count = np.where(end, ends, np.where(at >= 0, counts[at], 0) if len(counts) else 0)
+                line.append(states.of[states.of_places(at, t, end)].astype(np.uint8))
+                if len(unknown := np.flatnonzero((at < 0) & ~end)):
+                    first = np.searchsorted(n, n[unknown])
+                    left.append((n[unknown], (unknown - first + n_tokens[n[unknown]]).astype(np.int32), h[unknown].view(np.int64)))
                 n_tokens += np.bincount(n, minlength=size)
-                known += np.bincount(n, count > 0, minlength=size).astype(np.int64)
-                base += np.bincount(n, np.log10(count + 1.0) - rest, minlength=size)
-                of = m.states.of[s]
-                emission = np.where(found & ~end, np.log10(np.maximum(count, 1) / m.below[of]), 0)
-                score += np.bincount(n, m.transition[np.concatenate([[before], of[:-1]]), of] + emission, minlength=size)
-                before = of[-1]
-                if len(unknown := np.flatnonzero(~found)):
-                    u, first, k = np.unique(h[unknown] ^ mix64(n[unknown].astype(np.uint64)), return_index=True, return_counts=True)
-                    first = unknown[first]
-                    left.append((n[first], h[first].view(np.int64), m.below[of[first]], k))
-            if left:
-                n, w, below, k = (np.concatenate(x) for x in zip(*left))
-                order = np.argsort(n, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(n, minlength=size))])
-                values = pa.StructArray.from_arrays([pa.array(w[order]), pa.array(below[order]), pa.array(k[order].astype(np.int64))], fields=list(other))
-                others = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-            else:
-                others = pa.array([[]] * size, pa.list_(other))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score), others], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "others"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.expr(HELD_OUT).alias("held_out"), "text").mapInArrow(run, schema)
+                found += np.bincount(n, count > 0, minlength=size).astype(np.int64)
+                base += np.bincount(n, np.log10(count + 1.0) - np.log10(total + (v + 1.0)), minlength=size)
+                log_count += np.bincount(n, np.where(end, 0, np.log10(np.maximum(count, 1))), minlength=size)
+            n, at, w = (np.concatenate(x) for x in zip(*left))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(n, minlength=size))]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(at), pa.array(w)], fields=list(place)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n_tokens), pa.array(found), pa.array(base), pa.array(log_count), packed(np.concatenate(line), n_tokens), others], names=[*names, "others"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found, base, log_count = (b.column(x).to_numpy().copy() for x in ("known", "base", "count"))
+            line, n_tokens = unpacked(b.column("line"), np.uint8)
+            lists = b.column("found")
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at, k, n, m = (x.to_numpy() for x in lists.flatten().flatten())
+            n_row = np.repeat(np.arange(b.num_rows), lengths)
+            order = np.lexsort((at, n_row))  # repeated rows are summed alike
+            line[(np.cumsum(n_tokens) - n_tokens)[n_row] + at] = k
+            found += lengths
+            base += np.bincount(n_row, np.log10(n + 1.0)[order], minlength=b.num_rows)
+            log_count += np.bincount(n_row, np.log10(m)[order], minlength=b.num_rows)
+            yield pa.record_batch([*b.columns[:3], pa.array(found), pa.array(base), pa.array(log_count), packed(line, n_tokens)], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.expr(HELD_OUT).alias("held_out"), "text")
+    # Written once, the row numbers stay as they are.
+    parts = materialize(rows.mapInArrow(look_up, f"{schema}, others array<struct<at:int,w:long>>").withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+    places = parts.select("row", F.inline("others")).join(others, "w")
+    places = places.select("row", F.struct("at", "k", "n", (F.col("n") + F.when(F.col("own"), 0).otherwise(1)).alias("m")).alias("found"))
+    joined = parts.drop("others").join(places.groupBy("row").agg(F.collect_list("found").alias("found")), "row", "left")
+    out = materialize(joined.select(*names, "found").mapInArrow(fill, schema), "lm-lines")
+    discard(parts)
+    return out
+
+
+def line_pairs(found: DataFrame, classes: int) -> np.ndarray:
+    """(classes + 1, classes + 1): how often a class follows another in the training texts; the last is the end's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes + 1) ** 2, np.int64)
+        for b in small(batches):
+            s = unpacked(b.column(0), np.uint8)[0].astype(np.int64)
+            total += np.bincount(np.concatenate([[classes], s])[:-1] * (classes + 1) + s, minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["i", "n"])
+
+    pairs = found.where("not held_out").select("line").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # at most (classes + 1)^2 rows
+    out = np.zeros((classes + 1) ** 2)
+    out[pairs.column("i").to_numpy()] = pairs.column("n").to_numpy()
+    return out.reshape(classes + 1, classes + 1)
 
 
 def most_frequent(counts: DataFrame, most: int) -> Column:
@@ -468,21 +591,19 @@ def most_frequent(counts: DataFrame, most: int) -> Column:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row."""
-    learned, counts = learn(docs)
-    n = learned.n
-    model = docs.sparkSession.sparkContext.broadcast(learned)
-    # Written once, the row numbers stay as they are.
-    parts = materialize(partial(docs, model).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    others = parts.select("row", F.inline("others"))
-    joined = others.join(counts.select("w", "n"), "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more"),
-        F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("b"),
-        F.sum(F.col("k") * F.log10((F.col("n") + 1.0) / F.col("below"))).alias("s"),
-    )
-    out = parts.drop("others").join(rest, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"))
+    model, found = learn(docs)
+    classes, cost = model.states.classes, model.transition - np.log10(np.maximum(model.below, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            line, n_tokens = unpacked(b.column(6), np.uint8)
+            before = np.concatenate([[classes], line])[:-1].astype(np.int64)  # every row ends with an end
+            of_row = np.repeat(np.arange(b.num_rows), n_tokens)
+            total = b.column(5).to_numpy() + np.bincount(of_row, cost[before, line], minlength=b.num_rows)
+            yield pa.record_batch([*b.columns[:5], pa.array(total)], names=["doc_id", "held_out", "n_tokens", "known", "base", "score"])
+
+    out = found.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    out = out.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
